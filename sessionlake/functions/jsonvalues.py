@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionlake import fixed_values as fv
 from sessionlake.functions.text import js_trim
@@ -76,3 +76,14 @@ def quoted(text: Column) -> Column:
 def canonical_text(json_text: Column) -> Column:
     """Canonical form of JSON given as text (null when it is not JSON)."""
     return canonical(checked_json(js_trim(json_text)))
+
+
+def evaluate_once(frame: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed exactly once per row.
+
+    Later filters and projections would otherwise be merged with the
+    definitions and parse the same text again for every use.  A generator over
+    one struct is a boundary the optimizer does not move expressions across.
+    """
+    struct = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return frame.select("*", F.inline(F.array(struct)))

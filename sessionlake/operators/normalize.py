@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
 from sessionlake.functions import hashing
-from sessionlake.functions.jsonvalues import canonical, field, quoted, text_field
+from sessionlake.functions.jsonvalues import canonical, evaluate_once, field, quoted, text_field
 from sessionlake.operators.positions import RUN_LENGTH, dense_position
 
 MESSAGE_COLUMNS = (
@@ -16,24 +16,23 @@ MESSAGE_COLUMNS = (
 
 
 def rows(lines: DataFrame) -> DataFrame:
-    """Parsed rows with their ``row_type``; a row without one is ``unknown``."""
-    return lines.where("status = 'ok'").select(
-        "file_path", "line_no", "row",
-        F.coalesce(text_field(F.col("row"), "$.type"), F.lit("unknown")).alias("row_type"),
-    )
-
-
-def _is_message() -> Column:
-    return F.col("row_type").isin(*fv.MESSAGE_ROW_TYPES) & field(
-        F.col("row"), "$.message", "variant"
-    ).isNotNull() & ~F.coalesce(
-        field(F.col("row"), "$.message").isin("null", "", "false", "0"), F.lit(True)
+    """Parsed rows with ``row_type`` (``unknown`` without one), ``message_id``
+    and whether they carry a message."""
+    row = F.col("row")
+    message = field(row, "$.message")
+    kind = F.coalesce(text_field(row, "$.type"), F.lit("unknown"))
+    return evaluate_once(
+        lines.where("status = 'ok'").select("file_path", "line_no", "row"),
+        row_type=kind,
+        message_id=F.coalesce(text_field(row, "$.message.id"), text_field(row, "$.uuid")),
+        is_message=kind.isin(*fv.MESSAGE_ROW_TYPES)
+        & ~F.coalesce(message.isin("null", "", "false", "0"), F.lit(True)),
     )
 
 
 def raw_rows(parsed: DataFrame) -> DataFrame:
     """Rows that are not messages, kept verbatim for a lossless round trip."""
-    return parsed.where(~F.coalesce(_is_message(), F.lit(False))).select(
+    return parsed.where(~F.col("is_message")).select(
         "file_path", "line_no", "row_type", canonical(F.col("row")).alias("row_json")
     )
 
@@ -57,12 +56,11 @@ def _fallback_ids(parsed: DataFrame) -> DataFrame:
     """Number of each id-less message row among the rows of its type in its file."""
     counted = dense_position(
         parsed.where(F.col("row_type").isin(*fv.MESSAGE_ROW_TYPES)).select(
-            "file_path", "row_type", "line_no",
-            F.coalesce(text_field(F.col("row"), "$.message.id"), text_field(F.col("row"), "$.uuid")).alias("_id"),
+            "file_path", "row_type", "line_no", "message_id"
         ),
         ["file_path", "row_type"], ["line_no"], F.floor(F.col("line_no") / RUN_LENGTH), "_nth",
     )
-    return counted.where(F.col("_id").isNull()).select(
+    return counted.where(F.col("message_id").isNull()).select(
         "file_path", "line_no", F.concat(F.lit("row-"), F.col("_nth") + 1).alias("_fallback")
     )
 
@@ -74,62 +72,61 @@ def blocks(parsed: DataFrame) -> DataFrame:
     content array are skipped.
     """
     row = F.col("row")
-    exploded = parsed.where(_is_message()).select(
-        "file_path", "line_no",
-        F.coalesce(text_field(row, "$.message.id"), text_field(row, "$.uuid")).alias("message_id"),
+    exploded = parsed.where("is_message").select(
+        "file_path", "line_no", "message_id",
         field(row, "$.uuid").alias("row_uuid"),
         field(row, "$.parentUuid").alias("parent_uuid"),
         field(row, "$.timestamp").alias("ts"),
-        F.when(field(row, "$.message.role") == "assistant", "assistant").otherwise("user").alias("_side"),
+        F.when(field(row, "$.message.role") == "assistant", "assistant").otherwise("user").alias("side"),
         F.posexplode(content_blocks(field(row, "$.message.content", "variant"))).alias("block_no", "block"),
     )
-    kept = exploded.withColumn("_json", canonical(F.col("block"))).where(
-        F.substring("_json", 1, 1).isin("{", "[")
-    )
-    mapped = map_block(kept).withColumn("fingerprint", hashing.block_fingerprint(F.col("_json")))
-    return mapped.withColumn("msg_digest", hashing.message_digest())
+    block = F.col("block")
+    content = field(block, "$.content", "variant")
+    opened = evaluate_once(
+        exploded,
+        json=canonical(block),
+        kind=field(block, "$.type"),
+        content=content,
+        parts=content.try_cast("array<variant>"),
+        use_id=text_field(block, "$.tool_use_id"),
+    ).where(F.substring("json", 1, 1).isin("{", "["))
+    mapped = map_block(opened).withColumn("fingerprint", hashing.block_fingerprint(F.col("json")))
+    return mapped.withColumn("msg_digest", hashing.message_digest()).drop("json")
 
 
 def map_block(frame: DataFrame) -> DataFrame:
-    """Maps ``block`` (variant) and ``_side`` to the message columns."""
-    block = F.col("block")
-    kind = field(block, "$.type")
-    content = field(block, "$.content", "variant")
-    parts = F.filter(
-        content.try_cast("array<variant>"), lambda c: field(c, "$.type") == "text"
-    )
-    joined = F.array_join(F.transform(parts, lambda c: F.coalesce(field(c, "$.text"), F.lit(""))), "\n")
-    result_text = (
-        F.when(content.try_cast("array<variant>").isNotNull(), F.when(joined != "", joined))
-        .when(F.schema_of_variant(content) == "STRING", field(block, "$.content"))
-    )
-    use_id = text_field(block, "$.tool_use_id")
-    known = kind.isin("text", "thinking", "tool_use", "tool_result", "image")
-    other = ~F.coalesce(known, F.lit(False))
+    """Maps an opened ``block`` to the message columns."""
+    block, kind, content, parts, use_id = (F.col(c) for c in ("block", "kind", "content", "parts", "use_id"))
+    texts = F.filter(parts, lambda c: field(c, "$.type") == "text")
+    joined = F.array_join(F.transform(texts, lambda c: F.coalesce(field(c, "$.text"), F.lit(""))), "\n")
+    result_text = F.when(parts.isNotNull(), F.when(joined != "", joined)).when(
+        F.schema_of_variant(content) == "STRING", field(block, "$.content")
+    )
+    other = ~F.coalesce(kind.isin("text", "thinking", "tool_use", "tool_result", "image"), F.lit(False))
     image = F.concat(
         F.lit('{"imageSource":'), quoted(F.coalesce(field(block, "$.source.type"), F.lit("unknown"))),
         F.lit(',"mediaType":'), quoted(field(block, "$.source.media_type")), F.lit("}"),
     )
     # Absent and null alike are stored as null.
     present = lambda json: F.when(json != "null", json)
-    return frame.select(
-        *[c for c in frame.columns if c not in ("block", "_side")],
-        F.when(kind.isin("thinking", "tool_use"), "assistant").when(kind == "tool_result", "tool")
-        .otherwise(F.col("_side")).alias("role"),
-        F.when(kind.isin("thinking", "tool_use", "tool_result"), kind).otherwise("text").alias("type"),
-        F.when(kind == "text", field(block, "$.text"))
+    columns = dict(
+        role=F.when(kind.isin("thinking", "tool_use"), "assistant").when(kind == "tool_result", "tool")
+        .otherwise(F.col("side")),
+        type=F.when(kind.isin("thinking", "tool_use", "tool_result"), kind).otherwise("text"),
+        text=F.when(kind == "text", field(block, "$.text"))
         .when(kind == "thinking", F.coalesce(field(block, "$.thinking"), field(block, "$.text")))
         .when(kind == "tool_result", result_text)
-        .when(kind == "image", "[image]").alias("text"),
-        F.when(kind.isin("tool_use", "tool_result"), field(block, "$.name"))
-        .when(other, F.coalesce(kind, F.lit("unknown"))).alias("tool_name"),
-        F.when(kind == "tool_use", present(canonical(field(block, "$.input", "variant"))))
+        .when(kind == "image", "[image]"),
+        tool_name=F.when(kind.isin("tool_use", "tool_result"), field(block, "$.name"))
+        .when(other, F.coalesce(kind, F.lit("unknown"))),
+        tool_input=F.when(kind == "tool_use", present(canonical(field(block, "$.input", "variant"))))
         .when((kind == "tool_result") & use_id.isNotNull(),
-              F.concat(F.lit('{"tool_use_id":'), quoted(use_id), F.lit("}"))).alias("tool_input"),
-        F.when(kind == "tool_result", present(canonical(content)))
+              F.concat(F.lit('{"tool_use_id":'), quoted(use_id), F.lit("}"))),
+        tool_output=F.when(kind == "tool_result", present(canonical(content)))
         .when(kind == "image", image)
-        .when(other, F.col("_json")).alias("tool_output"),
+        .when(other, F.col("json")),
     )
+    return evaluate_once(frame, **columns).drop("block", "kind", "content", "parts", "use_id", "side")
 
 
 def drop_repeated_blocks(frame: DataFrame) -> DataFrame:
@@ -160,7 +157,7 @@ def messages(lines: DataFrame, with_position: bool = True) -> DataFrame:
     named = (
         found.join(_fallback_ids(parsed), ["file_path", "line_no"], "left")
         .withColumn("message_id", F.coalesce("message_id", "_fallback"))
-        .drop("_fallback", "_json")
+        .drop("_fallback")
     )
     kept = drop_repeated_blocks(named).select(*MESSAGE_COLUMNS)
     if not with_position:
@@ -196,7 +193,7 @@ def row_type_counts(parsed: DataFrame) -> DataFrame:
 def models_seen(parsed: DataFrame) -> DataFrame:
     """Messages per model and file, with the line each model first occurs on."""
     return (
-        parsed.where(_is_message())
+        parsed.where("is_message")
         .select("file_path", "line_no", text_field(F.col("row"), "$.message.model").alias("model"))
         .where("model is not null")
         .groupBy("file_path", "model")

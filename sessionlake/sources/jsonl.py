@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
-from sessionlake.functions.jsonvalues import line_status
+from sessionlake.functions.jsonvalues import evaluate_once, line_status
 from sessionlake.functions.paths import clean_path
 from sessionlake.operators.positions import run_starts
 from sessionlake.session import configure, estimated_bytes
@@ -142,12 +142,13 @@ def classify(lines: DataFrame) -> DataFrame:
     A failed last line of a file without a final line feed is a
     ``truncated-tail``: its writer may have stopped in the middle.
     """
-    gated = lines.withColumn("_gate", line_status(F.col("raw")))
-    status = F.col("_gate.status")
+    gate = line_status(F.col("raw"))
+    gated = evaluate_once(lines, status=gate["status"], row=gate["row"])
     if {"line_no", "total_lines", "last_line_terminated"} <= set(lines.columns):
         tail = (F.col("line_no") == F.col("total_lines")) & ~F.col("last_line_terminated")
-        status = F.when(status.isin("parse", "oversized-line") & tail, "truncated-tail").otherwise(status)
-    return gated.withColumn("status", status).withColumn("row", F.col("_gate.row")).drop("_gate")
+        failed = F.col("status").isin("parse", "oversized-line")
+        gated = gated.withColumn("status", F.when(failed & tail, "truncated-tail").otherwise(F.col("status")))
+    return gated
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
