@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlake.functions import hashing
 from sessionlake.functions.jsonvalues import quoted
-from sessionlake.session import configure
+from sessionlake.session import configure, shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,7 @@ def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("turn").alias("pos"), "role", F.lit("text").alias("type"), "text",
         null.alias("tool_name"), null.alias("tool_input"), null.alias("tool_output"),
     )
-    return frame.withColumn("msg_digest", hashing.message_digest())
+    return shared(frame.withColumn("msg_digest", hashing.message_digest()), "copies")
 
 
 COPIES = (
@@ -107,7 +107,7 @@ def copy_sessions(frame: DataFrame) -> DataFrame:
 
     hashed = content.content_hash(frame, ["uid", "account", "conv_id"])
     seconds = F.col("conv_id") * 60 + F.when(F.col("account") == "B", F.col("message_count") - 4).otherwise(0)
-    return hashed.withColumn("updated_at", F.timestamp_seconds(F.lit(1_700_000_000) + seconds))
+    return shared(hashed.withColumn("updated_at", F.timestamp_seconds(F.lit(1_700_000_000) + seconds)), "copy-sessions")
 
 
 COPY_TIMES = (
@@ -191,3 +191,59 @@ DOCUMENT_LINES = (
     "doc_lines AS (SELECT 'doc_' || doc_id AS file_path, doc_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS raw "
     "FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))"
 )
+
+
+# --- sessions of accounts ----------------------------------------------------
+
+def copy_account_sessions(spark: SparkSession, sf_dir: str, frame: DataFrame) -> DataFrame:
+    """Both copies as sessions of two account folders; a conversation with a
+    system turn is damaged in the folder of copy B."""
+    system = frame.groupBy("uid").agg(F.bool_or(F.col("role") == "system").alias("has_system"))
+    return copy_sessions(frame).join(system, "uid").select(
+        "uid", F.concat(F.lit("/root/"), "account").alias("root"), F.col("conv_id").cast("string").alias("session_id"),
+        "content_hash", "message_count", "updated_at",
+        F.when(F.col("has_system") & (F.col("account") == "B"), "damaged").otherwise("ok").alias("integrity"),
+        F.concat(F.lit("projects/x/"), "conv_id", F.lit(".jsonl")).alias("rel_path"),
+        F.concat(F.lit("conversation "), "conv_id").alias("title"), (F.col("message_count") * 100).alias("size_bytes"),
+    )
+
+
+COPY_ACCOUNT_SESSIONS = (
+    "sessions AS (SELECT t.uid, '/root/' || t.account AS root, CASE WHEN t.account = 'A' THEN 0 ELSE 1 END AS position, "
+    "t.conv_id::VARCHAR AS session_id, content_hash, message_count, updated_at, "
+    "CASE WHEN s.has_system AND t.account = 'B' THEN 'damaged' ELSE 'ok' END AS integrity, "
+    "'projects/x/' || t.conv_id || '.jsonl' AS rel_path, 'conversation ' || t.conv_id AS title, message_count * 100 AS size_bytes "
+    "FROM timed t JOIN (SELECT uid, bool_or(role = 'system') AS has_system FROM copies GROUP BY uid) s USING (uid))"
+)
+
+
+def document_sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as one-message sessions: the source is the account folder and
+    the length is the session id.  Returns messages and sessions."""
+    from sessionlake.operators import content
+
+    docs = table(spark, sf_dir, "documents")
+    null = F.lit(None).cast("string")
+    msgs = content.with_digest(docs.select(
+        F.col("doc_id").alias("uid"), F.lit(0).cast("long").alias("pos"), F.lit("user").alias("role"),
+        F.lit("text").alias("type"), "text", null.alias("tool_name"), null.alias("tool_input"), null.alias("tool_output"),
+    ))
+    hashed = content.content_hash(msgs, ["uid"])
+    sessions = docs.withColumnRenamed("doc_id", "uid").join(hashed, "uid").select(
+        "uid", F.col("source").alias("root"), F.col("n_chars").cast("string").alias("session_id"), "content_hash",
+        "message_count", F.lit("ok").alias("integrity"), F.timestamp_seconds("n_chars").alias("updated_at"),
+        F.concat(F.lit("projects/"), "lang", F.lit("/"), "n_chars", F.lit(".jsonl")).alias("rel_path"),
+        F.col("lang").alias("title"), F.col("n_chars").alias("size_bytes"),
+    )
+    return msgs, sessions
+
+
+DOCUMENT_SESSIONS = (
+    "doc_messages AS (SELECT doc_id AS uid, 0 AS pos, "
+    f"sha256({sql_message_json(chr(39) + 'user' + chr(39), 'text')}) AS msg_digest FROM documents), "
+    "sessions AS (SELECT doc_id AS uid, source AS root, row_number AS position, n_chars::VARCHAR AS session_id, "
+    "'sha256:' || sha256('uss-v1' || chr(10) || sha256(msg_digest)) AS content_hash, 1 AS message_count, 'ok' AS integrity, "
+    "make_timestamp(n_chars * 1000000) AS updated_at, 'projects/' || lang || '/' || n_chars || '.jsonl' AS rel_path, "
+    "lang AS title, n_chars AS size_bytes FROM documents d JOIN doc_messages m ON m.uid = d.doc_id "
+    "JOIN (SELECT source, row_number() OVER (ORDER BY source) AS row_number FROM (SELECT DISTINCT source FROM documents)) USING (source))"
+)

@@ -146,14 +146,12 @@ def union_sessions(pairs: DataFrame, messages: DataFrame, compared: DataFrame) -
 
 def union_hashes(merged: DataFrame, sessions: DataFrame, pairs: DataFrame) -> DataFrame:
     """Digest of each union with the digests of both parents."""
-    own = content_hash(merged, ["pair_id"])
-    kinds = merged.groupBy("pair_id").agg(F.first("merge_kind").alias("merge_kind"))
+    own = content_hash(merged, ["pair_id", "merge_kind"])
     side = lambda column, out: pairs.select("pair_id", F.col(column).alias("uid")).join(
         sessions.select("uid", F.col("content_hash").alias(out)), "uid"
     ).drop("uid")
     return (
-        own.join(kinds, "pair_id")
-        .join(side("a_uid", "a_hash"), "pair_id", "left")
+        own.join(side("a_uid", "a_hash"), "pair_id", "left")
         .join(side("b_uid", "b_hash"), "pair_id", "left")
     )
 

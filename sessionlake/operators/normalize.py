@@ -8,6 +8,7 @@ from sessionlake import fixed_values as fv
 from sessionlake.functions import hashing
 from sessionlake.functions.jsonvalues import canonical, evaluate_once, field, quoted, text_field
 from sessionlake.operators.positions import RUN_LENGTH, dense_position
+from sessionlake.session import shared
 
 MESSAGE_COLUMNS = (
     "file_path", "line_no", "block_no", "message_id", "row_uuid", "parent_uuid", "role", "type",
@@ -24,7 +25,11 @@ def rows(lines: DataFrame) -> DataFrame:
     return evaluate_once(
         lines.where("status = 'ok'").select("file_path", "line_no", "row"),
         row_type=kind,
-        message_id=F.coalesce(text_field(row, "$.message.id"), text_field(row, "$.uuid")),
+        # The id only groups the rows of one turn; a row without any is a turn
+        # of its own, named by its line.
+        message_id=F.coalesce(
+            text_field(row, "$.message.id"), text_field(row, "$.uuid"), F.concat(F.lit("line-"), "line_no")
+        ),
         is_message=kind.isin(*fv.MESSAGE_ROW_TYPES)
         & ~F.coalesce(message.isin("null", "", "false", "0"), F.lit(True)),
     )
@@ -52,19 +57,6 @@ def content_blocks(content: Column) -> Column:
     )
 
 
-def _fallback_ids(parsed: DataFrame) -> DataFrame:
-    """Number of each id-less message row among the rows of its type in its file."""
-    counted = dense_position(
-        parsed.where(F.col("row_type").isin(*fv.MESSAGE_ROW_TYPES)).select(
-            "file_path", "row_type", "line_no", "message_id"
-        ),
-        ["file_path", "row_type"], ["line_no"], F.floor(F.col("line_no") / RUN_LENGTH), "_nth",
-    )
-    return counted.where(F.col("message_id").isNull()).select(
-        "file_path", "line_no", F.concat(F.lit("row-"), F.col("_nth") + 1).alias("_fallback")
-    )
-
-
 def blocks(parsed: DataFrame) -> DataFrame:
     """One row per content block, before duplicates are dropped.
 
@@ -149,21 +141,14 @@ def repeated_blocks(frame: DataFrame) -> DataFrame:
 def messages(lines: DataFrame, with_position: bool = True) -> DataFrame:
     """The message table of classified, numbered lines.
 
-    Large corpora are best written once (``session.materialize``) and read
-    from there: positions need a second look at the keys.
+    Positions need a second look at the keys of the surviving blocks, so the
+    parsed messages are written once before they are numbered.
     """
-    parsed = rows(lines)
-    found = blocks(parsed)
-    named = (
-        found.join(_fallback_ids(parsed), ["file_path", "line_no"], "left")
-        .withColumn("message_id", F.coalesce("message_id", "_fallback"))
-        .drop("_fallback")
-    )
-    kept = drop_repeated_blocks(named).select(*MESSAGE_COLUMNS)
+    kept = drop_repeated_blocks(blocks(rows(lines))).select(*MESSAGE_COLUMNS)
     if not with_position:
         return kept
     return dense_position(
-        kept, ["file_path"], ["line_no", "block_no"], F.floor(F.col("line_no") / RUN_LENGTH)
+        shared(kept, "messages"), ["file_path"], ["line_no", "block_no"], F.floor(F.col("line_no") / RUN_LENGTH)
     )
 
 

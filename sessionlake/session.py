@@ -51,6 +51,16 @@ def materialize(frame: DataFrame, name: str, partition_by: tuple[str, ...] = ())
     return spark.read.schema(frame.schema).parquet(path)
 
 
+_COSTLY = ("Join", "Aggregate", "Window", "Generate", "MapIn", "Union")
+
+
+def shared(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` for use in several places: materialized unless it is a plain
+    scan, so that what lies below it is computed once, not once per use."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return materialize(frame, name) if any(node in plan for node in _COSTLY) else frame
+
+
 def estimated_bytes(frame: DataFrame) -> int:
     """Catalyst's size estimate of a frame; driver-side, starts no job."""
     stats = frame._jdf.queryExecution().optimizedPlan().stats()

@@ -70,7 +70,7 @@ def test_message_table(spark, lines):
     assert got[4].tool_input == '{"tool_use_id":"t1"}'
     assert got[6].tool_output == '{"imageSource":"base64","mediaType":"image/png"}'
     assert got[7].tool_output == '{"a":2,"b":1,"type":"citation"}'
-    assert got[8].message_id == "row-6"
+    assert got[8].message_id == "line-11"
     assert got[1].message_id == got[3].message_id == "m1"
 
 
@@ -83,7 +83,7 @@ def test_raw_rows_counts_and_models(spark, lines):
     assert counts == {"user": 4, "assistant": 7, "ai-title": 1, "unknown": 3}
     seen = normalize.models_seen(parsed)
     assert normalize.dominant_model(seen).first().model == "m1"
-    dups = normalize.repeated_blocks(normalize.blocks(parsed).where("message_id is not null"))
+    dups = normalize.repeated_blocks(normalize.blocks(parsed))
     assert dups.first().duplicate_blocks == 2
 
 
