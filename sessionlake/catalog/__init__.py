@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("transcripts", "reconcile")
+MODULES = ("transcripts", "reconcile", "history")
 
 
 def _loaded():

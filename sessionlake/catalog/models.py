@@ -247,3 +247,141 @@ DOCUMENT_SESSIONS = (
     "lang AS title, n_chars AS size_bytes FROM documents d JOIN doc_messages m ON m.uid = d.doc_id "
     "JOIN (SELECT source, row_number() OVER (ORDER BY source) AS row_number FROM (SELECT DISTINCT source FROM documents)) USING (source))"
 )
+
+
+# --- line items as index records of five accounts -----------------------------
+
+def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index entries: the account is the supplier's region, the record id the
+    part, the transcript the order.  The last shipment of a part is its record;
+    untaxed ones lost their transcript id; returned parts were deleted."""
+    place = (
+        table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("account_uuid"))
+    )
+    items = table(spark, sf_dir, "lineitem").join(place, "l_suppkey")
+    last = items.where("l_returnflag = 'N'").groupBy("account_uuid", "l_partkey").agg(
+        F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_tax", "l_linestatus", "l_extendedprice")).alias("x"))
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    org = F.when(F.col("x.l_linenumber") < 6, "main").otherwise("other")
+    cwd = F.concat(F.lit("/"), "p_type", F.lit("/"), "p_brand")
+    null = F.lit(None).cast("string")
+    sessions = last.join(part, "l_partkey").select(
+        F.lit("session").alias("kind"), "account_uuid", org.alias("organization_uuid"),
+        F.concat(F.lit("local_"), "l_partkey").alias("desktop_session_id"),
+        F.when(F.col("x.l_tax") > 0, F.col("x.l_orderkey").cast("string")).alias("cli_session_id"), F.col("p_name").alias("title"),
+        cwd.alias("project_path"), cwd.alias("worktree_cwd"), null.alias("origin_cwd"), null.alias("branch"),
+        (F.col("x.l_linestatus") == "F").alias("is_archived"), F.col("x.l_shipdate").alias("last_activity_at"),
+        F.lit(None).cast("timestamp").alias("deleted_at"),
+        F.concat(F.lit("/idx/"), "account_uuid", F.lit("/"), org, F.lit("/local_"), "l_partkey", F.lit(".json")).alias("index_path"),
+    )
+    deleted = items.where("l_returnflag = 'R'").groupBy("account_uuid", "l_partkey").agg(F.max("l_shipdate").alias("deleted_at")).select(
+        F.lit("deleted").alias("kind"), "account_uuid", F.lit("main").alias("organization_uuid"),
+        F.col("l_partkey").cast("string").alias("desktop_session_id"), F.lit(False).alias("is_archived"), "deleted_at",
+        F.concat(F.lit("/idx/"), "account_uuid", F.lit("/main/deleted_"), "l_partkey").alias("index_path"),
+    )
+    return shared(sessions.unionByName(deleted, True), "index-entries")
+
+
+INDEX_ENTRIES = (
+    "items AS (SELECT l.*, r_name AS account_uuid FROM lineitem l JOIN supplier ON s_suppkey = l_suppkey "
+    "JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey), "
+    "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_uuid, l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, "
+    "l_linenumber DESC, l_tax DESC, l_linestatus DESC, l_extendedprice DESC) AS k FROM items WHERE l_returnflag = 'N') WHERE k = 1), "
+    "index_entries AS (SELECT 'session' AS kind, account_uuid, CASE WHEN l_linenumber < 6 THEN 'main' ELSE 'other' END AS organization_uuid, "
+    "'local_' || l_partkey AS desktop_session_id, CASE WHEN l_tax > 0 THEN l_orderkey::VARCHAR END AS cli_session_id, p_name AS title, "
+    "'/' || p_type || '/' || p_brand AS project_path, l_linestatus = 'F' AS is_archived, l_shipdate AS last_activity_at, NULL::TIMESTAMP AS deleted_at, "
+    "'/idx/' || account_uuid || '/' || CASE WHEN l_linenumber < 6 THEN 'main' ELSE 'other' END || '/local_' || l_partkey || '.json' AS index_path "
+    "FROM last JOIN part ON p_partkey = l_partkey UNION ALL "
+    "SELECT 'deleted', account_uuid, 'main', l_partkey::VARCHAR, NULL, NULL, NULL, false, NULL, max(l_shipdate), "
+    "'/idx/' || account_uuid || '/main/deleted_' || l_partkey FROM items WHERE l_returnflag = 'R' GROUP BY account_uuid, l_partkey), "
+    "records AS (SELECT * FROM index_entries WHERE kind = 'session' AND organization_uuid = 'main' AND account_uuid <> 'MIDDLE EAST'), "
+    "tombstones AS (SELECT account_uuid, desktop_session_id AS bare FROM index_entries WHERE kind = 'deleted' AND account_uuid <> 'MIDDLE EAST'), "
+    "accounts AS (SELECT r_name AS account_uuid, r_regionkey AS position FROM region WHERE r_name <> 'MIDDLE EAST'), "
+    "listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_uuid, cli_session_id ORDER BY index_path DESC) AS j "
+    "FROM records WHERE cli_session_id IS NOT NULL) WHERE j = 1)"
+)
+
+
+def index_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions as accounts; for one of them the folder is not known."""
+    unknown = F.col("r_name") == "MIDDLE EAST"
+    return table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("account_uuid"), F.col("r_regionkey").alias("position"), F.col("r_name").alias("label"),
+        F.when(~unknown, "main").alias("history_org"), F.when(~unknown, F.concat(F.lit("/idx/"), "r_name", F.lit("/main"))).alias("history_dir"),
+        unknown.alias("ambiguous"), F.when(unknown, "several-populated").otherwise("populated").alias("reason"),
+    )
+
+
+# --- orders as listed transcripts ----------------------------------------------
+
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory: orders are main transcripts, their line items sub-agents."""
+    null = F.lit(None).cast("string")
+    main = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("/r/projects/"), "o_custkey", F.lit("/"), "o_orderkey", F.lit(".jsonl")).alias("file_path"),
+        F.lit("/r").alias("root"), F.col("o_custkey").cast("string").alias("project_dir"), F.col("o_orderkey").cast("string").alias("file_session_id"),
+        F.lit("main").alias("kind"), null.alias("parent_session_id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size_bytes"),
+        F.col("o_orderdate").alias("mtime"),
+    )
+    child = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("/r/projects/x/"), "l_orderkey", F.lit("/subagents/workflows/"), "l_partkey", F.lit("/"), "l_suppkey", F.lit(".jsonl")).alias("file_path"),
+        F.lit("/r").alias("root"), F.lit("x").alias("project_dir"), F.col("l_suppkey").cast("string").alias("file_session_id"),
+        F.lit("agent").alias("kind"), F.col("l_orderkey").cast("string").alias("parent_session_id"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("size_bytes"), F.col("l_shipdate").alias("mtime"),
+    )
+    return main.unionByName(child)
+
+
+def order_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing records of the orders, as the scan of their files would give."""
+    null = F.lit(None).cast("string")
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(
+        F.concat(F.lit("/r/projects/"), "o_custkey", F.lit("/"), "o_orderkey", F.lit(".jsonl")).alias("file_path"), F.lit("/r").alias("root"),
+        F.col("o_custkey").cast("string").alias("project_dir"), F.col("o_custkey").cast("string").alias("project_path_decoded"),
+        F.col("o_orderkey").cast("string").alias("session_id"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.concat(F.lit("/seg/"), "c_mktsegment")).alias("project_path"),
+        F.col("o_orderpriority").alias("model"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Order "), "o_orderkey")).alias("title"),
+        null.alias("version"), null.alias("git_branch"), null.alias("created_at"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size_bytes"),
+        F.col("o_orderdate").alias("mtime"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("c_mktsegment")).alias("owner_account"), null.alias("owner_org"),
+    )
+
+
+def order_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "truncated").otherwise("damaged")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("/r/projects/"), "o_custkey", F.lit("/"), "o_orderkey", F.lit(".jsonl")).alias("file_path"), states.alias("integrity"))
+
+
+LISTING = (
+    f"{INDEX_ENTRIES}, "
+    "claims AS (SELECT cli_session_id, account_uuid, count(*) AS records, min(index_path) AS first_path FROM index_entries WHERE kind = 'session' AND cli_session_id IS NOT NULL GROUP BY 1, 2), "
+    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cli_session_id ORDER BY last_activity_at DESC, index_path) AS k FROM index_entries "
+    "WHERE kind = 'session' AND cli_session_id IS NOT NULL) WHERE k = 1), "
+    "claimed AS (SELECT cli_session_id, count(*) AS n_accounts, sum(records)::BIGINT AS n_records, min(account_uuid) AS only_account FROM claims GROUP BY 1), "
+    "children AS (SELECT l_orderkey::VARCHAR AS session_id, count(*) AS n FROM lineitem GROUP BY 1), "
+    "listing AS (SELECT '/r/projects/' || o_custkey || '/' || o_orderkey || '.jsonl' AS file_path, '/r' AS root, o_orderkey::VARCHAR AS session_id, o_custkey::VARCHAR AS project_dir, "
+    "CASE WHEN c_mktsegment <> 'BUILDING' THEN '/seg/' || c_mktsegment ELSE b.project_path END AS project_path, o_orderpriority AS model, "
+    "coalesce(CASE WHEN o_orderstatus = 'F' THEN 'Order ' || o_orderkey END, b.title) AS title, strftime(o_orderdate, '%Y-%m-%d') AS updated_at, "
+    "round(o_totalprice * 100)::BIGINT AS size_bytes, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'truncated' ELSE 'damaged' END AS integrity, "
+    "coalesce(ch.n, 0) AS sub_agent_count, CASE WHEN n_accounts = 1 THEN only_account WHEN o_orderpriority = '1-URGENT' THEN c_mktsegment END AS owner_account, "
+    "CASE WHEN n_accounts = 1 THEN 'desktop-index' WHEN n_accounts > 1 AND o_orderpriority <> '1-URGENT' THEN 'shared' "
+    "WHEN n_accounts IS NULL AND o_orderpriority = '1-URGENT' THEN 'transcript' END AS owner_source, coalesce(n_accounts, 0) AS n_accounts, "
+    "b.desktop_session_id AS desktop_session_id, b.is_archived AS is_archived "
+    "FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN claimed c ON c.cli_session_id = o_orderkey::VARCHAR "
+    "LEFT JOIN best b ON b.cli_session_id = o_orderkey::VARCHAR LEFT JOIN children ch ON ch.session_id = o_orderkey::VARCHAR)"
+)
+
+
+def listing(spark: SparkSession, sf_dir: str):
+    """Sessions with owners, and the claims behind them."""
+    from sessionlake.operators import listing as ls
+
+    claims = ls.index_claims(index_entries(spark, sf_dir))
+    claims = shared(claims, "claims")
+    sessions = ls.list_sessions(
+        order_meta(spark, sf_dir), transcript_files(spark, sf_dir), claims, order_integrity(spark, sf_dir), "t", "acct")
+    return sessions, claims

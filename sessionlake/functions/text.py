@@ -66,7 +66,7 @@ def format_bytes(size: Column) -> Column:
 
 def relative_age(instant: Column, now: Column) -> Column:
     """Age bucket relative to ``now``: just now, minutes, hours, days, date."""
-    seconds = (F.unix_micros(now) - F.unix_micros(instant)) / 1_000_000
+    seconds = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(instant.cast("timestamp"))) / 1_000_000
     bucket = lambda unit, suffix: F.concat(
         F.floor(seconds / unit).cast("string"), F.lit(suffix)
     )

@@ -37,7 +37,7 @@ def with_destination(records: DataFrame, roots: DataFrame, target_tool: str | No
 
 def _first(sessions: DataFrame, keys: list[str], name: str) -> DataFrame:
     """First existing session per key, latest update first; combines map-side."""
-    newest = F.coalesce(-F.unix_micros("updated_at"), F.lit(2**63 - 1))
+    newest = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(2**63 - 1))
     order = F.struct(newest.alias("t"), F.col("uid").alias("u"))
     return sessions.groupBy(*keys).agg(
         F.min(F.struct(order.alias("o"), "uid", "file_path")).alias(name)

@@ -35,7 +35,7 @@ def select_accounts(available: DataFrame, requested: list[str] | None = None):
 
 def _load_order() -> Column:
     """Accounts in their order, then latest update first, then uid."""
-    newest = F.coalesce(-F.unix_micros("updated_at"), F.lit(2**63 - 1))
+    newest = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(2**63 - 1))
     return F.struct(F.col("_account").alias("a"), newest.alias("t"), F.col("uid").alias("u"))
 
 
