@@ -23,12 +23,8 @@ def path_hash(path: Column) -> Column:
 
     Runs over UTF-16 units of the original path; multiplier 31, wrapping.
     """
-    units = F.encode(path, "UTF-16BE")
-    hexed = F.hex(units)
-    codes = F.transform(
-        F.sequence(F.lit(0), (F.length(hexed) / 4).cast("int") - 1),
-        lambda i: F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("long"),
-    )
+    units = F.regexp_extract_all(F.hex(F.encode(path, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    codes = F.transform(units, lambda unit: F.conv(unit, 16, 10).cast("long"))
     wrapped = F.aggregate(
         codes,
         F.lit(0).cast("long"),

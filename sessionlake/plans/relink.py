@@ -174,11 +174,11 @@ def _left_at_turn(chosen: DataFrame, entries: DataFrame, claims: DataFrame, list
     timeline = asked.select("*", F.lit(0).alias("_taken")).unionByName(
         events.select("account_uuid", "list", "r_ord", F.lit(1).alias("_taken")))
     placed = dense_position(timeline, ["account_uuid", "list"], ["r_ord", "_taken"], F.shiftright("r_ord", 12))
-    summed = running_total(placed, ["account_uuid", "list"], "pos", "_taken", "_before").where("_taken = 0")
+    summed = running_total(placed, ["account_uuid", "list"], "pos", "_taken", "_spent").where("_taken = 0")
     total = entries.groupBy("list").agg(F.count("*").alias("_total"))
     held = entries.join(claims.distinct(), "session_id").join(used, ["account_uuid", "list"], "left_semi").groupBy(
         "account_uuid", "list").agg(F.count("*").alias("_held"))
-    free = F.col("_total") - F.coalesce("_held", F.lit(0)) - F.col("_before")
+    free = F.col("_total") - F.coalesce("_held", F.lit(0)) - F.col("_spent")
     counted = summed.join(total, "list").join(held, ["account_uuid", "list"], "left").select(
         "account_uuid", "r_ord", free.alias(out))
     return chosen.join(counted, ["account_uuid", "r_ord"], "left")
