@@ -147,9 +147,12 @@ def messages(lines: DataFrame, with_position: bool = True) -> DataFrame:
     kept = drop_repeated_blocks(blocks(rows(lines))).select(*MESSAGE_COLUMNS)
     if not with_position:
         return kept
-    return dense_position(
-        shared(kept, "messages"), ["file_path"], ["line_no", "block_no"], F.floor(F.col("line_no") / RUN_LENGTH)
-    )
+    return positions(shared(kept, "messages"))
+
+
+def positions(kept: DataFrame) -> DataFrame:
+    """Adds ``pos``, the 0-based place of each message in its transcript."""
+    return dense_position(kept, ["file_path"], ["line_no", "block_no"], F.floor(F.col("line_no") / RUN_LENGTH))
 
 
 def tool_result_backfill(parsed: DataFrame, kept: DataFrame) -> DataFrame:

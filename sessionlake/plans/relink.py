@@ -7,6 +7,7 @@ is left.  Choosing is not done record by record: see ``assign``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionlake import fixed_values as fv
@@ -108,14 +109,25 @@ def _entries(keys: DataFrame, transcripts: DataFrame, titles: DataFrame) -> Data
     return dense_position(shared(once, "title-lists"), ["list"], ["t_ord"], F.shiftright("t_ord", 12))
 
 
-def assign(keys: DataFrame, entries: DataFrame, claims: DataFrame) -> DataFrame:
+# Accounts with at most this many searching records are settled in one pass
+# each; what they need is bounded by it.  Larger ones are settled in rounds.
+ONE_PASS_RECORDS = 2_000
+# Places fetched of a list beyond those its own records can need: transcripts
+# may also go to records that reach them through another title.
+ONE_PASS_SLACK = 100
+
+_DONE = "account_uuid string, r_ord bigint, n int, list string, session_id string, file_path string"
+
+
+def assign(keys: DataFrame, entries: DataFrame, claims: DataFrame, one_pass: int = ONE_PASS_RECORDS) -> DataFrame:
     """Gives each record the best transcript that records before it left.
 
     ``keys``: ``account_uuid, r_ord, n, list``; ``entries``: ``list,
     session_id, file_path, pos``; ``claims``: ``account_uuid, session_id``.
 
-    All records standing at one list are paired with its free transcripts rank
-    by rank, so a title shared by a million records is one join on ranks.  A
+    An account of bounded size is one small group.  In a larger one all
+    records standing at one list are paired with its free transcripts rank by
+    rank, so a title shared by a million records is one join on ranks.  A
     record whose rank exceeds what is free moves to its next list.  Everything
     before the first record that moved, or met an earlier record at the same
     transcript, is what one-by-one choosing gives and is final; the rest goes
@@ -123,30 +135,95 @@ def assign(keys: DataFrame, entries: DataFrame, claims: DataFrame) -> DataFrame:
     """
     existing = keys.join(entries.select("list").distinct(), "list", "left_semi")
     order = existing.groupBy("account_uuid", "r_ord").agg(F.array_sort(F.collect_list(F.struct("n", "list"))).alias("lists"))
-    pending = materialize(order.withColumn("level", F.lit(0)), "pending")
+    order = materialize(order.withColumn("level", F.lit(0)), "pending")
     taken = claims.select("account_uuid", "session_id").distinct()
-    final, rounds = None, 0
+    sizes = order.groupBy("account_uuid").agg(F.count("*").alias("_n"))
+    small = sizes.where(F.col("_n") <= one_pass).select("account_uuid")
+    final = materialize(_one_pass(order.join(small, "account_uuid", "left_semi"), entries, taken), "one-pass")
+    # A pass stops where a list would have to be read further than was fetched.
+    stuck = final.where("n < 0").select("account_uuid", F.col("r_ord").alias("_from"))
+    final = final.where("n >= 0")
+    left = order.join(small, "account_uuid", "left_anti").unionByName(
+        order.join(stuck, "account_uuid").where("r_ord >= _from").drop("_from"))
+    pending, rounds = materialize(left, "pending"), 0
+    taken = taken.unionByName(final.select("account_uuid", "session_id"))
     while not pending.isEmpty():
         done, pending, taken = _round(pending, entries, taken, rounds)
-        final = done if final is None else final.unionByName(done)
+        final = final.unionByName(done)
         rounds += 1
-    if final is None:
-        schema = "account_uuid string, r_ord bigint, n int, list string, session_id string, file_path string"
-        return keys.sparkSession.createDataFrame([], schema)
     return final
 
 
-def _round(pending: DataFrame, entries: DataFrame, taken: DataFrame, number: int):
+def _reach(current: DataFrame, entries: DataFrame, taken: DataFrame, slack: int = 0) -> DataFrame:
+    """Free entries of the lists in use (``account_uuid, list`` per record), as
+    far into each list as its records can need: one place per record and one
+    per session that is taken already."""
     here = ["account_uuid", "list"]
-    current = pending.withColumn("_at", F.get("lists", F.col("level"))).select(
-        *pending.columns, F.col("_at.list").alias("list"), F.col("_at.n").alias("n"))
     standing = current.groupBy(*here).agg(F.count("*").alias("_n"))
-    # Claimed sessions of the lists in use; each costs one more place to look at.
     claimed = entries.select("list", "session_id").join(taken, "session_id").join(standing.select(*here), here, "left_semi")
     spent = claimed.groupBy(*here).agg(F.count("*").alias("_c"))
-    reach = standing.join(spent, here, "left").select(
-        *here, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") + F.coalesce("_c", F.lit(0)) - 1)).alias("pos"))
-    free = reach.join(entries, ["list", "pos"]).join(taken, ["account_uuid", "session_id"], "left_anti")
+    reach = standing.join(spent, here, "left").withColumn("_end", F.col("_n") + F.coalesce("_c", F.lit(0)) + slack)
+    places = reach.select(*here, "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_end") - 1)).alias("pos"))
+    free = places.join(entries, ["list", "pos"]).join(taken, ["account_uuid", "session_id"], "left_anti")
+    return free.select(*here, "_end", "pos", "session_id", "file_path")
+
+
+def _one_pass(order: DataFrame, entries: DataFrame, taken: DataFrame) -> DataFrame:
+    wishes = order.select("account_uuid", "r_ord", F.inline("lists"))
+    free = _reach(wishes, entries, taken, ONE_PASS_SLACK)
+    sizes = entries.groupBy("list").agg(F.count("*").alias("_size"))
+    offers = free.join(sizes, "list").select(
+        "account_uuid", F.lit(None).cast("long").alias("r_ord"), F.lit(None).cast("int").alias("n"), "list", "pos",
+        "session_id", "file_path", (F.col("_end") < F.col("_size")).alias("more"))
+    # A list whose fetched part is all taken still has to say that it goes on.
+    ends = _ends(wishes, entries, taken, sizes)
+    return wishes.unionByName(offers, True).unionByName(ends, True).groupBy("account_uuid").applyInPandas(_choose, _DONE)
+
+
+def _ends(wishes: DataFrame, entries: DataFrame, taken: DataFrame, sizes: DataFrame) -> DataFrame:
+    here = ["account_uuid", "list"]
+    standing = wishes.groupBy(*here).agg(F.count("*").alias("_n"))
+    spent = entries.select("list", "session_id").join(taken, "session_id").join(standing.select(*here), here, "left_semi").groupBy(
+        *here).agg(F.count("*").alias("_c"))
+    reach = standing.join(spent, here, "left").join(sizes, "list")
+    return reach.where(F.col("_n") + F.coalesce("_c", F.lit(0)) + ONE_PASS_SLACK < F.col("_size")).select(*here, F.lit(True).alias("more"))
+
+
+def _choose(group: pd.DataFrame) -> pd.DataFrame:
+    """Records of one account choose in order; the first that would need more
+    of a list than is here is reported with ``n = -1`` and ends the pass."""
+    endless = set(group.loc[group["more"].fillna(False).astype(bool), "list"])
+    offers: dict = {}
+    found = group[group["session_id"].notna()].sort_values("pos")
+    for name, session, path in zip(found["list"], found["session_id"], found["file_path"]):
+        offers.setdefault(name, []).append((session, path))
+    used, at, out = set(), {}, []
+    account = group["account_uuid"].iloc[0]
+    asked = group[group["r_ord"].notna()].sort_values(["r_ord", "n"])
+    for record, wishes in asked.groupby("r_ord", sort=True):
+        for n, name in zip(wishes["n"], wishes["list"]):
+            offered, place = offers.get(name, []), at.get(name, 0)
+            while place < len(offered) and offered[place][0] in used:
+                place += 1
+            at[name] = place
+            if place < len(offered):
+                used.add(offered[place][0])
+                out.append((account, int(record), int(n), name, *offered[place]))
+                break
+            if name in endless:
+                out.append((account, int(record), -1, name, None, None))
+                return pd.DataFrame(out, columns=_DONE_COLUMNS)
+    return pd.DataFrame(out, columns=_DONE_COLUMNS)
+
+
+_DONE_COLUMNS = [part.split()[0] for part in _DONE.split(", ")]
+
+
+def _round(pending: DataFrame, entries: DataFrame, taken: DataFrame, number: int):
+    here = ["account_uuid", "list"]
+    current = pending.withColumn("_at", F.get("lists", F.col("level"))).select(
+        *pending.columns, F.col("_at.list").alias("list"), F.col("_at.n").alias("n"))
+    free = _reach(current, entries, taken)
     free = dense_position(free.select(*here, "pos", "session_id", "file_path"), here, ["pos"], F.shiftright("pos", 12), "rank")
     ranked = dense_position(current, here, ["r_ord"], F.shiftright("r_ord", 12), "rank")
     proposed = ranked.join(free.select(*here, "rank", "session_id", "file_path"), [*here, "rank"], "left")
@@ -184,7 +261,9 @@ def _left_at_turn(chosen: DataFrame, entries: DataFrame, claims: DataFrame, list
     return chosen.join(counted, ["account_uuid", "r_ord"], "left")
 
 
-def scan_broken(records: DataFrame, transcripts: DataFrame, titles: DataFrame, account: str | None = None) -> DataFrame:
+def scan_broken(
+    records: DataFrame, transcripts: DataFrame, titles: DataFrame, account: str | None = None, one_pass: int = ONE_PASS_RECORDS
+) -> DataFrame:
     """Broken records with the transcript each one probably points at.
 
     ``records``: index records including broken ones; ``transcripts`` and
@@ -201,7 +280,7 @@ def scan_broken(records: DataFrame, transcripts: DataFrame, titles: DataFrame, a
         "account_uuid", F.col("cli_session_id").alias("session_id")).distinct()
     keys = shared(_list_keys(searching), "list-keys")
     entries = materialize(_entries(keys, transcripts, titles), "entries")
-    chosen = assign(keys, entries, claims)
+    chosen = assign(keys, entries, claims, one_pass)
     # The lists behind the choice: all matches of its tier, and those in the
     # record's folders.
     tier = keys.select("account_uuid", "r_ord", F.floor(F.col("n") / 2).alias("_tier"),
