@@ -10,46 +10,62 @@ from sessionlake.functions.text import js_trim
 _MARK = "~end-of-row~"
 
 
-def checked_json(trimmed: Column) -> Column:
-    """The value as a variant when the text is exactly one JSON value, else null.
-
-    The parser stops after the first value and would accept trailing junk, so
-    the text is parsed inside an array that ends with a marker: only when the
-    text is one complete value does the array have exactly two elements, the
-    second being the marker.  One parse serves both the test and the value.
-    Text that holds the marker itself is tested inside an array and an object
-    instead, which between them leave room for one value only.
+def _pair(trimmed: Column) -> Column:
+    """The text parsed as first element of an array that ends with a marker.
+
+    The parser stops after the first value and would accept trailing junk.  In
+    the array the marker is the second element only when the text is one
+    complete value (and does not hold the marker itself).
     """
-    items = _as_array(
-        F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit(f',"{_MARK}"]')))
-    )
-    one_value = (F.size(items) == 2) & (
-        F.coalesce(F.try_variant_get(F.get(items, F.lit(1)), "$", "string"), F.lit("")) == _MARK
-    )
+    return F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit(f',"{_MARK}"]')))
+
+
+def _first(value: Column) -> Column:
+    # Looked up by path: casting to an array would copy every element.
+    return F.try_variant_get(value, "$[0]", "variant")
+
+
+def _complete(pair: Column) -> Column:
+    return F.coalesce(F.try_variant_get(pair, "$[1]", "string"), F.lit("")) == _MARK
+
+
+def _marked_value(trimmed: Column) -> Column:
+    """Value of a text that holds the marker: it must parse inside an array and
+    inside an object, which between them leave room for one value only."""
     in_array = F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), trimmed, F.lit("}")))
-    marked = F.contains(trimmed, F.lit(_MARK))
-    return F.when(
-        marked, F.when(in_object.isNotNull(), F.get(_as_array(in_array), F.lit(0)))
-    ).when(one_value, F.get(items, F.lit(0)))
+    return F.when(in_object.isNotNull(), _first(in_array))
 
 
-def _as_array(value: Column) -> Column:
-    return value.try_cast("array<variant>")
+def checked_json(trimmed: Column) -> Column:
+    """The value as a variant when the text is exactly one JSON value, else null."""
+    pair = _pair(trimmed)
+    return F.when(F.contains(trimmed, F.lit(_MARK)), _marked_value(trimmed)).when(_complete(pair), _first(pair))
+
 
+def parse_lines(frame: DataFrame, raw: str = "raw", with_row: bool = True) -> DataFrame:
+    """Adds ``status`` (ok, blank, parse, oversized-line) and the parsed ``row``.
 
-def line_status(raw: Column) -> Column:
-    """Struct of ``status`` (ok, blank, parse, oversized-line) and ``row``."""
-    trimmed = js_trim(raw)
-    parsed = checked_json(trimmed)
-    return F.struct(
-        F.when(trimmed == "", "blank")
-        .when(parsed.isNotNull(), "ok")
-        .when(F.length(trimmed) > fv.MAX_PARSE_CHARS, "oversized-line")
+    The text is parsed once.
+    """
+    text = F.coalesce(F.col(raw), F.lit(""))
+    # Nearly every line is an object and needs no trimming.
+    bare = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    trimmed = F.when(bare, text).otherwise(js_trim(text))
+    marked = F.contains(text, F.lit(_MARK))
+    parsed = evaluate_once(frame, _pair=F.when(~marked, _pair(trimmed)))
+    pair = F.col("_pair")
+    good = F.when(marked, _marked_value(trimmed).isNotNull()).otherwise(_complete(pair))
+    status = (
+        F.when(good, "ok")
+        .when(trimmed == "", "blank")
+        .when(F.length(text) > fv.MAX_PARSE_CHARS, "oversized-line")
         .otherwise("parse")
-        .alias("status"),
-        parsed.alias("row"),
     )
+    if not with_row:
+        return evaluate_once(parsed, status=status).drop("_pair")
+    row = F.when(marked, _marked_value(trimmed)).when(_complete(pair), _first(pair))
+    return evaluate_once(parsed, status=status, row=row).drop("_pair")
 
 
 def field(value: Column, path: str, kind: str = "string") -> Column:

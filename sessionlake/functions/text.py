@@ -7,15 +7,33 @@ from pyspark.sql import Column, functions as F
 from sessionlake import fixed_values as fv
 
 
+def _padded(text: Column) -> Column:
+    space = F.lit(fv.WHITE_SPACE)
+    return F.contains(space, F.substring(text, 1, 1)) | F.contains(space, F.substring(text, -1, 1))
+
+
 def js_trim(text: Column) -> Column:
-    """Trim the white space ECMAScript trims (more than Spark's ``trim``)."""
-    return F.btrim(text, F.lit(fv.WHITE_SPACE))
+    """Trim the white space ECMAScript trims (more than Spark's ``trim``).
+
+    Trimming by a set of characters walks the whole text, so it is done only
+    where an end has something to trim.
+    """
+    return F.when(_padded(text), F.btrim(text, F.lit(fv.WHITE_SPACE))).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:
-    """CRLF to LF, no trailing blanks on any line, trimmed; null stays null."""
-    unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    return js_trim(F.regexp_replace(unix, "[ \\t]+(?=[\\n\\r\\u2028\\u2029]|\\z)", ""))
+    """CRLF to LF, no trailing blanks on any line, trimmed; null stays null.
+
+    All tests are made on the text as it came: an end that needs no trim there
+    needs none later, and lines end in blanks only where these pairs occur.
+    """
+    has = lambda part: F.contains(text, F.lit(part))
+    unix = F.when(has("\r"), F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text)
+    ragged = has(" \n") | has("\t\n") | has("\r") | has("\u2028") | has("\u2029")
+    cut = F.when(
+        ragged, F.regexp_replace(unix, "[ \\t]+(?=[\\n\\r\\u2028\\u2029]|\\z)", "")
+    ).otherwise(unix)
+    return F.when(_padded(text), F.btrim(cut, F.lit(fv.WHITE_SPACE))).otherwise(cut)
 
 
 def utf16_length(text: Column) -> Column:

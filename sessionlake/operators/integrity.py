@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
-from sessionlake.functions.jsonvalues import evaluate_once, line_status
+from sessionlake.functions.jsonvalues import parse_lines
 from sessionlake.functions.paths import clean_path
 from sessionlake.functions.text import js_trim, size_warnings
 from sessionlake.sources import jsonl
@@ -67,8 +67,7 @@ def scan_integrity(spark: SparkSession, paths: str | list[str], inventory: DataF
     lines: empty ones, and ``unreadable`` ones.
     """
     lines = jsonl.scan(spark, paths)
-    status = line_status(F.col("raw"))["status"]
-    flagged = evaluate_once(lines, status=status)
+    flagged = parse_lines(lines, with_row=False)
     bad = F.col("status").isin("parse", "oversized-line")
     # One sortable number per line: its split, then its place, then the verdict.
     last = F.max(F.struct("split_start", "scan_order", bad.alias("bad")))

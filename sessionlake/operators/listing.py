@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionlake import fixed_values as fv
 from sessionlake.functions import hashing, text as tx
-from sessionlake.functions.jsonvalues import evaluate_once, field, line_status, text_field
+from sessionlake.functions.jsonvalues import field, parse_lines, text_field
 from sessionlake.functions.paths import decode_project_dir
 from sessionlake.sources.jsonl import head_rows, tail_rows
 
@@ -201,7 +201,7 @@ def file_owners(lines: DataFrame, which: str = "last") -> DataFrame:
     ``which='first'`` takes the first.
     """
     hit = lines.where(F.contains("raw", F.lit("ownerAccountUuid"))).select("file_path", "line_no", "raw")
-    opened = evaluate_once(hit, row=line_status(F.col("raw"))["row"])
+    opened = parse_lines(hit)
     found = opened.select(
         "file_path", "line_no", text_field(F.col("row"), "$.ownerAccountUuid").alias("account_uuid"),
         text_field(F.col("row"), "$.ownerOrganizationUuid").alias("organization_uuid"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
 from sessionlake.functions import text as tx
-from sessionlake.functions.jsonvalues import evaluate_once, field, line_status
+from sessionlake.functions.jsonvalues import field, parse_lines
 from sessionlake.functions.text import js_trim
 
 SEARCHED = ("session_id", "project_path", "model", "title", "project_dir")
@@ -134,7 +134,7 @@ def read_audit(lines: DataFrame, limit: int = fv.AUDIT_ROWS, order: tuple[str, .
     """
     filled = lines.where(js_trim(F.col("raw")) != "")
     newest = filled.orderBy(*[F.desc(c) for c in order]).limit(limit)
-    opened = evaluate_once(newest, row=line_status(F.col("raw"))["row"])
+    opened = parse_lines(newest)
     row, broken = F.col("row"), F.col("row").isNull()
     return opened.select(
         *order, field(row, "$.at").alias("at"),

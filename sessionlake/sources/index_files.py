@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
-from sessionlake.functions.jsonvalues import evaluate_once, field, line_status, text_field
+from sessionlake.functions.jsonvalues import field, parse_lines, text_field
 from sessionlake.functions.paths import clean_path
 from sessionlake.functions.text import is_uuid, millis_to_timestamp
 from sessionlake.session import configure
@@ -49,8 +49,7 @@ def parse_records(documents: DataFrame, strict_folders: bool = True) -> DataFram
     kept = placed.where(tombstone | record)
     if strict_folders:
         kept = kept.where(is_uuid(F.col("account_uuid"), True) & is_uuid(F.col("organization_uuid"), True))
-    gate = line_status(F.coalesce("raw", F.lit("")))
-    opened = evaluate_once(kept, row=gate["row"])
+    opened = parse_lines(kept)
     row = F.col("row")
     archived = field(row, "$.isArchived")
     session = F.when(~tombstone, row)
@@ -139,7 +138,7 @@ def parse_identities(documents: DataFrame) -> DataFrame:
     without an account give no row.
     """
     small = documents.where(F.col("size_bytes") <= fv.MAX_CONFIG_BYTES)
-    opened = evaluate_once(small, row=line_status(F.coalesce("raw", F.lit("")))["row"])
+    opened = parse_lines(small)
     get = lambda name: field(F.col("row"), f"$.oauthAccount.{name}")
     return opened.select(
         "file_path",

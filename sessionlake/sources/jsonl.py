@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
-from sessionlake.functions.jsonvalues import evaluate_once, line_status
+from sessionlake.functions.jsonvalues import parse_lines
 from sessionlake.functions.paths import clean_path
 from sessionlake.operators.positions import run_starts
 from sessionlake.session import configure, estimated_bytes
@@ -142,8 +142,7 @@ def classify(lines: DataFrame) -> DataFrame:
     A failed last line of a file without a final line feed is a
     ``truncated-tail``: its writer may have stopped in the middle.
     """
-    gate = line_status(F.col("raw"))
-    gated = evaluate_once(lines, status=gate["status"], row=gate["row"])
+    gated = parse_lines(lines)
     if {"line_no", "total_lines", "last_line_terminated"} <= set(lines.columns):
         tail = (F.col("line_no") == F.col("total_lines")) & ~F.col("last_line_terminated")
         failed = F.col("status").isin("parse", "oversized-line")
