@@ -61,24 +61,29 @@ def error_list(lines: DataFrame, limit: int = fv.ERRORS_KEPT) -> DataFrame:
 def scan_integrity(spark: SparkSession, paths: str | list[str], inventory: DataFrame | None = None) -> DataFrame:
     """Full-file verification in one pass over the bytes.
 
-    No line numbers are needed: the last line of a file is the maximum of
-    (split, order in split), which aggregates map-side with the counters.
-    ``inventory`` (see ``sources.inventory``) adds the files that yield no
-    lines: empty ones, and ``unreadable`` ones.
+    No line numbers are needed: the last line of a file is the last one of its
+    last split.  Lines are counted per split first, with plain numbers, so the
+    counting is hash-based and complete before the shuffle.  ``inventory`` (see
+    ``sources.inventory``) adds the files that yield no lines: empty ones, and
+    ``unreadable`` ones.
     """
-    lines = jsonl.scan(spark, paths)
-    flagged = parse_lines(lines, with_row=False)
+    flagged = parse_lines(jsonl.scan(spark, paths), with_row=False)
     bad = F.col("status").isin("parse", "oversized-line")
-    # One sortable number per line: its split, then its place, then the verdict.
-    last = F.max(F.struct("split_start", "scan_order", bad.alias("bad")))
-    counts = flagged.groupBy("file_path").agg(
-        F.max("file_size").alias("size_bytes"),
-        F.count("*").alias("total_lines"),
-        F.count_if(F.col("status") == "ok").alias("parsed_rows"),
-        F.count_if(F.col("status") == "blank").alias("blank_lines"),
-        F.count_if(bad).alias("error_count"),
-        last.alias("_last"),
-        (F.max("file_size") - F.sum("line_bytes")).alias("_rest"),
+    per_split = flagged.groupBy("file_path", "split_start").agg(
+        F.max("file_size").alias("size_bytes"), F.sum("line_bytes").alias("_bytes"),
+        F.count("*").alias("_lines"),
+        F.count_if(F.col("status") == "ok").alias("_ok"),
+        F.count_if(F.col("status") == "blank").alias("_blank"),
+        F.count_if(bad).alias("_bad"),
+        F.max("scan_order").alias("_last"), F.max(F.when(bad, F.col("scan_order"))).alias("_last_bad"),
+    )
+    ends_badly = F.col("_last").eqNullSafe(F.col("_last_bad"))
+    counts = per_split.groupBy("file_path").agg(
+        F.max("size_bytes").alias("size_bytes"),
+        F.sum("_lines").alias("total_lines"), F.sum("_ok").alias("parsed_rows"),
+        F.sum("_blank").alias("blank_lines"), F.sum("_bad").alias("error_count"),
+        F.max(F.struct("split_start", ends_badly.alias("bad"))).alias("_last"),
+        (F.max("size_bytes") - F.sum("_bytes")).alias("_rest"),
     )
     terminated = ~F.col("_rest").isin(-1, 2)
     tail = (F.col("_last.bad") & ~terminated).cast("int")

@@ -166,9 +166,8 @@ def settle_writes(staged: DataFrame, existing_paths: DataFrame, order: list[str]
     # actions that write nothing do not share a group.
     joined = staged.join(there, "_path", "left").withColumn(
         "_refused", F.col("_there").isNotNull() & ~may_replace
-    )
-    own_group = F.coalesce("_path", F.concat_ws("|", *[F.col(c).cast("string") for c in order], "session_id"))
-    first = W.partitionBy(own_group, "_refused").orderBy(*order)
+    ).withColumn("_row", F.monotonically_increasing_id())
+    first = W.partitionBy(F.coalesce("_path", F.col("_row").cast("string")), "_refused").orderBy(*order)
     writing = F.col("_path").isNotNull()
     lost = writing & (F.col("_refused") | (F.col("_turn") > 1))
     return (
@@ -178,7 +177,7 @@ def settle_writes(staged: DataFrame, existing_paths: DataFrame, order: list[str]
         .withColumn("overwrites", writing & F.col("_there").isNotNull() & ~lost)
         .withColumn("error", F.when(writing & F.col("_refused"), "destination already exists")
                     .when(lost, "another action of this plan writes there"))
-        .drop("_intent", "_path", "_there", "_refused", "_turn")
+        .drop("_intent", "_path", "_there", "_refused", "_turn", "_row")
     )
 
 

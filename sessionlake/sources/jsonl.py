@@ -11,7 +11,7 @@ from sessionlake import fixed_values as fv
 from sessionlake.functions.jsonvalues import parse_lines
 from sessionlake.functions.paths import clean_path
 from sessionlake.operators.positions import run_starts
-from sessionlake.session import configure, estimated_bytes
+from sessionlake.session import configure, estimated_bytes, shared
 
 # The table of splits is broadcast only while it is provably small: one row of
 # at most about 300 bytes per split.
@@ -57,12 +57,13 @@ def _splits(lines: DataFrame) -> DataFrame:
     The bytes the lines account for differ from the file size by one when the
     last line has no line feed, and by three when there is a byte order mark.
     """
-    sizes = lines.groupBy("file_path", "split_start").agg(
+    # Used three times below, and each use would scan the files again.
+    sizes = shared(lines.groupBy("file_path", "split_start").agg(
         F.min("scan_order").alias("_first"),
         F.count("*").alias("_lines"),
         F.sum("line_bytes").alias("_bytes"),
         F.max("file_size").alias("_size"),
-    )
+    ), "splits")
     starts = run_starts(
         sizes, ["file_path"], "split_start", {"_lines": "_lines_before", "_bytes": "_bytes_before"}
     )
