@@ -99,7 +99,7 @@ _MSGS = (f"{_PARSED}, msgs AS (SELECT file_path AS uid, row_number() OVER (PARTI
 SQL = {
     "snapshot_manifest": f"""{_MSGS}, h AS ({m.sql_content_hash('msgs', 'uid')}), r AS ({m.sql_content_hash('rawd', 'uid')})
         SELECT s.uid, s.session_id, s.session_id || '.jsonl' AS original_relative, 'raw/t/' || s.session_id || '.jsonl' AS archive_name,
-        coalesce(h.content_hash, 'sha256:' || sha256('uss-v1' || chr(10))) AS content_hash, coalesce(h.message_count, 0) AS message_count,
+        coalesce(h.content_hash, 'sha256:' || sha256('session-v1' || chr(10))) AS content_hash, coalesce(h.message_count, 0) AS message_count,
         r.content_hash AS raw_digest, s.n_lines, s.raw_size, s.integrity, s.integrity = 'damaged' AS has_warning FROM state s LEFT JOIN h USING (uid) LEFT JOIN r USING (uid)""",
     "snapshot_messages": f"{_MSGS} SELECT uid, pos, role, text FROM msgs",
     "snapshot_restore": f"{_MSGS} SELECT '/new/' || session_id || '.jsonl' AS file_path, n_lines, n_bytes FROM state WHERE integrity <> 'damaged'",

@@ -37,7 +37,7 @@ def sql_message_json(role: str, text: str, type_: str = "'text'") -> str:
 def sql_content_hash(source: str, keys: str, pos: str = "pos", digest: str = "msg_digest") -> str:
     """Statement computing the tree digest of ``source`` per ``keys``."""
     return (
-        f"SELECT {keys}, 'sha256:' || sha256('uss-v1' || chr(10) || string_agg(d, '' ORDER BY run)) AS content_hash, "
+        f"SELECT {keys}, 'sha256:' || sha256('session-v1' || chr(10) || string_agg(d, '' ORDER BY run)) AS content_hash, "
         f"sum(n)::BIGINT AS message_count FROM (SELECT {keys}, {pos} // 4096 AS run, "
         f"sha256(string_agg({digest}, '' ORDER BY {pos})) AS d, count(*) AS n FROM {source} "
         f"GROUP BY {keys}, {pos} // 4096) GROUP BY {keys}"
@@ -242,7 +242,7 @@ DOCUMENT_SESSIONS = (
     "doc_messages AS (SELECT doc_id AS uid, 0 AS pos, "
     f"sha256({sql_message_json(chr(39) + 'user' + chr(39), 'text')}) AS msg_digest FROM documents), "
     "sessions AS (SELECT doc_id AS uid, source AS root, row_number AS position, n_chars::VARCHAR AS session_id, "
-    "'sha256:' || sha256('uss-v1' || chr(10) || sha256(msg_digest)) AS content_hash, 1 AS message_count, 'ok' AS integrity, "
+    "'sha256:' || sha256('session-v1' || chr(10) || sha256(msg_digest)) AS content_hash, 1 AS message_count, 'ok' AS integrity, "
     "make_timestamp(n_chars * 1000000) AS updated_at, 'projects/' || lang || '/' || n_chars || '.jsonl' AS rel_path, "
     "lang AS title, n_chars AS size_bytes FROM documents d JOIN doc_messages m ON m.uid = d.doc_id "
     "JOIN (SELECT source, row_number() OVER (ORDER BY source) AS row_number FROM (SELECT DISTINCT source FROM documents)) USING (source))"

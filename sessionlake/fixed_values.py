@@ -12,7 +12,7 @@ ROLES = ("user", "assistant", "system", "tool")
 MESSAGE_TYPES = ("text", "thinking", "tool_use", "tool_result")
 SCHEMA_VERSION = 1
 SNAPSHOT_VERSION = 1
-HASH_PREFIX = "uss-v1\n"
+HASH_PREFIX = "session-v1\n"
 SYNTHETIC_MODEL = "<synthetic>"
 
 # Integrity classes, best first (their rank is their position; unknown = 9).
