@@ -89,7 +89,14 @@ def _join_splits(lines: DataFrame, splits: DataFrame) -> DataFrame:
     split_bytes = _bytes_setting(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     bound = estimated_bytes(lines) // split_bytes + len(lines.inputFiles())
     side = F.broadcast(splits) if bound <= _BROADCAST_SPLITS else splits
-    return lines.join(side, ["file_path", "split_start"])
+    # Splits are counted when the plan is built.  If files or split settings
+    # change before it runs, it fails instead of losing or misnumbering lines.
+    changed = F.raise_error(F.concat(F.lit("splits changed since they were counted: "), "file_path"))
+    lost = F.col("_first").isNull() | (F.col("scan_order") < F.col("_first"))
+    # Tested in the first operand of the line number: arithmetic stops at a null.
+    return lines.join(side, ["file_path", "split_start"], "left").withColumn(
+        "_lines_before", F.when(lost, changed).otherwise(F.col("_lines_before"))
+    )
 
 
 def _bytes_setting(value: str) -> int:
@@ -125,15 +132,11 @@ def byte_offsets(lines: DataFrame, wanted: Column) -> DataFrame:
         .rowsBetween(W.unboundedPreceding, -1)
     )
     summed = narrow.withColumn("_inside", F.coalesce(F.sum("line_bytes").over(inside), F.lit(0)))
-    return (
-        summed.where("_wanted")
-        .join(_splits(lines), ["file_path", "split_start"])
-        .select(
-            "file_path",
-            (F.col("_lines_before") + F.col("scan_order") - F.col("_first") + 1).alias("line_no"),
-            (F.col("_mark_bytes") + F.col("_bytes_before") + F.col("_inside")).alias("byte_offset"),
-            "raw", "total_lines", "last_line_terminated",
-        )
+    return _join_splits(summed.where("_wanted"), _splits(lines)).select(
+        "file_path",
+        (F.col("_lines_before") + F.col("scan_order") - F.col("_first") + 1).alias("line_no"),
+        (F.col("_mark_bytes") + F.col("_bytes_before") + F.col("_inside")).alias("byte_offset"),
+        "raw", "total_lines", "last_line_terminated",
     )
 
 

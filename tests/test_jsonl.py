@@ -115,3 +115,15 @@ def test_oversized_lines_are_flagged_and_rechecked(spark, tmp_path):
     write(tmp_path, "long.jsonl", f'{{"a":{long}}}\n{{"a":{long}\n{ROW}\n')
     lines = jsonl.read_jsonl(spark, str(tmp_path))
     assert {r.line_no: r.is_valid for r in jsonl.recheck_oversized(lines).collect()} == {1: True, 2: False}
+
+
+def test_changed_splits_fail_instead_of_losing_lines(spark, tmp_path):
+    write(tmp_path, "a.jsonl", (ROW + "\n") * 500)
+    numbered = jsonl.number_lines(jsonl.scan(spark, str(tmp_path)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        with pytest.raises(Exception, match="splits changed"):
+            numbered.agg({"line_no": "max"}).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
