@@ -1,11 +1,12 @@
 """Exact dedup with a heavy-hitter split.
 
-A Misra-Gries summary (Spark's ``approx_top_k``, which keeps at most
-``counters`` items a block and merges like any such summary) names the digests
-that may be frequent. Their groups are counted exactly, and those that are
-frequent indeed (``verified``) are broadcast: rows of these groups are decided
-map-side and never shuffled. The rows of all other digests take the ordinary
-shuffle, where no digest has more than a small share of the rows.
+Misra-Gries summaries of at most ``counters`` digests find all that have more
+than 1/(counters+1) of the rows. They are made block by block and merged in
+rounds: counts are added up, and what stands at place counters+1 is taken from
+all. The groups they name are counted exactly; those that are frequent indeed
+are broadcast (at most ``counters`` rows of about 100 bytes), so that rows of
+these groups are decided map-side and never shuffled. The rows of all other
+digests take the ordinary shuffle, where none has more than a small share.
 
 Defined results: a null text is an empty text; all texts of white space only
 are equal to it. Null ids come after all others. Of rows that agree in
@@ -19,11 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import load, stored, stripped, texts
 
-COUNTERS = 4096
-#: Summaries of so many blocks are merged; each has at most COUNTERS items.
-BLOCKS = 64
-#: At most so many groups are broadcast: 1000 rows of about 100 bytes.
-WINNERS = 1000
+COUNTERS = 1024
+#: Rows of a block; blocks merge by so many at a time.
+BLOCK_ROWS, FAN_IN = 65_536, 64
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,7 +30,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stored(
         texts(docs, id_col, text_col).select(
             F.monotonically_increasing_id().alias("row"), "doc_id",
-            F.char_length("text").cast("long").alias("n_chars"), F.sha2(stripped(F.col("text")), 256).alias("digest"),
+            F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(stripped(F.col("text")), 256)).alias("digest"),
         ),
         "digests",
     )
@@ -46,13 +45,30 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(_best()).alias("best"), F.count("*").alias("group_size"))
 
 
-def frequent(rows: DataFrame, counters: int = COUNTERS, winners: int = WINNERS) -> DataFrame:
-    """The verified winners: digest, best row and exact size of at most
-    ``winners`` groups that hold more than 1/counters of the rows."""
-    blocks = rows.groupBy(F.pmod(F.col("row") / F.lit(4096).cast("long"), F.lit(BLOCKS)).cast("int").alias("block")).agg(
-        F.expr(f"approx_top_k_accumulate(digest, {counters})").alias("summary"))
-    merged = blocks.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {winners})").alias("top"))
-    candidates = merged.select(F.explode("top.item").alias("digest"))
+def misra_gries(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """(digest, count): lower bounds for at most ``counters`` digests, among them
+    each that has more than 1/(counters+1) of the rows."""
+    blocks = -(-rows.count() // BLOCK_ROWS)
+    block = F.pmod(F.xxhash64("row"), F.lit(max(1, blocks)))
+    summary = _summed(rows.select(block.alias("block"), "digest", F.lit(1).cast("long").alias("n")), counters)
+    while blocks > 1:
+        blocks = -(-blocks // FAN_IN)
+        summary = _summed(summary.withColumn("block", F.floor(F.col("block") / FAN_IN)), counters)
+    return summary.select("digest", F.col("n").alias("count"))
+
+
+def _summed(counts: DataFrame, counters: int) -> DataFrame:
+    summed = counts.groupBy("block", "digest").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("block").orderBy(F.col("n").desc(), "digest")
+    ranked = summed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= counters + 1)
+    cut = F.max(F.when(F.col("place") == counters + 1, F.col("n"))).over(Window.partitionBy("block"))
+    return ranked.select("block", "digest", (F.col("n") - F.coalesce(cut, F.lit(0))).alias("n")).where("n > 0")
+
+
+def frequent(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """The verified winners: digest, best row and exact size of the groups that
+    hold more than 1/counters of the rows."""
+    candidates = misra_gries(rows, counters).select("digest")
     counted = _groups(rows.join(F.broadcast(candidates), "digest", "left_semi"))
     total = rows.count()
     return stored(counted.where((F.col("group_size") > 1) & (F.col("group_size") * counters > total)), "winners")
@@ -88,14 +104,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"),
-        F.struct(F.sha2(stripped(text), 256).alias("digest"), F.col(id_col).alias("doc_id"),
+        F.struct(F.unhex(F.sha2(stripped(text), 256)).alias("digest"), F.col(id_col).alias("doc_id"),
                  F.char_length(text).cast("long").alias("n_chars")).alias("key"))
     return keyed.join(kept, "key").dropDuplicates(["key"]).select("doc.*")
 
 
 def op7_exact_dedup(spark, sf_dir):
     return exact_groups(load(spark, sf_dir, "documents")).select(
-        "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 SQL = r"""
