@@ -28,6 +28,7 @@ from .common import WORD, load, stored, texts
 
 EPOCHS = 3
 SLICE_ROWS = 4096
+FINER = 64
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -91,12 +92,11 @@ def schedule(sized: DataFrame, epochs: int = EPOCHS, slice_rows: int = SLICE_ROW
     if not found["n"]:
         return copies.select("doc_id", "source", "size", "copy", "finish", F.lit(0).cast("long").alias("words_before"))
     # Slices of virtual time: their totals give the words before each, and the
-    # slice in which the budget ends.
-    n = -(-found["n"] // slice_rows)
+    # slice in which the budget ends. They are far finer than slice_rows asks
+    # for, because most copies come early, while all sources have documents.
+    n = -(-found["n"] * FINER // slice_rows)
     dealt = copies.select("*", F.least(F.lit(n - 1), (F.col("finish") / found["last"] * n).cast("long")).alias("slice"))
-    totals = dealt.groupBy("slice").agg(F.sum("size").alias("words"))
-    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset")).where(F.col("offset") < budget)
+    offsets = _words_before(dealt.groupBy("slice").agg(F.sum("size").alias("words"))).where(F.col("offset") < budget)
     within = Window.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "shuffle", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
     taken = (dealt.join(offsets, "slice")
              .select("*", (F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("offset")).alias("words_before"))
@@ -104,6 +104,17 @@ def schedule(sized: DataFrame, epochs: int = EPOCHS, slice_rows: int = SLICE_ROW
     return taken.select("doc_id", "source", "size", "copy", "finish", "words_before")
 
 
+def _words_before(totals: DataFrame) -> DataFrame:
+    """(slice, offset) from (slice, words): sums within runs of slices, then over runs."""
+    run = F.floor(F.col("slice") / SLICE_ROWS)
+    inside = Window.partitionBy("run").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    runs = totals.groupBy(run.alias("r")).agg(F.sum("words").alias("words"))
+    runs = runs.select("r", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("start"))
+    return (totals.withColumn("run", run).select("slice", "run", F.coalesce(F.sum("words").over(inside), F.lit(0)).alias("inside"))
+            .join(runs, F.col("run") == F.col("r")).select("slice", (F.col("inside") + F.col("start")).alias("offset")))
+
+
 def _few(targets: DataFrame, most: int = 10_000) -> bool:
     """Whether the sources are few enough to broadcast (under 1 MB)."""
     return targets.count() <= most
