@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import load, texts
 
@@ -191,41 +192,45 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, ids, decoded) of every document, ids as packed unsigned
-    32-bit integers and ``decoded`` the bytes they stand for."""
-    return _encode(docs, path, pattern, id_col, text_col, "doc_id long, ids binary, decoded binary",
-                   lambda ids, raw: (ids, raw))
-
-
-def _encode(docs, path, pattern, id_col, text_col, schema, outcome) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], schema: str, outcome) -> DataFrame:
+    """The ``keep`` columns of ``docs`` and those of ``schema``, made by
+    ``outcome(encoder, text)``; ``docs`` has a column ``text``."""
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(read_ranks(path))  # one file of under 1 MB
+    vocabulary_ = spark.sparkContext.broadcast(read_ranks(path))  # one file of under 1 MB
     names = [c.split()[0] for c in schema.split(", ")]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = (path, pattern)
         if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(vocabulary.value, pattern)
+            _ENCODERS[key] = Encoder(vocabulary_.value, pattern)
         encoder = _ENCODERS[key]
         for b in batches:
-            rows = []
-            for text in b.text:
-                ids = encoder.encode(text)
-                rows.append(outcome(ids, encoder.decode(ids)))
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, "doc_id", b.doc_id.astype("Int64").to_numpy(dtype=object, na_value=None))
+            out = pd.DataFrame([outcome(encoder, t) for t in b.text], columns=names)
+            out.insert(0, "kept", b.kept)
             yield out
 
-    return texts(docs, id_col, text_col).mapInPandas(run, schema)
+    kept_type = held.schema["kept"].dataType.simpleString()
+    return held.mapInPandas(run, f"kept {kept_type}, {schema}").select("kept.*", *names)
+
+
+def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the ``keep`` columns, n_tokens and ids of every document; ids are
+    packed little-endian unsigned 32-bit integers."""
+    def outcome(encoder, text):
+        ids = encoder.encode(text)
+        return len(ids) // 4, ids
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in keep])
+    return _run(rows, path, pattern, ("doc_id", *keep), "n_tokens long, ids binary", outcome)
 
 
 def encoded_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encoded`` with digests in place of ids and bytes."""
-    def outcome(ids, raw):
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
-    return _encode(docs, path, pattern, id_col, text_col,
-                   "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", outcome)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): texts are encoded, and the ids decoded."""
+    def outcome(encoder, text):
+        ids = encoder.encode(text)
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+    return _run(texts(docs, id_col, text_col), path, pattern, ("doc_id",),
+                "n_tokens long, ids_sha256 string, decoded_sha256 string", outcome)
 
 
 def vocabulary() -> tuple[str, str]:

@@ -125,6 +125,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return schedule(sizes(docs, id_col, text_col, source_col), epochs).orderBy("finish", F.col("source").asc_nulls_last(), "doc_id", "copy")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents that the mix takes, as often as it takes them, with all their columns."""
+    sized = sizes(docs, id_col, text_col, source_col)
+    taken = schedule(sized).groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("d"), F.col(source_col).cast("string").alias("s"), F.col(text_col).alias("text_"),
+        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("z"))
+    found = keyed.join(taken, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")))
+    # Rows that agree in id, source and size share what was taken of them.
+    alike = Window.partitionBy("d", "s", "z")
+    rows, k = F.count("*").over(alike), F.row_number().over(alike.orderBy(F.md5(F.col("text_").cast("string"))))
+    own = found.select("doc", (F.floor(F.col("times") / rows) + (k <= F.col("times") % rows).cast("long")).cast("int").alias("own"))
+    return own.where("own > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("own")))).select("doc.*")
+
+
 def op9_mix_sources(spark, sf_dir):
     sized = sizes(load(spark, sf_dir, "documents"))
     targets = source_targets(sized).select(F.col("source").alias("s"), "source_size", "target")
