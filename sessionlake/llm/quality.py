@@ -17,6 +17,7 @@ of both kinds every score is the share of label 1, or 0.5 if there is no label.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             blocks = range(0, BUCKETS, BLOCK)
             yield pd.DataFrame({"block": [k // BLOCK for k in blocks], "part": [total[k:k + BLOCK].tobytes() for k in blocks]})
 
-    def add(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BLOCK * DIM)
         for frame in frames:
             for part in frame.part:
