@@ -112,11 +112,15 @@ def _key(name: str) -> Column:
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``fingerprints`` with ``head`` (what the next document lends) and ``next_print``."""
-    base = fingerprints(docs, id_col, text_col).withColumn("key", _key("doc_id"))
+    # Both joins read (key, text) alone, so that the texts are shuffled once;
+    # fingerprints are made after the shuffle, where they need not be moved.
+    base = texts(docs, id_col, text_col).select(_key("doc_id").alias("key"), "text")
     links = stored(followers(docs, id_col, text_col), "followers")
-    lent = (base.join(links, "key").select(F.col("before").alias("key"), F.struct(F.expr("left(text, wanted)").alias("head"), F.col("print").alias("next_print")).alias("lent"))
+    lent = (base.join(links, "key")
+            .select(F.col("before").alias("key"), F.struct(F.expr("left(text, wanted)").alias("head"), fingerprint(F.col("text")).alias("next_print")).alias("lent"))
             .groupBy("key").agg(F.min("lent").alias("lent")))
-    return base.join(lent, "key").select("doc_id", "text", "print", "lent.head", "lent.next_print")
+    return base.join(lent, "key").select(
+        F.when(~F.col("key.none"), F.col("key.id")).alias("doc_id"), "text", fingerprint(F.col("text")).alias("print"), "lent.head", "lent.next_print")
 
 
 def op4_fingerprints(spark, sf_dir):
