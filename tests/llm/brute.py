@@ -37,3 +37,20 @@ def near_classes(rows, similar=0.8):
                         p, q = sorted((find(x), find(y)))
                         parent[q] = p
     return {i: find(i) for i in bags}
+
+
+def without_repeats(rows, length=200):
+    """{doc_id: (bytes, removed, spans, kept)} from (doc_id, text): all strings in one table."""
+    raw = {i: (t or "").encode() for i, t in rows}
+    count = Counter(b[s:s + length] for b in raw.values() for s in range(len(b) - length + 1))
+    out = {}
+    for i, b in raw.items():
+        gone, reach = bytearray(len(b)), 0
+        for s in range(len(b) - length + 1):
+            if count[b[s:s + length]] > 1:
+                for x in range(max(s, reach), s + length):
+                    gone[x] = 1
+                reach = s + length
+        spans = sum(g and (x == 0 or not gone[x - 1]) for x, g in enumerate(gone))
+        out[i] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g))
+    return out
