@@ -46,6 +46,8 @@ def source_targets(sized: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     Weights are 1, 2, 3, repeating, by code point order. Filling up: with the
     sources by epochs * size / weight, those before the first one whose limit
     the level reaches stop at their limit, the others get weight times level.
+    The level left to the others rises over the sources that stop and falls
+    after them, so the right one is the highest that its source can take.
     """
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -57,7 +59,7 @@ def source_targets(sized: DataFrame, epochs: int = EPOCHS) -> DataFrame:
         "*", limit.cast("double").alias("limit"),
         ((F.sum("source_size").over(everything) - F.coalesce(F.sum(limit).over(before), F.lit(0))).cast("double")
          / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))).alias("level"))
-    level = F.min(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.col("level"))).over(everything)
     target = F.least(F.col("limit"), F.col("weight") * F.coalesce(level, F.lit(float("inf"))))
     return levels.select("source", "weight", "source_size", target.alias("target"))
 
@@ -167,7 +169,7 @@ WITH d AS (
   WINDOW before AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT source, source_size, weight,
-         least(lim, weight * coalesce(min(CASE WHEN level <= lim / weight THEN level END) OVER (), 'infinity'::DOUBLE)) AS target
+         least(lim, weight * coalesce(max(CASE WHEN level <= lim / weight THEN level END) OVER (), 'infinity'::DOUBLE)) AS target
   FROM l
 ), c AS (
   SELECT d.doc_id, d.source, d.size, d.shuffle, e.copy,
