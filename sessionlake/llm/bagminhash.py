@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import load, stored, texts
+from .common import load, null_ids, plain_ids, stored, texts
 
 WORDS = 5
 SIMILAR = 0.8
@@ -145,7 +145,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
                 yield pd.DataFrame({"doc_id": part.doc_id, "content": part.content, "size": size, "bands": list(found)})
 
     keyed = texts(docs, id_col, text_col).withColumn("content", F.unhex(F.md5("text")))
-    return stored(keyed.mapInPandas(run, "doc_id long, content binary, size long, bands array<long>"), "signed")
+    return stored(null_ids(plain_ids(keyed).mapInPandas(run, "doc_id long, content binary, size long, bands array<long>")), "signed")
 
 
 def contents(marked: DataFrame) -> DataFrame:

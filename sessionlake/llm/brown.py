@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import load, stored, texts
+from .common import load, null_ids, plain_ids, stored, texts
 
 HEAD, SHAPES, KNOWN = 8192, 512, 262_144
 CLASSES, ROUNDS = 48, 8
@@ -105,7 +105,7 @@ def sequences(docs: DataFrame, model: Any) -> DataFrame:
 
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, units binary, "
               "far array<long>, far_units array<long>")
-    return stored(docs.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "units")
+    return stored(plain_ids(docs).mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "units")
 
 
 def neighbours(training: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +257,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                F.sum(F.log10(F.when(F.col("n").isNotNull(), (F.col("n") - DISCOUNT) / F.col("size")).otherwise(F.col("unseen")))).alias("far_share")))
     joined = near.join(far, "row", "left")
     score = F.col("share") + F.coalesce("far_share", F.lit(0.0))
-    return joined.select(
+    return null_ids(joined).select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("far_base", F.lit(0.0))).alias("base_score"),
         score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

@@ -24,6 +24,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Stands for a null id inside tasks, where pandas would turn such columns into floats.
+NO_ID = -(2**63)
+
+
+def plain_ids(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+
+
+def null_ids(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written to the shared folder and read back: computed once, and
     a lost executor costs its tasks only."""

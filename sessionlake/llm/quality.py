@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import load, texts
+from .common import load, null_ids, plain_ids, texts
 from .toxicity import held_out
 
 BUCKETS, DIM, BLOCK, SPARSE = 1 << 14, 48, 1024, 4
@@ -197,7 +197,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "score": probabilities(model, pooled(table.value, b.text.tolist()).astype(float))})
 
-    return rows.mapInPandas(run, "doc_id long, score double")
+    return null_ids(plain_ids(rows).mapInPandas(run, "doc_id long, score double"))
 
 
 def op3_quality(spark, sf_dir):

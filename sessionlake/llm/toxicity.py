@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kernel
-from .common import load, texts
+from .common import load, null_ids, plain_ids, texts
 
 WINDOW, STEP = 32, 24
 SAMPLE, SAMPLE_WINDOWS = 3600, 8
@@ -271,7 +271,7 @@ def _score_column(frame: DataFrame, m: dict | None, text_col: str) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every document."""
     rows = texts(docs, id_col, text_col)
-    return _score_column(rows, fit(rows, labels), "text").select("doc_id", "score")
+    return null_ids(_score_column(plain_ids(rows), fit(rows, labels), "text").select("doc_id", "score"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
