@@ -68,7 +68,7 @@ def account_histories(spark, sf):
     sessions, _ = m.listing(spark, sf)
     disk = sessions.where("integrity <> 'damaged'").withColumn("uid", F.col("file_path"))
     out = ls.account_history(m.index_entries(spark, sf), m.index_accounts(spark, sf), disk)
-    return out.select("uid", "account_uuid", "session_id", "title", "size_bytes", "integrity", "has_transcript")
+    return out.select("uid", "account_uuid", "session_id", "title", "size_bytes", "integrity", "has_transcript", "refused")
 
 
 def _owner_lines(spark, sf):
@@ -183,15 +183,19 @@ def _requests(spark, sf):
 
 
 def migrate_plan(spark, sf):
-    """Urgent orders into one account."""
-    plan = index_sync.plan_migrate(_requests(spark, sf), "ASIA", m.index_entries(spark, sf), m.index_accounts(spark, sf))
+    """Urgent orders into one account, and into one that is not resolved."""
+    entries, accounts = m.index_entries(spark, sf), m.index_accounts(spark, sf)
+    plan = index_sync.plan_migrate(_requests(spark, sf), "ASIA", entries, accounts).unionByName(
+        index_sync.plan_migrate(_requests(spark, sf), "MIDDLE EAST", entries, accounts))
     return plan.select("kind", "cli_session_id", "desktop_session_id", "source_account", "target_account", "source_path", "reason")
 
 
 def unlink_plan(spark, sf):
-    """Urgent orders out of one account."""
-    plan = index_sync.plan_unlink(_requests(spark, sf), "EUROPE", m.index_entries(spark, sf), m.index_accounts(spark, sf))
-    return plan.select("kind", "cli_session_id", "desktop_session_id", "tombstone_path", "also_in", "n_also_in")
+    """Urgent orders out of one account, and out of one that is not resolved."""
+    entries, accounts = m.index_entries(spark, sf), m.index_accounts(spark, sf)
+    plan = index_sync.plan_unlink(_requests(spark, sf), "EUROPE", entries, accounts).unionByName(
+        index_sync.plan_unlink(_requests(spark, sf), "MIDDLE EAST", entries, accounts))
+    return plan.select("kind", "cli_session_id", "desktop_session_id", "target_account", "tombstone_path", "also_in", "n_also_in", "reason")
 
 
 def index_after_sync(spark, sf):
@@ -255,8 +259,9 @@ SQL = {
     "missing_transcripts": f"""{_IDX} SELECT DISTINCT cli_session_id AS session_id FROM index_entries WHERE cli_session_id IS NOT NULL
         AND cli_session_id NOT IN (SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderstatus <> 'P')""",
     "account_histories": f"""{_LIST} SELECT coalesce(l.file_path, 'index:' || r.desktop_session_id) AS uid, r.account_uuid, coalesce(r.cli_session_id, r.desktop_session_id) AS session_id,
-        coalesce(r.title, l.title) AS title, l.size_bytes, coalesce(l.integrity, 'no-transcript') AS integrity, l.file_path IS NOT NULL AS has_transcript
-        FROM records r LEFT JOIN (SELECT * FROM listing WHERE integrity <> 'damaged') l ON l.session_id = r.cli_session_id""",
+        coalesce(r.title, l.title) AS title, l.size_bytes, coalesce(l.integrity, 'no-transcript') AS integrity, l.file_path IS NOT NULL AS has_transcript, NULL AS refused
+        FROM records r LEFT JOIN (SELECT * FROM listing WHERE integrity <> 'damaged') l ON l.session_id = r.cli_session_id
+        UNION ALL SELECT NULL, 'MIDDLE EAST', NULL, NULL, NULL, NULL, false, 'several-populated'""",
     "file_owners": f"{_OWNERS} SELECT file_path, arg_max(account_uuid, line_no) AS account_uuid, arg_max(organization_uuid, line_no) AS organization_uuid FROM owner_lines WHERE owned GROUP BY 1",
     "attributed_accounts": f"""{_OWNERS}, f AS (SELECT file_path, arg_min(account_uuid, line_no) FILTER (owned) AS account_uuid,
         sum(CASE WHEN owned THEN strlen('{{"type":"bridge-session","ownerAccountUuid":"' || account_uuid || '","ownerOrganizationUuid":"' || organization_uuid || '"}}') ELSE 15 END)::BIGINT AS b FROM owner_lines GROUP BY 1)
@@ -299,12 +304,15 @@ SQL = {
           CASE WHEN present THEN 'lists this transcript' WHEN deleted THEN 'deleted here' WHEN has_rec THEN 'record id in use for another conversation' END AS reason FROM classed
         UNION ALL SELECT CASE WHEN o.index_path IS NULL THEN 'blocked' ELSE 'already-present' END, r.cli_session_id, o.desktop_session_id, CASE WHEN o.index_path IS NOT NULL THEN 'ASIA' END, 'ASIA', o.index_path,
           CASE WHEN o.index_path IS NULL THEN 'no account lists it' ELSE 'lists this transcript' END
-        FROM requests r LEFT JOIN (SELECT * FROM listed WHERE account_uuid = 'ASIA') o USING (cli_session_id) WHERE cli_session_id NOT IN (SELECT cli_session_id FROM src)""",
-    "unlink_plan": f"""{_IDX}, {_REQUESTS} SELECT CASE WHEN l.index_path IS NULL THEN 'not-present' ELSE 'remove' END AS kind, cli_session_id, l.desktop_session_id,
+        FROM requests r LEFT JOIN (SELECT * FROM listed WHERE account_uuid = 'ASIA') o USING (cli_session_id) WHERE cli_session_id NOT IN (SELECT cli_session_id FROM src)
+        UNION ALL SELECT DISTINCT 'blocked', cli_session_id, NULL, NULL, 'MIDDLE EAST', NULL, 'several-populated' FROM requests""",
+    "unlink_plan": f"""{_IDX}, {_REQUESTS} SELECT CASE WHEN l.index_path IS NULL THEN 'not-present' ELSE 'remove' END AS kind, cli_session_id, l.desktop_session_id, 'EUROPE' AS target_account,
         '/idx/EUROPE/main/deleted_' || substr(l.desktop_session_id, 7) AS tombstone_path,
-        CASE WHEN l.index_path IS NOT NULL THEN o.names END AS also_in, CASE WHEN l.index_path IS NOT NULL THEN coalesce(o.n, 0) END AS n_also_in
+        CASE WHEN l.index_path IS NOT NULL THEN o.names END AS also_in, CASE WHEN l.index_path IS NOT NULL THEN coalesce(o.n, 0) END AS n_also_in,
+        CASE WHEN l.index_path IS NULL THEN 'not listed here' END AS reason
         FROM requests LEFT JOIN (SELECT * FROM listed WHERE account_uuid = 'EUROPE') l USING (cli_session_id)
-        LEFT JOIN (SELECT cli_session_id, count(*) AS n, string_agg(account_uuid, ', ' ORDER BY account_uuid) AS names FROM listed WHERE account_uuid <> 'EUROPE' GROUP BY 1) o USING (cli_session_id)""",
+        LEFT JOIN (SELECT cli_session_id, count(*) AS n, string_agg(account_uuid, ', ' ORDER BY account_uuid) AS names FROM listed WHERE account_uuid <> 'EUROPE' GROUP BY 1) o USING (cli_session_id)
+        UNION ALL SELECT DISTINCT 'blocked', cli_session_id, NULL, 'MIDDLE EAST', NULL, NULL, NULL, 'several-populated' FROM requests""",
     "index_after_sync": f"""{_IDX}, {_BEST}, {_CLASSIFY}, moved AS (SELECT *, '/idx/' || target_account || '/main/' || CASE WHEN NOT deleted AND has_rec THEN 'new' || cli_session_id
             ELSE desktop_session_id END || '.json' AS dest FROM classed WHERE NOT present),
         fresh AS (SELECT * FROM moved WHERE dest NOT IN (SELECT index_path FROM index_entries)),

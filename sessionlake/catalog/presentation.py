@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.catalog import models as m
 from sessionlake.operators import listing as ls, present
+from sessionlake.operators.positions import sorted_place
 from sessionlake.plans import store
 from sessionlake.session import shared
 
@@ -32,33 +33,33 @@ def selectable_history(spark, sf):
 
 
 def sessions_by_title(spark, sf):
-    """O2, O3: first fifty by title, in natural order."""
-    return present.sort_sessions(_sessions(spark, sf), "title", True).select("uid", "title").limit(50)
+    """O2, O3: all by title, in natural order."""
+    return sorted_place(present.sort_sessions(_sessions(spark, sf), "title", True).select("uid", "title"))
 
 
 def sessions_by_title_descending(spark, sf):
-    """O2: last fifty by title; untitled sessions stay at the end."""
-    return present.sort_sessions(_sessions(spark, sf), "title", False).select("uid", "title").limit(50)
+    """O2: all by title, last first; untitled sessions stay at the end."""
+    return sorted_place(present.sort_sessions(_sessions(spark, sf), "title", False).select("uid", "title"))
 
 
 def sessions_by_size(spark, sf):
-    """O2: fifty largest."""
-    return present.sort_sessions(_sessions(spark, sf), "size", False).select("uid", "size_bytes").limit(50)
+    """O2: all, largest first."""
+    return sorted_place(present.sort_sessions(_sessions(spark, sf), "size", False).select("uid", "size_bytes"))
 
 
 def sessions_by_state(spark, sf):
-    """Fifty worst."""
-    return present.sort_sessions(_sessions(spark, sf), "state", False).select("uid", "integrity").limit(50)
+    """All, worst first."""
+    return sorted_place(present.sort_sessions(_sessions(spark, sf), "state", False).select("uid", "integrity"))
 
 
 def newest_sessions(spark, sf):
-    """O1: fifty latest."""
-    return present.newest_first(_sessions(spark, sf)).select("uid", "updated_at").limit(50)
+    """O1: all, latest first."""
+    return sorted_place(present.newest_first(_sessions(spark, sf)).select("uid", "updated_at"))
 
 
 def project_groups(spark, sf):
     """G19, O5, P20."""
-    return present.group_sessions(_sessions(spark, sf), "size")
+    return sorted_place(present.group_sessions(_sessions(spark, sf), "size"))
 
 
 def comparison_matrix(spark, sf):
@@ -67,9 +68,9 @@ def comparison_matrix(spark, sf):
 
 
 def comparison_differences(spark, sf):
-    """The hundred sessions fewest accounts list, latest first."""
+    """Sessions not all accounts list, fewest accounts first, then the latest."""
     out = present.only_differences(present.comparison(m.index_entries(spark, sf), m.index_accounts(spark, sf)), 5)
-    return present.order_comparison(out).limit(100).select("key", "n_accounts")
+    return sorted_place(present.order_comparison(out).select("key", "n_accounts"))
 
 
 def listing_columns(spark, sf):
@@ -131,17 +132,17 @@ SQL = {
     "flagged_sessions": f"""{_LIST} SELECT file_path AS uid, integrity AS warning FROM listing WHERE integrity <> 'ok'
         UNION ALL SELECT file_path, 'stub' FROM listing WHERE size_bytes > 0 AND size_bytes < 2048 UNION ALL SELECT file_path, 'huge' FROM listing WHERE size_bytes > 268435456""",
     "selectable_history": f"{_LIST} SELECT r.account_uuid, count(*) AS n_rows FROM records r JOIN listing l ON l.session_id = r.cli_session_id GROUP BY 1",
-    "sessions_by_title": f"""{_LIST} SELECT file_path AS uid, title FROM listing ORDER BY title IS NULL, regexp_replace(lower(title), '[0-9]+$', ''), coalesce(try_cast(regexp_extract(title, '[0-9]+$') AS BIGINT), 0), file_path LIMIT 50""",
-    "sessions_by_title_descending": f"""{_LIST} SELECT file_path AS uid, title FROM listing ORDER BY title IS NULL, regexp_replace(lower(title), '[0-9]+$', '') DESC, coalesce(try_cast(regexp_extract(title, '[0-9]+$') AS BIGINT), 0) DESC, file_path LIMIT 50""",
-    "sessions_by_size": f"{_LIST} SELECT file_path AS uid, size_bytes FROM listing ORDER BY size_bytes DESC, file_path LIMIT 50",
-    "sessions_by_state": f"{_LIST} SELECT file_path AS uid, integrity FROM listing ORDER BY CASE integrity WHEN 'ok' THEN 0 WHEN 'truncated' THEN 1 ELSE 3 END DESC, file_path LIMIT 50",
-    "newest_sessions": f"{_LIST} SELECT file_path AS uid, updated_at FROM listing ORDER BY updated_at DESC, file_path LIMIT 50",
+    "sessions_by_title": f"""{_LIST} SELECT file_path AS uid, title, row_number() OVER (ORDER BY title IS NULL, regexp_replace(lower(title), '[0-9]+$', ''), coalesce(try_cast(regexp_extract(title, '[0-9]+$') AS BIGINT), 0), file_path) - 1 AS place FROM listing""",
+    "sessions_by_title_descending": f"""{_LIST} SELECT file_path AS uid, title, row_number() OVER (ORDER BY title IS NULL, regexp_replace(lower(title), '[0-9]+$', '') DESC, coalesce(try_cast(regexp_extract(title, '[0-9]+$') AS BIGINT), 0) DESC, file_path) - 1 AS place FROM listing""",
+    "sessions_by_size": f"{_LIST} SELECT file_path AS uid, size_bytes, row_number() OVER (ORDER BY size_bytes DESC, file_path) - 1 AS place FROM listing",
+    "sessions_by_state": f"{_LIST} SELECT file_path AS uid, integrity, row_number() OVER (ORDER BY CASE integrity WHEN 'ok' THEN 0 WHEN 'truncated' THEN 1 ELSE 3 END DESC, file_path) - 1 AS place FROM listing",
+    "newest_sessions": f"{_LIST} SELECT file_path AS uid, updated_at, row_number() OVER (ORDER BY updated_at DESC, file_path) - 1 AS place FROM listing",
     "project_groups": f"""{_LIST} SELECT g AS group_key, CASE WHEN contains(g, '/') THEN regexp_extract(g, '[^/]+$') ELSE g END AS group_label, count(*) AS n_sessions, sum(size_bytes)::BIGINT AS bytes,
-        count(*) FILTER (integrity <> 'ok' OR size_bytes < 2048 OR size_bytes > 268435456) AS n_flagged FROM (SELECT *, coalesce(project_path, project_dir) AS g FROM listing) GROUP BY g""",
+        count(*) FILTER (integrity <> 'ok' OR size_bytes < 2048 OR size_bytes > 268435456) AS n_flagged, row_number() OVER (ORDER BY max(size_bytes) DESC, g) - 1 AS place FROM (SELECT *, coalesce(project_path, project_dir) AS g FROM listing) GROUP BY g""",
     "comparison_matrix": f"""{_KEYED} SELECT key, count(DISTINCT account_uuid) AS n_accounts, max(last_activity_at) AS last_activity_at,
         arg_min(title, (position, index_path)) FILTER (title <> '') AS title, arg_min(project_path, (position, index_path)) AS project_path FROM keyed GROUP BY 1""",
-    "comparison_differences": f"""{_KEYED} SELECT key, n_accounts FROM (SELECT key, count(DISTINCT account_uuid) AS n_accounts, max(last_activity_at) AS latest FROM keyed GROUP BY 1) WHERE n_accounts < 5
-        ORDER BY n_accounts, latest DESC, key LIMIT 100""",
+    "comparison_differences": f"""{_KEYED} SELECT key, n_accounts, row_number() OVER (ORDER BY n_accounts, latest DESC, key) - 1 AS place
+        FROM (SELECT key, count(DISTINCT account_uuid) AS n_accounts, max(last_activity_at) AS latest FROM keyed GROUP BY 1) WHERE n_accounts < 5""",
     "listing_columns": f"""{_KEYED} SELECT key, bool_or(account_uuid = 'ASIA') AS "ASIA", bool_or(account_uuid = 'EUROPE') AS "EUROPE" FROM keyed GROUP BY 1""",
     "shown_messages": """SELECT conv_id AS uid, turn AS pos, role, left(text, 4000) AS text, n AS total_messages, n > 4 AS truncated FROM conversations JOIN
         (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) USING (conv_id) WHERE turn < 4""",

@@ -129,9 +129,36 @@ _T = (f"WITH {m.INDEX_ENTRIES}, transcripts AS (SELECT '/t/' || o_orderkey || '.
 _ORPHANS = "orphans AS (SELECT *, coalesce(custom_title, ai_title) AS title FROM transcripts WHERE session_id NOT IN (SELECT cli_session_id FROM index_entries WHERE cli_session_id IS NOT NULL))"
 _WHY = "CASE WHEN cwd IS NULL THEN 'no working directory' WHEN model = '2-HIGH' THEN 'transcript is damaged' END"
 _PARSED = f"WITH {m.TRANSCRIPT_LINES}"
+# Records choose one after the other, all accounts side by side: every step has
+# the sessions its account has taken so far.
+_WALK = (
+    _T.replace("WITH ", "WITH RECURSIVE ", 1) + ", "
+    "asking AS (SELECT *, row_number() OVER (PARTITION BY account_uuid ORDER BY index_path) AS k FROM index_entries WHERE kind = 'session' AND cli_session_id IS NULL), "
+    "held AS (SELECT DISTINCT account_uuid, cli_session_id AS session_id FROM index_entries WHERE kind = 'session' AND cli_session_id IS NOT NULL), "
+    "offers AS (SELECT a.account_uuid, a.k, t.session_id, t.custom_title IS NOT NULL AS typed, t.folder = a.project_path AS inside, "
+    "row_number() OVER (PARTITION BY a.account_uuid, a.k ORDER BY (t.folder = a.project_path) DESC, mtime DESC, size_bytes DESC, file_path) AS place "
+    "FROM asking a JOIN transcripts t ON t.p_name = a.title ANTI JOIN held h ON h.account_uuid = a.account_uuid AND h.session_id = t.session_id), "
+    "wishes AS (SELECT a.account_uuid, a.k, list({'s': session_id, 'f': inside} ORDER BY place) FILTER (typed) AS typed, "
+    "list({'s': session_id, 'f': inside} ORDER BY place) FILTER (NOT typed) AS auto FROM asking a LEFT JOIN offers o ON o.account_uuid = a.account_uuid AND o.k = a.k GROUP BY 1, 2), "
+    "walk AS (SELECT DISTINCT account_uuid, 0::BIGINT AS k, []::VARCHAR[] AS taken, NULL::VARCHAR AS session_id, NULL::VARCHAR AS match, NULL::BOOLEAN AS in_folder, 0::BIGINT AS n, 0::BIGINT AS n_in FROM asking "
+    "UNION ALL SELECT account_uuid, k, CASE WHEN len(best) > 0 THEN list_append(taken, best[1].s) ELSE taken END, best[1].s, "
+    "CASE WHEN len(typed) > 0 THEN 'custom' WHEN len(best) > 0 THEN 'ai~' END, best[1].f, len(best), len(list_filter(best, lambda x: x.f)) FROM ("
+    "SELECT *, CASE WHEN len(typed) > 0 THEN typed ELSE auto END AS best FROM (SELECT w.account_uuid, r.k, w.taken, "
+    "coalesce(list_filter(r.typed, lambda x: NOT list_contains(w.taken, x.s)), []) AS typed, coalesce(list_filter(r.auto, lambda x: NOT list_contains(w.taken, x.s)), []) AS auto "
+    "FROM walk w JOIN wishes r ON r.account_uuid = w.account_uuid AND r.k = w.k + 1))), "
+    "relinked AS (SELECT a.index_path, a.account_uuid, a.title, w.session_id AS best_session_id, w.match, w.in_folder, w.n AS n_matches, "
+    "CASE WHEN w.session_id IS NULL THEN 'none' WHEN w.n = 1 OR (w.in_folder AND w.n_in = 1) THEN 'strong' ELSE 'likely' END AS confidence "
+    "FROM asking a JOIN walk w ON w.account_uuid = a.account_uuid AND w.k = a.k)"
+)
 
 SQL = {
     "broken_records": f"{_T} SELECT index_path, account_uuid, title, true AS missing_pointer, false AS missing_cwd FROM index_entries WHERE kind = 'session' AND cli_session_id IS NULL",
+    "relink_scan": f"{_WALK} SELECT * FROM relinked",
+    "relink_repairs": f"{_WALK} SELECT CASE WHEN best_session_id IS NULL THEN 'blocked' ELSE 'repair' END AS kind, confidence, count(*) AS n_actions FROM relinked GROUP BY 1, 2",
+    "repaired_index": f"""{_WALK} SELECT count(*) AS n_rows, count(coalesce(e.cli_session_id, r.best_session_id)) AS n_pointers, 'after' AS part
+          FROM index_entries e LEFT JOIN relinked r ON r.index_path = e.index_path WHERE e.kind = 'session'
+        UNION ALL SELECT count(*), 0, 'backup' FROM relinked WHERE best_session_id IS NOT NULL
+        UNION ALL SELECT count(*), 0, CASE WHEN best_session_id IS NULL THEN 'blocked' ELSE 'repaired' END AS part FROM relinked GROUP BY 3""",
     "title_candidates": f"""{_T}, hits AS (SELECT e.index_path, t.session_id, CASE WHEN t.custom_title IS NOT NULL THEN 0 ELSE 1 END AS tier, CASE WHEN t.folder = e.project_path THEN 0 ELSE 1 END AS f, mtime, size_bytes, t.file_path
           FROM index_entries e JOIN transcripts t ON t.p_name = e.title WHERE e.kind = 'session' AND e.cli_session_id IS NULL),
         top AS (SELECT *, min(tier) OVER (PARTITION BY index_path) AS best FROM hits)

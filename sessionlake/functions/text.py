@@ -152,7 +152,7 @@ def natural_key(text: Column) -> Column:
     def keyed(run: Column) -> Column:
         digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
         return F.when(
-            run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 3, "0"), digits)
+            run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
         ).otherwise(run)
     return F.collate(F.array_join(F.transform(runs, keyed), ""), "UNICODE_CI_AI")
 

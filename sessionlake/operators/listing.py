@@ -238,9 +238,9 @@ def account_history(
     """Entries of each account's resolved folder joined to their transcripts.
 
     An entry without a transcript stays, marked ``no-transcript``.  ``prefer``
-    says whose title is shown.  ``accounts`` must be resolved: an ambiguous
-    one has no history to show.  Session ids repeat; the last listed file of
-    an id stands for it.
+    says whose title is shown.  An account whose folder is not resolved has one
+    row that says why (``refused``).  Session ids repeat; the last listed file
+    of an id stands for it.
     """
     usable = accounts.where("NOT ambiguous AND history_org IS NOT NULL").select(
         "account_uuid", F.col("history_org").alias("organization_uuid")
@@ -249,11 +249,13 @@ def account_history(
     one = sessions.groupBy("session_id").agg(F.max(F.struct("uid", "title", "size_bytes", "integrity")).alias("s"))
     joined = mine.join(one, mine["cli_session_id"] == one["session_id"], "left")
     real = F.col("s").isNotNull()
+    refused = accounts.where("ambiguous OR history_org IS NULL").select(
+        "account_uuid", F.lit(False).alias("has_transcript"), F.coalesce("reason", F.lit("not resolved")).alias("refused"))
     titles = ["title", "s.title"] if prefer == "index" else ["s.title", "title"]
     return joined.select(
         F.coalesce("s.uid", F.concat(F.lit("index:"), "desktop_session_id")).alias("uid"), "account_uuid",
         F.coalesce("cli_session_id", "desktop_session_id").alias("session_id"), F.coalesce(*titles).alias("title"),
         F.col("s.size_bytes").alias("size_bytes"),
         F.when(real, F.col("s.integrity")).otherwise("no-transcript").alias("integrity"),
-        real.alias("has_transcript"), "index_path",
-    )
+        real.alias("has_transcript"), "index_path", F.lit(None).cast("string").alias("refused"),
+    ).unionByName(refused, True)

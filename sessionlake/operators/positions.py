@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from sessionlake.session import materialize
+
 RUN_LENGTH = 4096
 
 
@@ -41,6 +43,25 @@ def dense_position(
     )
 
 
+def sorted_place(ordered: DataFrame, out: str = "place") -> DataFrame:
+    """Adds the 0-based place of each row of a globally sorted frame.
+
+    The sort's partitions follow each other; their sizes, one row each, give
+    every partition its first place.  Written once, because places depend on
+    how the sort was partitioned.
+    """
+    marked = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftrightunsigned("_id", 33)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        marked.withColumn("_part", part).join(starts, "_part")
+        .withColumn(out, F.col("_before") + F.col("_id").bitwiseAND(F.lit(2**33 - 1)))
+        .drop("_id", "_part", "_before")
+    )
+
+
 def running_total(
     frame: DataFrame, keys: list[str], position: str, amount: str, out: str
 ) -> DataFrame:

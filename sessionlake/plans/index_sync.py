@@ -19,6 +19,17 @@ def usable_accounts(accounts: DataFrame) -> DataFrame:
     return accounts.where("NOT ambiguous AND history_org IS NOT NULL")
 
 
+def refused_requests(wanted: DataFrame, account: str, accounts: DataFrame):
+    """``wanted`` as ``(open, refused)``: what can be asked of ``account``, and
+    what can't, with the reason, because its history is not resolved."""
+    known = accounts.select(
+        F.col("account_uuid").alias("_account"), F.coalesce(~F.col("ambiguous") & F.col("history_org").isNotNull(), F.lit(False)).alias("_usable"),
+        F.col("reason").alias("_reason"))
+    asked = wanted.withColumn("_account", F.lit(account)).join(known, "_account", "left").withColumn("_usable", F.coalesce("_usable", F.lit(False)))
+    refused = asked.where("NOT _usable").withColumn("_reason", F.coalesce("_reason", F.lit("unknown account")))
+    return asked.where("_usable").select(*wanted.columns), refused.select(*wanted.columns, "_reason")
+
+
 def account_indexes(entries: DataFrame, accounts: DataFrame):
     """Records and tombstones of the usable accounts' history folders.
 
@@ -105,11 +116,12 @@ def _blocked(frame: DataFrame, reason: Column, target: Column, cli: Column | Non
 def plan_migrate(requests: DataFrame, target: str, entries: DataFrame, accounts: DataFrame) -> DataFrame:
     """Copies requested transcripts (``cli_session_id``) into one account.
 
-    The first other account with a record is the source.
+    The first other account with a record is the source.  Every request into an
+    account whose history is not resolved is blocked, with that reason.
     """
     records, tombstones = account_indexes(entries, accounts)
     listed = by_transcript(records)
-    wanted = requests.select("cli_session_id").distinct()
+    wanted, refused = refused_requests(requests.select("cli_session_id").distinct(), target, accounts)
     elsewhere = listed.where(F.col("account_uuid") != target)
     sources = elsewhere.groupBy("cli_session_id").agg(
         F.min(F.struct("position", "account_uuid", "index_path", "desktop_session_id", "title", "project_path", "last_activity_at")).alias("s")
@@ -129,7 +141,8 @@ def plan_migrate(requests: DataFrame, target: str, entries: DataFrame, accounts:
         F.lit(False).alias("was_tombstoned"), F.lit("lists this transcript").alias("reason"),
     )
     nowhere = _blocked(found.where("s IS NULL AND _own IS NULL"), F.lit("no account lists it"), F.lit(target), F.col("cli_session_id"))
-    return copies.unionByName(only_here, True).unionByName(nowhere, True).select(*ACTION_COLUMNS)
+    unresolved = _blocked(refused, F.col("_reason"), F.lit(target), F.col("cli_session_id"))
+    return copies.unionByName(only_here, True).unionByName(nowhere, True).unionByName(unresolved, True).select(*ACTION_COLUMNS)
 
 
 def plan_sync_all(
@@ -164,11 +177,12 @@ def plan_sync_all(
 def plan_unlink(requests: DataFrame, account: str, entries: DataFrame, accounts: DataFrame) -> DataFrame:
     """Removes requested transcripts from one account's history.
 
-    ``also_in`` names the accounts that keep listing the session.
+    ``also_in`` names the accounts that keep listing the session.  Nothing is
+    said about an account whose history is not resolved: all is blocked.
     """
     records, _ = account_indexes(entries, accounts)
     listed = by_transcript(records)
-    wanted = requests.select("cli_session_id").distinct()
+    wanted, refused = refused_requests(requests.select("cli_session_id").distinct(), account, accounts)
     mine = listed.where(F.col("account_uuid") == account).drop("account_uuid", "position", "label")
     others = (
         listed.where(F.col("account_uuid") != account).join(wanted, "cli_session_id", "left_semi")
@@ -178,6 +192,7 @@ def plan_unlink(requests: DataFrame, account: str, entries: DataFrame, accounts:
     )
     found = wanted.join(mine, "cli_session_id", "left").join(others, "cli_session_id", "left")
     here = F.col("index_path").isNotNull()
+    unresolved = _blocked(refused, F.col("_reason"), F.lit(account), F.col("cli_session_id"))
     return found.select(
         F.when(here, fv.REMOVE).otherwise(fv.NOT_PRESENT).alias("kind"), "cli_session_id", "desktop_session_id", "title",
         "project_path", "last_activity_at", F.lit(account).alias("target_account"),
@@ -186,7 +201,7 @@ def plan_unlink(requests: DataFrame, account: str, entries: DataFrame, accounts:
         F.lit(False).alias("was_tombstoned"), F.when(here, F.col("also_in")).alias("also_in"),
         F.when(here, F.coalesce("n_also_in", F.lit(0))).alias("n_also_in"),
         F.when(~here, "not listed here").alias("reason"),
-    )
+    ).unionByName(unresolved, True)
 
 
 def decide(plan: DataFrame, current_paths: DataFrame) -> DataFrame:
