@@ -33,12 +33,12 @@ from . import kernel
 from .common import load, null_ids, plain_ids, texts
 
 WINDOW, STEP = 32, 24
-SAMPLE, SAMPLE_WINDOWS = 3600, 8
+SAMPLE, SAMPLE_WINDOWS = 3000, 8
 WORD_BUCKETS, WORD_DIM = 1 << 14, 8
 GRAM_BUCKETS, GRAM_DIM = 1 << 15, 12
 GRAMS = (3, 4, 5)
 HIDDEN, ATTENTION = 8, 8
-EPOCHS, BATCH, RATE = 12, 64, 0.01
+STEPS, BATCH, RATE = 480, 64, 0.01
 f32 = np.float32
 
 
@@ -53,21 +53,29 @@ def words(chunk: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     padded = chunk.copy()
     padded[~kernel.ALNUM[chunk]] = 1  # the mark at both ends of a word
     padded = np.concatenate([[np.uint8(1)], padded, [np.uint8(1)]])
-    grams, owner, counts = [], [], []
     length = e - s + 2  # with both marks; the word begins at s in padded
-    for n in GRAMS:
-        many = np.maximum(length - n + 1, 0)
-        own = np.repeat(np.arange(len(s)), many)
-        first = s[own] + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+    many = [np.maximum(length - n + 1, 0) for n in GRAMS]
+    first_gram = np.concatenate([[0], np.cumsum(sum(many))])
+    grams, filled = np.empty(first_gram[-1], np.int32), first_gram[:-1].copy()
+    for n, m in zip(GRAMS, many):
+        own = np.repeat(np.arange(len(s)), m)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(m) - m, m)
         code = np.full(len(own), n, np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(n):
-                code = code * np.uint64(1000003) + padded[first + k]
-        grams.append((kernel.mixed(code) % np.uint64(GRAM_BUCKETS)).astype(np.int32))
-        owner.append(own)
-        counts.append(many)
-    return {"word": (hashes[at] % np.uint64(WORD_BUCKETS)).astype(np.int32), "gram": np.concatenate(grams),
-            "owner": np.concatenate(owner), "many": counts, "sequence": sequence, "text": kernel.owners(ends, starts)}
+            for j in range(n):
+                code = code * np.uint64(1000003) + padded[s[own] + k + j]
+        grams[filled[own] + k] = (kernel.mixed(code) % np.uint64(GRAM_BUCKETS)).astype(np.int32)
+        filled += m
+    return {"word": (hashes[at] % np.uint64(WORD_BUCKETS)).astype(np.int32), "gram": grams, "first": first_gram,
+            "sequence": sequence, "text": kernel.owners(ends, starts)}
+
+
+def some_words(w: dict, which: np.ndarray) -> dict:
+    """The entries of ``words`` for some of the words."""
+    many = (w["first"][1:] - w["first"][:-1])[which]
+    first = np.concatenate([[0], np.cumsum(many)])
+    at = np.repeat(w["first"][which] - first[:-1], many) + np.arange(first[-1])
+    return {"word": w["word"][which], "gram": w["gram"][at], "first": first}
 
 
 def windows(sequence: np.ndarray, text: np.ndarray, n_texts: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,17 +109,14 @@ def initial(seed: int = 11) -> dict[str, np.ndarray]:
 
 
 def _root(w: dict) -> np.ndarray:
-    return np.sqrt(np.maximum(sum(w["many"]), 1)).astype(f32)
+    return np.sqrt(np.maximum(np.diff(w["first"]), 1)).astype(f32)
 
 
 def inputs(m: dict, w: dict, keep: np.ndarray | None = None) -> np.ndarray:
     """The input vectors of the different words, (words, word and gram parts)."""
-    grams, at = np.zeros((len(w["word"]), GRAM_DIM), f32), 0
-    for many in w["many"]:  # one n-gram length after the other, each in the order of words
-        has, to = np.flatnonzero(many), at + int(many.sum())
-        if len(has):
-            grams[has] += np.add.reduceat(m["gram"][w["gram"][at:to]], (np.cumsum(many) - many)[has], axis=0)
-        at = to
+    grams = np.zeros((len(w["word"]), GRAM_DIM), f32)
+    if len(grams):  # every word has n-grams, with its marks
+        grams[:] = np.add.reduceat(m["gram"][w["gram"]], w["first"][:-1], axis=0)
     grams /= _root(w)[:, None]
     own = m["word"][w["word"]]
     return np.hstack([own if keep is None else own * keep[:, None], grams])
@@ -180,27 +185,31 @@ def backward(m: dict, x: np.ndarray, index: np.ndarray, cache: dict, dlogit: np.
     return g_, dx
 
 
-def train(sample: list[str], toxic: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -> dict:
+def train(sample: list[str], toxic: np.ndarray, seed: int = 11, steps: int = STEPS) -> dict:
     """Fits the network: a text is as toxic as its worst window."""
     rng = np.random.default_rng(seed)
     m = initial(seed)
     first = {k: np.zeros_like(v) for k, v in m.items()}
     second = {k: np.zeros_like(v) for k, v in m.items()}
-    weight = np.where(toxic > 0, 0.4 / max(1, toxic.sum()), 0.6 / max(1, (1 - toxic).sum())) * len(toxic)
-    step, total = 0, max(1, epochs * -(-len(sample) // BATCH))
-    for _ in range(epochs):
+    weight = np.where(toxic > 0, 0.3 / max(1, toxic.sum()), 0.7 / max(1, (1 - toxic).sum())) * len(toxic)
+    step = 0
+    _, chunk, ends = next(kernel.chunks(sample, 1 << 60))
+    every = words(chunk, ends)
+    all_windows, whose = windows(every["sequence"], every["text"], len(sample), len(every["word"]))
+    per_text = np.bincount(whose, minlength=len(sample))
+    begin = np.cumsum(per_text) - per_text
+    while step < steps:
         order = rng.permutation(len(sample))
         for b in range(0, len(order), BATCH):
             chosen = order[b:b + BATCH]
-            _, chunk, ends = next(kernel.chunks([sample[k] for k in chosen], 1 << 60))
-            w = words(chunk, ends)
-            index, owner = windows(w["sequence"], w["text"], len(chosen), len(w["word"]))
-            drawn = rng.random(len(owner))
-            rank = np.lexsort((drawn, owner))
-            count = np.bincount(owner, minlength=len(chosen))
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            index, owner = index[rank][place < SAMPLE_WINDOWS], owner[rank][place < SAMPLE_WINDOWS]
-            keep = (rng.random(len(w["word"])) < 0.5).astype(f32) * 2  # words are dropped, so that characters are learned
+            drawn = [begin[k] + (rng.permutation(per_text[k])[:SAMPLE_WINDOWS] if per_text[k] > SAMPLE_WINDOWS else np.arange(per_text[k])) for k in chosen]
+            owner = np.repeat(np.arange(len(chosen)), [len(d) for d in drawn])
+            index = all_windows[np.concatenate(drawn)]
+            present = np.unique(index)
+            index = np.searchsorted(present, index)
+            present = present[present < len(every["word"])]  # what is padded comes last
+            w = some_words(every, present)
+            keep = (rng.random(len(present)) < 0.5).astype(f32) * 2  # words are dropped, so that characters are learned
             x = inputs(m, w, keep)
             logits = forward(m, x, index)
             worst = np.lexsort((-logits, owner))
@@ -212,9 +221,9 @@ def train(sample: list[str], toxic: np.ndarray, seed: int = 11, epochs: int = EP
             grads, dx = backward(m, x, index, cache, dlogit)
             grads["word"], grads["gram"] = np.zeros_like(m["word"]), np.zeros_like(m["gram"])
             np.add.at(grads["word"], w["word"], dx[:, :WORD_DIM] * keep[:, None])
-            np.add.at(grads["gram"], w["gram"], (dx[:, WORD_DIM:] / _root(w)[:, None])[w["owner"]])
+            np.add.at(grads["gram"], w["gram"], np.repeat(dx[:, WORD_DIM:] / _root(w)[:, None], np.diff(w["first"]), axis=0))
             step += 1
-            rate = RATE * (1 - step / (total + 1)) + 1e-4
+            rate = RATE * max(0.0, 1 - step / steps) + 1e-4
             for k in m:
                 first[k] += f32(0.1) * (grads[k] - first[k])
                 second[k] += f32(0.01) * (grads[k] ** 2 - second[k])
