@@ -49,9 +49,8 @@ def suffixed_paths(spark, sf):
 
 
 def normalized_titles(spark, sf):
-    """P13 over first lines of documents."""
-    first = F.substring_index("text", "\n", 1)
-    return m.table(spark, sf, "documents").select("doc_id", tx.normalize_title(first).alias("title"))
+    """P13 over whole documents."""
+    return m.table(spark, sf, "documents").select("doc_id", tx.normalize_title(F.col("text")).alias("title"))
 
 
 def bare_ids(spark, sf):
@@ -125,7 +124,7 @@ SQL = {
         CASE k WHEN 0 THEN rtrim(rest, '/') WHEN 1 THEN 'a/' || rtrim(rest, '/') ELSE rtrim(regexp_replace(url, '//+', '/', 'g'), '/') END AS archive,
         url LIKE 'http://www/%' AS inside FROM o""",
     "suffixed_paths": "SELECT page_id, '/d.x/' || page_id || '--from-' || regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g') || '.jsonl' AS path FROM pages",
-    "normalized_titles": "SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents",
+    "normalized_titles": "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents",
     "bare_ids": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'local_' ELSE '' END || c_name AS bare, left(c_name, 8) AS short, false AS shaped FROM customer",
     "sizes_and_ages": """WITH o AS (SELECT *, round(o_totalprice * o_orderkey)::BIGINT AS s, epoch(TIMESTAMP '1998-08-01' - o_orderdate)::DOUBLE AS sec FROM orders)
         SELECT o_orderkey, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN format('{:.1f} KB', s / 1024.0) WHEN s < 1073741824 THEN format('{:.1f} MB', s / 1048576.0) ELSE format('{:.2f} GB', s / 1073741824.0) END AS size,

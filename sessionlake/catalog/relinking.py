@@ -160,7 +160,8 @@ SQL = {
         UNION ALL SELECT count(*), 0, 'backup' FROM relinked WHERE best_session_id IS NOT NULL
         UNION ALL SELECT count(*), 0, CASE WHEN best_session_id IS NULL THEN 'blocked' ELSE 'repaired' END AS part FROM relinked GROUP BY 3""",
     "title_candidates": f"""{_T}, hits AS (SELECT e.index_path, t.session_id, CASE WHEN t.custom_title IS NOT NULL THEN 0 ELSE 1 END AS tier, CASE WHEN t.folder = e.project_path THEN 0 ELSE 1 END AS f, mtime, size_bytes, t.file_path
-          FROM index_entries e JOIN transcripts t ON t.p_name = e.title WHERE e.kind = 'session' AND e.cli_session_id IS NULL),
+          FROM index_entries e JOIN transcripts t ON t.p_name = e.title WHERE e.kind = 'session' AND e.cli_session_id IS NULL
+          AND (e.account_uuid, t.session_id) NOT IN (SELECT (account_uuid, cli_session_id) FROM index_entries WHERE kind = 'session' AND cli_session_id IS NOT NULL)),
         top AS (SELECT *, min(tier) OVER (PARTITION BY index_path) AS best FROM hits)
         SELECT index_path, place, session_id FROM (SELECT index_path, session_id, row_number() OVER (PARTITION BY index_path ORDER BY f, mtime DESC, size_bytes DESC, file_path) - 1 AS place
           FROM top WHERE tier = best) WHERE place < 5""",

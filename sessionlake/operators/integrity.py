@@ -67,7 +67,7 @@ def scan_integrity(spark: SparkSession, paths: str | list[str], inventory: DataF
     ``sources.inventory``) adds the files that yield no lines: empty ones, and
     ``unreadable`` ones.
     """
-    flagged = parse_lines(jsonl.scan(spark, paths), with_row=False)
+    flagged = parse_lines(jsonl.scan(spark, paths, tolerant=True), with_row=False)
     bad = F.col("status").isin("parse", "oversized-line")
     per_split = flagged.groupBy("file_path", "split_start").agg(
         F.max("file_size").alias("size_bytes"), F.sum("line_bytes").alias("_bytes"),
@@ -88,11 +88,15 @@ def scan_integrity(spark: SparkSession, paths: str | list[str], inventory: DataF
     terminated = ~F.col("_rest").isin(-1, 2)
     tail = (F.col("_last.bad") & ~terminated).cast("int")
     content = F.col("total_lines") - F.col("blank_lines")
+    # A byte order mark is 3 bytes, a missing last line feed is 1 less; any
+    # other difference means that part of the file was not read.
+    whole = F.col("_rest").isin(-1, 0, 2, 3)
+    state = F.when(whole, integrity_class(content, F.col("error_count"), tail)).otherwise("unreadable")
     report = counts.select(
         clean_path(F.col("file_path")).alias("file_path"),
         "size_bytes", "total_lines", "parsed_rows", "blank_lines", "error_count",
         terminated.alias("last_line_terminated"),
-        integrity_class(content, F.col("error_count"), tail).alias("integrity"),
+        state.alias("integrity"),
     )
     return report if inventory is None else with_inventory(report, inventory)
 

@@ -8,7 +8,7 @@ is left.  Choosing is not done record by record: see ``assign``.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
 from sessionlake.functions.paths import encode_project_dir
@@ -261,6 +261,12 @@ def _left_at_turn(chosen: DataFrame, entries: DataFrame, claims: DataFrame, list
     return chosen.join(counted, ["account_uuid", "r_ord"], "left")
 
 
+def _claims(records: DataFrame) -> DataFrame:
+    """Sessions that linked records of each account hold."""
+    return records.where("kind = 'session' AND cli_session_id <> ''").select(
+        "account_uuid", F.col("cli_session_id").alias("session_id")).distinct()
+
+
 def scan_broken(
     records: DataFrame, transcripts: DataFrame, titles: DataFrame, account: str | None = None, one_pass: int = ONE_PASS_RECORDS
 ) -> DataFrame:
@@ -276,8 +282,7 @@ def scan_broken(
         best_file.select(F.col("session_id").alias("cli_session_id"), F.col("b.file_path").alias("file_path")), "cli_session_id"
     ).select("account_uuid", "r_ord", F.col("cli_session_id").alias("session_id"), "file_path")
     searching = numbered.join(own.select("r_ord"), "r_ord", "left_anti")
-    claims = records.where("kind = 'session' AND cli_session_id <> ''").select(
-        "account_uuid", F.col("cli_session_id").alias("session_id")).distinct()
+    claims = _claims(records)
     keys = shared(_list_keys(searching), "list-keys")
     entries = materialize(_entries(keys, transcripts, titles), "entries")
     chosen = assign(keys, entries, claims, one_pass)
@@ -311,17 +316,21 @@ def scan_broken(
 
 def title_candidates(records: DataFrame, transcripts: DataFrame, titles: DataFrame, limit: int = fv.CANDIDATES_SHOWN) -> DataFrame:
     """Up to ``limit`` transcripts per broken record in order of preference,
-    before records compete: best tier that has any, own folder first."""
+    before records compete: best tier that has any, own folder first.  What a
+    linked record of the account holds already is no candidate."""
     numbered = _numbered(broken_records(records), ["account_uuid", "index_path"], "r_ord")
     keys = shared(_list_keys(numbered), "list-keys")
     entries = materialize(_entries(keys, transcripts, titles), "entries")
-    alive = keys.join(entries.select("list").distinct(), "list", "left_semi")
+    here = ["account_uuid", "list"]
+    free = _reach(keys.select(*here).distinct(), entries, _claims(records), 2 * limit)
+    first = W.partitionBy(*here).orderBy("pos")
+    free = shared(free.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= 2 * limit).drop("_k", "_end"), "free")
+    alive = keys.join(free.select(*here).distinct(), here, "left_semi")
     best = alive.groupBy("r_ord").agg(F.floor(F.min("n") / 2).alias("_tier"))
     wanted = alive.join(best, "r_ord").where(F.floor(F.col("n") / 2) == F.col("_tier"))
     # The first places of both lists are enough for the first places overall.
-    near = wanted.select("r_ord", "n", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * limit).cast("long"))).alias("pos")).join(
-        entries, ["list", "pos"])
-    once = near.groupBy("r_ord", "file_path", "session_id").agg(F.min(F.struct(F.col("n").alias("n"), "t_ord")).alias("k"))
+    near = wanted.select("r_ord", "n", *here).join(free, here)
+    once = near.groupBy("r_ord", "file_path", "session_id").agg(F.min(F.struct(F.col("n").alias("n"), F.col("pos").alias("pos"))).alias("k"))
     listed = once.groupBy("r_ord").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "session_id", "file_path"))), 1, limit).alias("c"))
     return numbered.select("index_path", "account_uuid", "r_ord").join(
         listed.select("r_ord", F.posexplode("c").alias("place", "c")), "r_ord").select(

@@ -18,9 +18,13 @@ from sessionlake.session import configure, estimated_bytes, shared
 _BROADCAST_SPLITS = 200_000
 
 
-def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan(spark: SparkSession, paths: str | list[str], tolerant: bool = False) -> DataFrame:
     """Physical lines of JSONL files, split on line feeds only.
 
+    A read error fails the job, so that no half of a file passes for the whole.
+    ``tolerant`` leaves out what can't be read instead; verification does so
+    and reports files whose bytes do not add up.
+
     One row per line: ``file_path``, ``file_size``, ``split_start``,
     ``scan_order`` (increasing inside a split), ``raw`` without the line feed
     and one trailing carriage return, ``line_bytes`` including both.  Empty
@@ -31,8 +35,8 @@ def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.jsonl")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreMissingFiles", str(tolerant).lower())
+        .option("ignoreCorruptFiles", str(tolerant).lower())
         .text(paths)
     )
     return lines.select(
