@@ -95,19 +95,22 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
         width.append(np.full(own.sum(), wide))
         top.append(weight[own])
     state, owner, low, width, top = map(np.concatenate, (state, owner, low, width, top))
-    time = np.zeros(len(state))
-    m = U64(registers)
+    time, made, m = np.zeros(len(state)), 0, U64(registers)
     with np.errstate(over="ignore"):
         while len(state):
-            state = kernel.mixed(state + U64(0x9E3779B97F4A7C15))
-            time = time - np.log(((state >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
-            where = kernel.mixed(state ^ U64(0x1234567))
-            register = ((where >> U64(32)) % m).astype(np.int64)
-            level = low + ((where & U64(0x7FFFFFFF)).astype(np.int64) & (width - 1))
-            counts = level < top
-            np.minimum.at(best, owner[counts] * registers + register[counts], time[counts])
-            latest = best.reshape(n, registers).max(axis=1)
-            more = time < latest[owner]
+            # The next points of all processes, several at once where few processes are left.
+            k = int(np.clip(100_000 // len(state), 1, 64))
+            steps = np.arange(made + 1, made + k + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
+            point = kernel.mixed(state[:, None] + steps)
+            times = time[:, None] + np.cumsum(-np.log(((point >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[:, None], axis=1)
+            where = kernel.mixed(point ^ U64(0x1234567))
+            register = ((where >> U64(32)) % m).astype(np.int64) + owner[:, None] * registers
+            level = low[:, None] + ((where & U64(0x7FFFFFFF)).astype(np.int64) & (width[:, None] - 1))
+            counts = level < top[:, None]
+            np.minimum.at(best, register[counts], times[counts])
+            time, made = times[:, -1], made + k
+            active, place = np.unique(owner, return_inverse=True)
+            more = time < best.reshape(n, registers)[active].max(axis=1)[place]
             state, owner, low, width, top, time = (x[more] for x in (state, owner, low, width, top, time))
     return best.reshape(n, registers)
 
