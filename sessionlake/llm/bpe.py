@@ -21,6 +21,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import load, texts
 
-#: Pieces whose encodings a task remembers at most; the memory is then begun anew.
-REMEMBERED = 200_000
+#: Pieces whose encodings a task remembers at most, twice: the memory is then
+#: begun anew, and what is met again is taken over from the one before.
+REMEMBERED = 300_000
 
 
 class Ranks:
@@ -52,6 +54,11 @@ class Ranks:
                 if self.reached[r]:
                     self.halves[r] = (parts[0], parts[1])
         self.usable = {t: r for t, r in self.rank.items() if self.reached[r]}
+        #: Finds all tokens that end at each byte; bytes are the characters 0 to 255.
+        self.ending = ahocorasick.Automaton()
+        for t, r in self.usable.items():
+            self.ending.add_word(t.decode("latin-1"), (r, len(t)))
+        self.ending.make_automaton()
 
     def _merge(self, piece: bytes, below: int) -> list[int]:
         """``piece`` by merges of rank less than ``below``, the lowest first."""
@@ -120,18 +127,23 @@ class Prefixes:
         self.append(piece)
 
     def append(self, more: bytes) -> None:
-        ranks, last = self.ranks, self.last
+        adjacent, known, last = self.ranks.adjacent, self.ranks._may, self.last
         start = len(self.piece)
-        piece = self.piece = self.piece + more
-        usable, longest, tokens, adjacent = ranks.usable, ranks.longest, ranks.tokens, ranks.adjacent
-        for end in range(start + 1, len(piece) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = usable.get(piece[begin:end])
-                if token is not None and (begin == 0 or adjacent(last[begin - 1], token)):
-                    last.append(token)
-                    break
+        self.piece += more
+        back = max(0, start - self.ranks.longest + 1)
+        for end, (token, size) in self.ranks.ending.iter(self.piece[back:].decode("latin-1")):
+            end += back
+            if end != len(last):  # before the new bytes, or decided
+                continue
+            if size > end:
+                last.append(token)
             else:
-                raise ValueError("the vocabulary lacks a byte")
+                left = last[end - size]
+                may = known.get((left, token))
+                if may or may is None and adjacent(left, token):
+                    last.append(token)
+        if len(last) != len(self.piece):
+            raise ValueError("the vocabulary lacks a byte")
 
     def edit(self, piece: bytes) -> int:
         """Makes this the prefixes of ``piece``; gives the number of bytes whose work was kept."""
@@ -158,24 +170,25 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         """The ids of one match of the pattern, as little-endian unsigned 32-bit integers."""
-        raw = piece.encode()
-        whole = self.ranks.usable.get(raw)
-        ids = [whole] if whole is not None else Prefixes(self.ranks, raw).tokens()
+        found = self.older.get(piece)
+        if found is None:
+            raw = piece.encode()
+            whole = self.ranks.usable.get(raw)
+            ids = [whole] if whole is not None else Prefixes(self.ranks, raw).tokens()
+            found = b"".join([i.to_bytes(4, "little") for i in ids])
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        found = np.asarray(ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
         if len(piece) <= 64:
             self.known[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        known, out = self.known, []
-        for p in self.find(text):
-            out.append(known.get(p) or self.piece(p))
-        return b"".join(out)
+        piece = self.piece
+        return b"".join([self.known.get(p) or piece(p) for p in self.find(text)])
 
     def extend(self, text: str, ids: bytes, more: str) -> bytes:
         """The ids of ``text + more``, given those of ``text``: only its end,

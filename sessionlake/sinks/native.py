@@ -8,10 +8,12 @@ from sessionlake.functions.jsonvalues import quoted
 from sessionlake.functions.paths import encode_project_dir
 from sessionlake.operators.positions import running_total, with_previous
 from sessionlake.session import shared
+from sessionlake.sinks.files import write_files
 
-# A run of assistant messages becomes one row.  A longer run continues in
-# further rows with the same message id, which readers put together again.
-MAX_BLOCKS_PER_ROW = 10_000
+# A run of assistant messages becomes one row.  ``max_blocks`` lets a longer run
+# continue in further rows with the same message id, which readers put together
+# again; without it a run of any length is one row.
+NO_LIMIT = 2**62
 
 
 def _uuid(*parts: Column) -> Column:
@@ -53,7 +55,7 @@ def _block() -> Column:
     )
 
 
-def build_rows(messages: DataFrame, sessions: DataFrame, now: Column | None = None, max_blocks: int = MAX_BLOCKS_PER_ROW) -> DataFrame:
+def build_rows(messages: DataFrame, sessions: DataFrame, now: Column | None = None, max_blocks: int = NO_LIMIT) -> DataFrame:
     """Native rows: ``uid, row_no, part_no, row_json``, chained by parent id.
 
     Consecutive assistant messages share a row; tool results go on user rows.
@@ -111,12 +113,8 @@ def suggested_path(project_path: Column, session_id: Column) -> Column:
     return F.concat(F.lit("projects/"), encode_project_dir(project_path, "unknown-project"), F.lit("/"), session_id, F.lit(".jsonl"))
 
 
-def write_native(rows: DataFrame, paths: DataFrame, target: str) -> None:
-    """Writes rows as JSONL text, one folder per session (``uid, rel_path``).
-
-    Rows of a session are range-partitioned by position, so a session of any
-    size is written by as many tasks as it needs, in order of file names.
-    """
-    placed = rows.join(paths, "uid")
-    ordered = placed.repartitionByRange("rel_path", "row_no", "part_no").sortWithinPartitions("rel_path", "row_no", "part_no")
-    ordered.select("rel_path", F.col("row_json").alias("value")).write.mode("errorifexists").partitionBy("rel_path").text(target)
+def write_native(rows: DataFrame, paths: DataFrame, target: str) -> DataFrame:
+    """Writes each session as one JSONL file at its ``rel_path`` (``paths``:
+    ``uid, rel_path``, see ``suggested_path``), so that it reads back as a transcript."""
+    placed = rows.join(paths, "uid").select("rel_path", "row_no", "part_no", F.concat("row_json", F.lit("\n")).alias("value"))
+    return write_files(placed, ["row_no", "part_no"], target)

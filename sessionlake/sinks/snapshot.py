@@ -13,15 +13,53 @@ from sessionlake import fixed_values as fv
 from sessionlake.functions.paths import safe_archive_name
 from sessionlake.operators import content
 from sessionlake.operators.content import message_problems
+from sessionlake.sinks.files import write_files
 
 BUCKETS = 64
 
 
 def raw_digests(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Digest of the raw lines of each file, as a tree like the content hash."""
-    numbered = lines.select(*keys, (F.col("line_no") - 1).alias("pos"), F.sha2("raw", 256).alias("msg_digest"))
-    return content.content_hash(numbered, keys).select(
+    """Digest of the bytes of each file, as a tree over its lines like the
+    content hash.
+
+    Carriage returns belong to their line; a byte order mark and a last line
+    without line feed, where ``lines`` tells them, change the file's digest.
+    """
+    numbered = lines.select(*keys, (F.col("line_no") - 1).alias("pos"), F.sha2(_as_written(lines), 256).alias("msg_digest"))
+    digests = content.content_hash(numbered, keys).select(
         *keys, F.col("content_hash").alias("raw_digest"), F.col("message_count").alias("n_lines"))
+    if not _EXACT <= set(lines.columns):
+        return digests
+    odd = lines.groupBy(*keys).agg(F.bool_or("has_bom").alias("_bom"), F.bool_and("last_line_terminated").alias("_ended"))
+    marks = F.concat(F.when(F.col("_bom"), "|bom").otherwise(""), F.when(F.col("_ended"), "").otherwise("|open"))
+    marked = F.concat(F.lit("sha256:"), F.sha2(F.concat("raw_digest", marks), 256))
+    return digests.join(odd, keys).withColumn(
+        "raw_digest", F.when(F.col("_bom") | ~F.col("_ended"), marked).otherwise(F.col("raw_digest"))).drop("_bom", "_ended")
+
+
+#: What lines have to tell for a file to be restored byte by byte.
+_EXACT = {"had_cr", "has_bom", "last_line_terminated", "total_lines"}
+
+
+def _as_written(lines: DataFrame):
+    """The line with its carriage return."""
+    return F.concat("raw", F.when(F.col("had_cr"), "\r").otherwise("")) if "had_cr" in lines.columns else F.col("raw")
+
+
+def restore_files(raw_lines: DataFrame, paths: DataFrame, target: str) -> DataFrame:
+    """Writes transcripts back as they were, byte by byte.
+
+    ``raw_lines``: lines of ``read_jsonl`` keyed by ``uid``; ``paths``: ``uid,
+    rel_path``.  Files without lines are empty and not in ``raw_lines``.
+    Returns ``rel_path, size_bytes, sha256`` of what was written.
+    """
+    lacking = _EXACT - set(raw_lines.columns)
+    if lacking:
+        raise ValueError(f"lines do not tell {sorted(lacking)}")
+    mark = F.when(F.col("has_bom") & (F.col("line_no") == 1), "\ufeff").otherwise("")
+    last_open = (F.col("line_no") == F.col("total_lines")) & ~F.col("last_line_terminated")
+    value = F.concat(mark, _as_written(raw_lines), F.when(last_open, "").otherwise("\n"))
+    return write_files(raw_lines.join(paths, "uid").select("rel_path", "line_no", value.alias("value")), ["line_no"], target)
 
 
 def build_manifest(sessions: DataFrame, messages: DataFrame, raw_lines: DataFrame, note: str | None = None) -> DataFrame:

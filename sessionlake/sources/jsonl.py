@@ -27,7 +27,7 @@ def scan(spark: SparkSession, paths: str | list[str], tolerant: bool = False) ->
 
     One row per line: ``file_path``, ``file_size``, ``split_start``,
     ``scan_order`` (increasing inside a split), ``raw`` without the line feed
-    and one trailing carriage return, ``line_bytes`` including both.  Empty
+    and one trailing carriage return (``had_cr``), ``line_bytes`` including both.  Empty
     files give no rows; the inventory knows them.
     """
     configure(spark)
@@ -46,6 +46,7 @@ def scan(spark: SparkSession, paths: str | list[str], tolerant: bool = False) ->
         F.monotonically_increasing_id().alias("scan_order"),
         (F.octet_length("value") + 1).cast("long").alias("line_bytes"),
         _without_cr(F.col("value")).alias("raw"),
+        F.endswith("value", F.lit("\r")).alias("had_cr"),
     )
 
 
@@ -110,7 +111,8 @@ def _bytes_setting(value: str) -> int:
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Adds exact 1-based ``line_no``, ``total_lines`` and ``last_line_terminated``.
+    """Adds exact 1-based ``line_no``, and of the file ``total_lines``,
+    ``last_line_terminated`` and ``has_bom``.
 
     Rows of a split are contiguous and in order in the scan, so a line's number
     is its distance from the split's first row plus the lines of earlier splits.
@@ -118,6 +120,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return (
         _join_splits(lines, _splits(lines))
         .withColumn("line_no", F.col("_lines_before") + F.col("scan_order") - F.col("_first") + 1)
+        .withColumn("has_bom", F.col("_mark_bytes") > 0)
         .drop("_first", "_lines_before", "_bytes_before", "_mark_bytes")
     )
 

@@ -84,3 +84,48 @@ def test_audit_is_appended(spark, tmp_path):
     lines = spark.read.text(log).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
     events = present.read_audit(lines).collect()
     assert len(events) == 3 and {e.outcome for e in events} == {"copied", "kept-existing"}
+
+
+def test_files_are_restored_byte_by_byte(spark, tmp_path):
+    line = '{"type":"user","uuid":"u%d"}'
+    cases = {
+        "plain": (line % 1 + "\n" + line % 2 + "\n").encode(), "open": (line % 1 + "\n" + line % 2).encode(),
+        "crlf": (line % 1 + "\r\n" + line % 2 + "\r\n").encode(), "crlf-open": (line % 1 + "\r\n" + line % 2).encode(),
+        "mark": b"\xef\xbb\xbf" + (line % 1 + "\n" + line % 2 + "\n").encode(), "mark-open": b"\xef\xbb\xbf" + (line % 1 + "\n" + line % 2).encode(),
+        "mixed": (line % 1 + "\r\n\n" + line % 2 + "\n{broken\n").encode(),
+    }
+    (tmp_path / "in").mkdir()
+    for name, data in cases.items():
+        (tmp_path / "in" / f"{name}.jsonl").write_bytes(data)
+    lines = jsonl.read_jsonl(spark, str(tmp_path / "in"))
+    stem = F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1)
+    keyed = lines.withColumn("uid", stem)
+    digests = {r.uid: r.raw_digest for r in snapshot.raw_digests(keyed, ["uid"]).collect()}
+    assert len(set(digests.values())) == len(cases), "every difference in bytes shows in the digest"
+    paths = keyed.select("uid", F.concat(F.lit("back/"), "uid", F.lit(".jsonl")).alias("rel_path")).distinct()
+    written = snapshot.restore_files(keyed, paths, str(tmp_path / "out")).collect()
+    assert len(written) == len(cases)
+    for name, data in cases.items():
+        assert (tmp_path / "out" / "back" / f"{name}.jsonl").read_bytes() == data, name
+    with pytest.raises(ValueError):
+        snapshot.restore_files(keyed.drop("had_cr"), paths, str(tmp_path / "none"))
+
+
+def test_native_files_read_back(spark, tmp_path):
+    msgs = spark.createDataFrame([("u", i, *m, f"id{i}", None) for i, m in enumerate(TALK)], MESSAGES)
+    sessions = spark.createDataFrame([("u", "s", "/w", "m1", None)], "uid string, session_id string, project_path string, model string, git_branch string")
+    rows = native.build_rows(msgs, sessions, F.lit("2026-01-01T00:00:00Z"))
+    paths = sessions.select("uid", native.suggested_path(F.col("project_path"), F.col("session_id")).alias("rel_path"))
+    native.write_native(rows, paths, str(tmp_path / "out"))
+    assert (tmp_path / "out" / "projects" / "-w" / "s.jsonl").exists()
+    back = normalize.messages(jsonl.read_jsonl(spark, str(tmp_path / "out"))).count()
+    assert back == sum(r != "system" for r, *_ in TALK)
+
+
+def test_half_a_file_is_reported(spark, tmp_path, monkeypatch):
+    path = tmp_path / "a.jsonl"
+    path.write_text('{"a":1}\n{"a":2}\n')
+    assert integrity.scan_integrity(spark, str(tmp_path)).first().integrity == "ok"
+    whole = jsonl.scan
+    monkeypatch.setattr(jsonl, "scan", lambda *a, **k: whole(*a, **k).limit(1))
+    assert integrity.scan_integrity(spark, str(tmp_path)).first().integrity == "unreadable"
