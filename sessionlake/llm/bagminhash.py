@@ -14,8 +14,9 @@ more) share a band but for 8e-5 of the cases at 0.8 itself, fewer above.
 Candidates are verified exactly, from whole texts.
 
 Equal texts are first collapsed. Within a bucket nobody is paired with
-everybody: all members meet the bucket's leader, and those that are not
-connected with it by any bucket meet a second one. What is left are pairs
+everybody: all members meet the bucket's leader, the member that shares most
+buckets with others, and those that are not connected with it by any bucket
+meet a second one. What is left are pairs
 across different classes of one bucket. Of these the sizes and the triangle
 inequality of the distance exclude most (distances to the leader that differ by
 more than 0.2); all others are verified. So no link between classes is lost.
@@ -161,11 +162,14 @@ def contents(marked: DataFrame) -> DataFrame:
 
 
 def buckets(different: DataFrame) -> DataFrame:
-    """(bucket, cid, size) for all buckets with several members."""
+    """(bucket, cid, size, central) for all buckets with several members;
+    ``central`` counts the places beside the text in all its buckets."""
     rows = different.select("cid", "size", F.posexplode("bands").alias("band", "value")).select(
         F.xxhash64("band", "value").alias("bucket"), "cid", "size")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return stored(rows.join(shared, "bucket"), "buckets")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    found = stored(rows.join(shared, "bucket"), "buckets")
+    central = found.groupBy("cid").agg(F.sum("n").alias("central"))
+    return stored(found.drop("n").join(central, "cid"), "buckets")
 
 
 def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -193,22 +197,25 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) for all nodes of ``links`` (a, b); the label is the least cid."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
-    while True:
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
         edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("cid"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a lesser one, which has none itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(
+        edges.select(F.col("v"), F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
+
 def _fits(a: str, b: str, similar: float):
     """Texts whose sizes differ too much can't be similar."""
     return F.least(a, b) >= F.greatest(a, b) * similar
@@ -223,8 +230,8 @@ def linked(different: DataFrame, held_by, similar: float = SIMILAR) -> DataFrame
     held = stored(held_by(rows.select("cid").distinct()), "held")
     checked, labels, open_ = None, None, rows
     for _ in range(LEADERS):
-        # Every open member of a bucket meets the first one.
-        leads = open_.groupBy("bucket").agg(F.min(F.struct("cid", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+        # Every open member of a bucket meets the one that has most in common with others.
+        leads = open_.groupBy("bucket").agg(F.max(F.struct("central", "cid", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1")
         met = open_.join(leads, "bucket").where((F.col("cid") != F.col("lead.cid")) & _fits("size", "lead.size", similar))
         pairs = met.select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).distinct()
         if checked is not None:
@@ -236,15 +243,15 @@ def linked(different: DataFrame, held_by, similar: float = SIMILAR) -> DataFrame
         checked = more if checked is None else checked.union(more)
         labels = stored(components(checked.where(F.col("similarity") >= similar).select("a", "b")), "labels")
         # Those that are not connected with the leader stay open, without it.
-        classed = open_.join(labels, "cid", "left").select("bucket", "cid", "size", F.coalesce("label", "cid").alias("label"))
-        led = classed.groupBy("bucket").agg(F.min(F.struct("cid", "label")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+        classed = open_.join(labels, "cid", "left").select("bucket", "cid", "size", "central", F.coalesce("label", "cid").alias("label"))
+        led = classed.groupBy("bucket").agg(F.max(F.struct("central", "cid", "label")).alias("lead"), F.count("*").alias("n")).where("n > 1")
         open_ = stored(classed.join(led.select("bucket", F.col("lead.label").alias("led")), "bucket")
-                       .where(F.col("label") != F.col("led")).select("bucket", "cid", "size"), "open")
+                       .where(F.col("label") != F.col("led")).select("bucket", "cid", "size", "central"), "open")
     if labels is None:
         return different.select("cid", F.col("cid").alias("label")).limit(0)
     # Pairs across the classes of a bucket that the triangle inequality leaves.
-    classed = rows.join(labels, "cid", "left").select("bucket", "cid", "size", F.coalesce("label", "cid").alias("label"))
-    mixed_ = classed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("cid").alias("lead")).where("x < y")
+    classed = rows.join(labels, "cid", "left").select("bucket", "cid", "size", "central", F.coalesce("label", "cid").alias("label"))
+    mixed_ = classed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("central", "cid"))["cid"].alias("lead")).where("x < y")
     known = checked.select(F.col("a").alias("cid"), F.col("b").alias("lead"), (1 - F.col("similarity")).alias("far"))
     inner = (classed.join(mixed_.select("bucket", "lead"), "bucket").join(known, ["cid", "lead"], "left")
              .withColumn("far", F.when(F.col("cid") == F.col("lead"), F.lit(0.0)).otherwise(F.col("far"))))

@@ -14,7 +14,7 @@ from sessionlake import catalog
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "line_numbers", "integrity_report", "message_table", "session_summaries", "compare_copies", "sync_plan", "import_plan",
-    "session_listing", "sync_all_plan", "title_candidates", "sessions_by_title", "project_dirs", "snapshot_manifest", "native_rows",
+    "session_listing", "sync_all_plan", "migrate_plan", "unlink_plan", "account_histories", "newest_sessions", "relink_scan", "title_candidates", "sessions_by_title", "project_dirs", "snapshot_manifest", "native_rows",
 )
 NAMES = sorted(catalog.oracle_sql()) if os.environ.get("SESSIONLAKE_ALL") else SAMPLE
 
