@@ -13,8 +13,9 @@ else. To find those strings without sorting all suffixes of the corpus:
   shard, has the Burrows-Wheeler transform of its pieces. The transforms are
   merged by refining their interleave: LENGTH stable passes by the next symbol
   to the left, each of which sorts the merged order by one more symbol. Where a
-  pass first tells neighbours apart is their common prefix; neighbours never
-  told apart are repeated strings. The suffixes of both shards are not sorted again.
+  pass first tells neighbours apart is their common prefix; what is told apart
+  from all others is dropped, and what is left at the end are repeated strings.
+  The suffixes of both shards are not sorted again.
 * An anchor with more than ``MANY`` different pieces would make too large a
   bucket. Its strings are counted by their hashes instead, in an aggregation
   that has no hot group. This is exact as well.
@@ -149,6 +150,35 @@ def merged(left: np.ndarray, right: np.ndarray, strings: tuple[int, int], depth:
     return which, common
 
 
+def alike(left: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries (shard, place in its order) of the suffixes of two transforms
+    that share their first ``depth`` symbols with another one.
+
+    The same refinement as ``merged``, but what is told apart from all others is
+    dropped: then the suffixes that begin further left are as well.
+    """
+    both, split = np.concatenate([left, right]), len(left)
+    back = np.empty(len(both), np.int64)  # where the suffix that begins one symbol earlier stands
+    for at, shard in ((0, left), (split, right)):
+        back[at + np.argsort(shard, kind="stable")] = at + np.arange(len(shard))
+    entry, block = np.arange(len(both)), np.zeros(len(both), np.int32)
+    for _ in range(depth):
+        symbol = both[entry]
+        inner = np.flatnonzero(symbol)
+        symbol = (symbol[inner] - 1).astype(np.uint8)
+        order = np.argsort(symbol, kind="stable")
+        by, at = symbol[order], inner[order]
+        was = block[at]
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = (by[1:] != by[:-1]) | (was[1:] != was[:-1])
+        many = ~(new[:-1] & new[1:])
+        block = np.cumsum(new[:-1], dtype=np.int32)[many]
+        entry = back[entry[at[many]]]
+        if not len(entry):
+            break
+    return entry >= split, np.where(entry >= split, entry - split, entry)
+
+
 def repeated_starts(strings: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each string a mask of its first ``counts`` starts: whether the
     ``length`` bytes from there also start elsewhere in the collection."""
@@ -160,14 +190,13 @@ def repeated_starts(strings: list[bytes], counts: np.ndarray, length: int = LENG
         transforms, arrays = [transform(strings)[0], np.zeros(0, np.uint16)], [transform(strings)[1], np.zeros(0, np.int64)]
     else:
         transforms, arrays = zip(*map(transform, shards))
-    which, common = merged(transforms[0], transforms[1], (len(shards[0]), len(shards[1])), length)
-    # The place in the concatenated text of each suffix of the merged order.
-    place = np.empty(len(which), np.int64)
-    place[~which], place[which] = arrays[0], arrays[1] + len(arrays[0])
-    again = common >= length
-    again[:-1] |= again[1:]
+    which, at = alike(transforms[0], transforms[1], length)
+    place = np.zeros(len(which), np.int64)
+    for k, array in enumerate(arrays):
+        own = which == bool(k)
+        place[own] = array[at[own]] + k * len(arrays[0])
     begins = np.cumsum([0, *(len(s) + 1 for s in strings[:-1])])
-    found = np.sort(place[again])
+    found = np.sort(place)
     owner = np.searchsorted(begins, found, side="right") - 1
     for i in np.unique(owner):
         masks[i][found[owner == i] - begins[i]] = True

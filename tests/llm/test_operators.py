@@ -147,6 +147,12 @@ def test_merged_transforms_are_those_of_all():
         flat = [s[:-1] for s, _ in suffixes]
         prefix = [0] + [next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(flat, flat[1:])]
         assert common.tolist() == prefix
+        for depth in (1, 2, 3, 5):
+            shard, at = repeats.alike(left, right, depth)
+            ours = sorted(zip(shard.tolist(), at.tolist()))
+            near = [max(prefix[i], prefix[i + 1] if i + 1 < len(prefix) else 0) >= depth for i in range(len(prefix))]
+            rank = np.where(which, np.cumsum(which) - 1, np.cumsum(~which) - 1)
+            assert ours == sorted((bool(which[i]), int(rank[i])) for i in range(len(which)) if near[i])
 
 
 @pytest.mark.parametrize("many", [4096, 2])
