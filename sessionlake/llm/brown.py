@@ -14,8 +14,8 @@ how often each unit follows and precedes each class. These tables have a fixed
 size (units times classes). The driver moves a random half of the units a round
 to the class that raises the likelihood of the class bigrams most.
 
-Scoring: the ``KNOWN`` most frequent words are broadcast with their counts (4
-MB); other words of a text are joined with the table of counts.
+Scoring: at most ``KNOWN`` of the most frequent words are broadcast with their
+counts (4 MB); other words of a text are joined with the table of counts.
 
 Defined results: null texts are empty, and an empty text is its end alone. Rows
 that repeat are scored (and learned) each. Without training texts every word is
@@ -29,7 +29,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -72,6 +72,16 @@ def word_counts(training: DataFrame) -> DataFrame:
     return stored(rows.groupBy("word").agg(F.max("unit").alias("unit"), F.sum("n").alias("n")), "words")
 
 
+def frequent(words: DataFrame, most: int = KNOWN) -> DataFrame:
+    """The words whose count is so high that at most ``most`` words have it or a
+    higher one.  The bound is found on a histogram of counts, so that no task
+    sends its own first ``most`` words to the driver."""
+    fewer = Window.orderBy(F.col("n").desc())
+    sizes = words.where("unit > 0").groupBy("n").agg(F.count("*").alias("k"))
+    least = sizes.select("n", F.sum("k").over(fewer).alias("k")).where(F.col("k") <= most).agg(F.min("n")).first()[0]
+    return words.where("unit > 0").where(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def sequences(docs: DataFrame, model: Any) -> DataFrame:
     """Per text: what the broadcast words give, its unit sequence, and the words that are not among them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,8 +227,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     words = word_counts(rows.where(~F.col("held_out")))
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     all_tokens, different = total["n"] or 0, total["v"]
-    top = words.orderBy(F.col("n").desc(), "word").limit(KNOWN).toPandas()
-    top = top[top.unit != 0]
+    top = frequent(words).toPandas().sort_values(["n", "word"], ascending=[False, True])
     hashes, counts, units = top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64), top.unit.to_numpy(np.int64).copy()
     units[:HEAD] = np.arange(1, min(HEAD, len(units)) + 1)
     ends = words.where("unit = 0").first()
