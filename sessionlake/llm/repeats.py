@@ -43,7 +43,7 @@ from .common import load, stored, texts
 
 LENGTH, K = 200, 32
 MANY = 4096
-BUCKET_BYTES = 1_000_000
+BUCKET_BYTES = 100_000
 _PLACE = 21
 _SEGMENT = 1 << 20
 U64 = np.uint64
@@ -158,22 +158,27 @@ def alike(left: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray,
     dropped: then the suffixes that begin further left are as well.
     """
     both, split = np.concatenate([left, right]), len(left)
-    back = np.empty(len(both), np.int64)  # where the suffix that begins one symbol earlier stands
+    back = np.empty(len(both), np.int32)  # where the suffix that begins one symbol earlier stands
     for at, shard in ((0, left), (split, right)):
         back[at + np.argsort(shard, kind="stable")] = at + np.arange(len(shard))
-    entry, block = np.arange(len(both)), np.zeros(len(both), np.int32)
+    first = both == 0  # the whole strings, which nothing begins to the left of
+    symbols = (both - 1).astype(np.uint8)
+    entry, block = np.arange(len(both), dtype=np.int32), np.zeros(len(both), np.int32)
     for _ in range(depth):
-        symbol = both[entry]
-        inner = np.flatnonzero(symbol)
-        symbol = (symbol[inner] - 1).astype(np.uint8)
-        order = np.argsort(symbol, kind="stable")
-        by, at = symbol[order], inner[order]
-        was = block[at]
-        new = np.ones(len(at) + 1, bool)
+        starts = first[entry]
+        if starts.any():
+            entry, block = entry[~starts], block[~starts]
+        symbol = symbols[entry]
+        order = np.argsort(symbol, kind="stable").astype(np.int32)
+        by, was = symbol[order], block[order]
+        new = np.ones(len(order) + 1, bool)
         new[1:-1] = (by[1:] != by[:-1]) | (was[1:] != was[:-1])
-        many = ~(new[:-1] & new[1:])
-        block = np.cumsum(new[:-1], dtype=np.int32)[many]
-        entry = back[entry[at[many]]]
+        block = np.cumsum(new[:-1], dtype=np.int32)
+        entry = back[entry[order]]
+        alone = new[:-1] & new[1:]
+        if alone.any():
+            many = ~alone
+            entry, block = entry[many], block[many]
         if not len(entry):
             break
     return entry >= split, np.where(entry >= split, entry - split, entry)
