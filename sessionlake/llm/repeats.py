@@ -12,10 +12,11 @@ else. To find those strings without sorting all suffixes of the corpus:
 * Different pieces of one anchor meet in a bucket. Each half of a bucket, a
   shard, has the Burrows-Wheeler transform of its pieces. The transforms are
   merged by refining their interleave: LENGTH stable passes by the next symbol
-  to the left, each of which sorts the merged order by one more symbol. Where a
-  pass first tells neighbours apart is their common prefix; what is told apart
-  from all others is dropped, and what is left at the end are repeated strings.
-  The suffixes of both shards are not sorted again.
+  to the left, each of which sorts the merged order by one more symbol. What is
+  told apart from all others is dropped, and what is left at the end are repeated
+  strings of LENGTH bytes; lengths of common prefixes are not derived (``merged``,
+  which gives them, is not used by the query). The suffixes of both shards are not
+  sorted again.
 * An anchor with more than ``MANY`` different pieces would make too large a
   bucket. Its strings are counted by their hashes instead, in an aggregation
   that has no hot group. This is exact as well.
