@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
+from pyspark.sql import functions as F
 from sessionlake.llm import bagminhash, bpe, brown, catalog, chat, kernel, quality, repeats, toxicity
 from sessionlake.llm.common import load
 
@@ -216,6 +217,71 @@ def test_exchange_raises_the_likelihood(monkeypatch):
     assert brown.likelihood(brown.table_of(classes, neighbours(classes)[0])) > first
 
 
+def test_best_class_of_each_tail_word_is_that_of_all_tries():
+    rng = np.random.default_rng(3)
+    table = rng.integers(200, 400, (brown.CLASSES, brown.CLASSES)).astype(float)
+    table += table.T  # a class is entered as often as it is left
+    owner = np.repeat(np.arange(30), 4)
+    five = np.array([1 + rng.permutation(brown.CLASSES - 1)[:5] for _ in range(30)])  # no two entries in one cell
+    slot, now = (five[:, :4] + [0, 0, brown.CLASSES, brown.CLASSES]).ravel(), five[:, 4]
+    n = np.tile([3, 2, 1, 4], 30)
+    got = brown.best_classes(owner, slot, n, now, table)
+    for u in range(30):
+        def moved(b):
+            t = table.copy()
+            for s, k in zip(slot[owner == u], n[owner == u], strict=True):
+                for c, sign in ((now[u], -1), (b, 1)):
+                    t[(s, c) if s < brown.CLASSES else (c, s - brown.CLASSES)] += sign * k
+            return brown.likelihood(t)
+        tried = [moved(b) for b in range(1, brown.CLASSES)]
+        assert moved(got[u]) >= max(tried) - 1e-6
+
+
+def test_each_training_word_beyond_the_head_has_a_class_of_its_own(spark):
+    rng = np.random.default_rng(5)
+    head = [f"h{k}" for k in range(brown.HEAD)]
+    # Two kinds of tail words of the same ending and length: one stands between a's, one between b's.
+    tail = {k: f"{'xy'[k % 2]}{k:04d}ing" for k in range(200)}
+    sides = [head[:4000], head[4000:]]
+    some = lambda k: sides[k % 2][rng.integers(0, 40)]
+    said = [" ".join(head) for _ in range(3)] + [f"{some(k)} {w} {some(k)}" for k, w in tail.items() for _ in range(2)]
+    runs = [" ".join(np.array(side)[rng.integers(0, 40, 400)]) for side in sides for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(said + runs)), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model, _ = brown.vocabulary(docs)
+    placed = brown.sequences(docs, model)
+    classes, table, _ = brown.clustered(placed, model, 2)
+    words, pairs, _, after = brown.tail_clustered(placed, model, classes, table)
+    got = {np.int64(r.word).view(np.uint64): r for r in words.collect()}
+    chunk, ends = next(kernel.chunks([" ".join(tail.values())], 1 << 60))[1:]
+    found, unit, _ = brown.tokens(chunk, ends)
+    found, unit = found[:-1], unit[:-1]
+    assert len(got) == 200 and all(got[w].n == 2 for w in found)
+    assert len(set(unit.tolist())) == 1
+    assert len({got[w].c for w in found}) > 1
+    assert brown.likelihood(after) > brown.likelihood(table)
+
+
+def test_tail_words_beyond_the_broadcast_give_the_same_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a b{k % 7} c d{k % 11} e{k % 5} f{k % 3} g") for k in range(60)] + [(90, None), (91, "new words b1 only")], "doc_id long, text string")
+    monkeypatch.setattr(brown, "HEAD", 6)
+    monkeypatch.setattr(brown, "UNITS", 1 + 6 + brown.SHAPES)
+    shape = brown.tokens
+
+    def tokens(chunk, ends):
+        word, unit, count = shape(chunk, ends)
+        return word, np.where(unit > 0, (unit - 1) % brown.SHAPES + 7, 0), count
+    tokens.__module__ = "__main__"
+    monkeypatch.setattr(brown, "tokens", tokens)
+    several = [{r.doc_id: r for r in brown.scored(docs).collect()}]
+    held = brown.frequent
+    monkeypatch.setattr(brown, "frequent", lambda words: held(words, 12))
+    several.append({r.doc_id: r for r in brown.scored(docs).collect()})
+    for k, r in several[0].items():
+        o = several[1][k]
+        assert (r.n_tokens, r.n_known) == (o.n_tokens, o.n_known)
+        assert math.isclose(r.base_score, o.base_score, rel_tol=1e-9) and math.isclose(r.score, o.score, rel_tol=1e-9)
+
+
 # Classifiers.
 
 
