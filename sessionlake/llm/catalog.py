@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "mixing", "merkle", "chat", "bpe", "bagminhash", "toxicity", "quality", "brown", "repeats", "manifest", "licenses")
+MODULES = ("exact_dedup", "mixing", "merkle", "chat", "bpe", "bagminhash", "toxicity", "quality", "brown", "repeats", "manifest", "licenses", "phrases")
 
 
 def _all(kind: str) -> dict:
