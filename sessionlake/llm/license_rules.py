@@ -143,7 +143,7 @@ SIGNATURES = """
 1 public-domain dedicated+domain (has been |is |are )?dedicated to the public domain
 1 all-rights-reserved reserved+copyright copyright ([^ ]+ ){0,8}all rights reserved
 2 mit license (licensed|released|distributed|published|available) under (the )?terms of the mit license
-2 mit license (licensed|released|distributed|published|available) under (an? )?(mit|expat)( style)? license
+2 mit license (licensed|released|distributed|published|available) under (the |an? )?(mit|expat)( style)? license
 2 mit-0 license (licensed|released|distributed|published|available) under the mit 0 license
 2 apache-2 apache (licensed|released|distributed|published|available) under (the )?apache (software )?license (version |v)?2( 0)?
 2 apache-2 apache (licensed|released|distributed|published|available) under (the )?apache 2( 0)?( license)?
