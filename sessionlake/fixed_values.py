@@ -26,9 +26,8 @@ STUB_BYTES = 2 * 1024
 HUGE_BYTES = 256 * 1024 * 1024
 TAIL_SCAN_BYTES = 2 * 1024 * 1024
 MAX_CONFIG_BYTES = 32 * 1024 * 1024
-# Longest line the JVM JSON parser is trusted with (one string value may hold
-# 20 million characters there).
-MAX_PARSE_CHARS = 16 * 1024 * 1024
+# A parsed row holds at most so many bytes.
+MAX_ROW_BYTES = 128 * 1024 * 1024
 
 # Row limits.
 HEAD_ROWS = 40

@@ -10,14 +10,29 @@ from sessionlake.functions.text import js_trim
 _MARK = "~end-of-row~"
 
 
-def _pair(trimmed: Column) -> Column:
+# The parser's own limits on one string (20 million characters) and one number
+# (1000 digits) are lifted for the few lines that may need it.
+_WIDE = {"maxStringLen": str(2**31 - 1), "maxNumLen": str(2**31 - 1), "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_PARSER_STRING_CHARS = 20_000_000
+_PARSER_NUMBER = "[0-9.]{999}"
+
+
+def _wide_json(text: Column) -> Column:
+    return F.from_json(text, "variant", _WIDE)
+
+
+def _may_be_wide(text: Column) -> Column:
+    return (F.length(text) > _PARSER_STRING_CHARS) | F.rlike(text, F.lit(_PARSER_NUMBER))
+
+
+def _pair(trimmed: Column, parse=F.try_parse_json) -> Column:
     """The text parsed as first element of an array that ends with a marker.
 
     The parser stops after the first value and would accept trailing junk.  In
     the array the marker is the second element only when the text is one
     complete value (and does not hold the marker itself).
     """
-    return F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit(f',"{_MARK}"]')))
+    return parse(F.concat(F.lit("["), trimmed, F.lit(f',"{_MARK}"]')))
 
 
 def _first(value: Column) -> Column:
@@ -29,24 +44,29 @@ def _complete(pair: Column) -> Column:
     return F.coalesce(F.try_variant_get(pair, "$[1]", "string"), F.lit("")) == _MARK
 
 
-def _marked_value(trimmed: Column) -> Column:
+def _marked_value(trimmed: Column, parse=F.try_parse_json) -> Column:
     """Value of a text that holds the marker: it must parse inside an array and
     inside an object, which between them leave room for one value only."""
-    in_array = F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), trimmed, F.lit("}")))
+    in_array = parse(F.concat(F.lit("["), trimmed, F.lit("]")))
+    in_object = parse(F.concat(F.lit('{"v":'), trimmed, F.lit("}")))
     return F.when(in_object.isNotNull(), _first(in_array))
 
 
+def _value(trimmed: Column, parse) -> Column:
+    pair = _pair(trimmed, parse)
+    return F.when(F.contains(trimmed, F.lit(_MARK)), _marked_value(trimmed, parse)).when(_complete(pair), _first(pair))
+
+
 def checked_json(trimmed: Column) -> Column:
     """The value as a variant when the text is exactly one JSON value, else null."""
-    pair = _pair(trimmed)
-    return F.when(F.contains(trimmed, F.lit(_MARK)), _marked_value(trimmed)).when(_complete(pair), _first(pair))
+    return F.coalesce(_value(trimmed, F.try_parse_json), F.when(_may_be_wide(trimmed), _value(trimmed, _wide_json)))
 
 
 def parse_lines(frame: DataFrame, raw: str = "raw", with_row: bool = True) -> DataFrame:
     """Adds ``status`` (ok, blank, parse, oversized-line) and the parsed ``row``.
 
-    The text is parsed once.
+    The text is parsed once; lines that fail and hold a very long string or
+    number are parsed again without the parser's limits on those.
     """
     text = F.coalesce(F.col(raw), F.lit(""))
     # Nearly every line is an object and needs no trimming.
@@ -56,16 +76,19 @@ def parse_lines(frame: DataFrame, raw: str = "raw", with_row: bool = True) -> Da
     parsed = evaluate_once(frame, _pair=F.when(~marked, _pair(trimmed)))
     pair = F.col("_pair")
     good = F.when(marked, _marked_value(trimmed).isNotNull()).otherwise(_complete(pair))
+    # Reached by lines that are not good only.
+    wide = F.when(_may_be_wide(text), _value(trimmed, _wide_json))
     status = (
         F.when(good, "ok")
         .when(trimmed == "", "blank")
-        .when(F.length(text) > fv.MAX_PARSE_CHARS, "oversized-line")
+        .when(wide.isNotNull(), "ok")
+        .when(F.octet_length(text) > fv.MAX_ROW_BYTES, "oversized-line")
         .otherwise("parse")
     )
     if not with_row:
         return evaluate_once(parsed, status=status).drop("_pair")
-    row = F.when(marked, _marked_value(trimmed)).when(_complete(pair), _first(pair))
-    return evaluate_once(parsed, status=status, row=row).drop("_pair")
+    near = F.when(marked, _marked_value(trimmed)).when(_complete(pair), _first(pair))
+    return evaluate_once(parsed, status=status, row=F.coalesce(near, wide)).drop("_pair")
 
 
 def field(value: Column, path: str, kind: str = "string") -> Column:

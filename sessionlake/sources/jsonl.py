@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
@@ -193,30 +190,3 @@ def tail_rows(
         kept = kept.where((start <= 0) | (F.col("byte_offset") > start))
     order = W.partitionBy("file_path").orderBy(F.desc("line_no"))
     return kept.withColumn("tail_no", F.row_number().over(order)).where(F.col("tail_no") <= limit)
-
-
-def _refuse(name: str):
-    raise ValueError(name)
-
-
-def _is_json(text: str) -> bool:
-    try:
-        json.loads(text, parse_constant=_refuse)
-        return True
-    except ValueError:
-        return False
-
-
-def _strictly_valid(texts: pd.Series) -> pd.Series:
-    return texts.map(_is_json)
-
-
-def recheck_oversized(lines: DataFrame) -> DataFrame:
-    """Verdict on lines too long for the JVM parser (``oversized-line``).
-
-    Only those lines reach Python; run it when an integrity report counts any.
-    """
-    valid = F.pandas_udf(_strictly_valid, "boolean")
-    return lines.where("status = 'oversized-line'").select(
-        "file_path", "line_no", valid("raw").alias("is_valid")
-    )

@@ -4,7 +4,10 @@ import json
 
 import pytest
 
-from sessionlake.operators import integrity
+from pyspark.sql import functions as F
+
+from sessionlake.functions.jsonvalues import parse_lines
+from sessionlake.operators import integrity, normalize
 from sessionlake.sources import inventory, jsonl
 
 
@@ -85,8 +88,6 @@ def test_line_numbers_and_offsets_over_many_splits(spark, tmp_path):
         assert len({r.line_no for r in rows}) == 4000
         assert all(lines[r.line_no - 1] == r.raw for r in rows)
         assert {(r.total_lines, r.last_line_terminated) for r in rows} == {(4000, False)}
-        from pyspark.sql import functions as F
-
         found = jsonl.byte_offsets(jsonl.scan(spark, path), F.col("raw") == "{broken").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -110,11 +111,30 @@ def test_head_and_tail_rows(spark, tmp_path):
     assert sorted(r.line_no for r in jsonl.tail_rows(lines, 2).collect()) == [100, 101]
 
 
-def test_oversized_lines_are_flagged_and_rechecked(spark, tmp_path):
-    long = '"' + "x" * 21_000_000 + '"'
-    write(tmp_path, "long.jsonl", f'{{"a":{long}}}\n{{"a":{long}\n{ROW}\n')
+def test_lines_beyond_the_parsers_own_limits_are_rows(spark, tmp_path):
+    """Strings of 21 million characters and numbers of 1 500 digits."""
+    text, number = "x" * 21_000_000, "7" * 1500
+    row = '{"type":"user","uuid":"u%d","message":{"role":"user","content":%s}}'
+    block = '[{"type":"tool_use","name":"n","input":{"v":%s}},{"type":"text","text":"after"}]'
+    write(tmp_path, "long.jsonl", "\n".join([
+        row % (1, f'"{text}"'), row % (2, block % number), f'{{"a":"{text}', f'{{"a":{number}', ROW, row % (3, f'"{text}~end-of-row~"')]) + "\n")
     lines = jsonl.read_jsonl(spark, str(tmp_path))
-    assert {r.line_no: r.is_valid for r in jsonl.recheck_oversized(lines).collect()} == {1: True, 2: False}
+    assert [r.status for r in lines.orderBy("line_no").select("status").collect()] == ["ok", "ok", "parse", "parse", "ok", "ok"]
+    found = normalize.messages(lines).select(
+        "line_no", "type", F.length("text").alias("n"), "tool_name", F.length("msg_digest").alias("d")).orderBy("pos").collect()
+    assert [(r.line_no, r.type, r.n, r.tool_name, r.d) for r in found] == [
+        (1, "text", 21_000_000, None, 64), (2, "tool_use", None, "n", 64), (2, "text", 5, None, 64), (6, "text", 21_000_012, None, 64)]
+    report = integrity.verify(spark, str(tmp_path)).first()
+    assert (report.parsed_rows, report.error_count) == (4, 2)
+
+
+def test_no_leniency_beyond_the_limits(spark):
+    """What the second parse is more tolerant of by default stays refused."""
+    number = "7" * 1500
+    bad = [f"{{'a':{number}}}", f'{{"a":[NaN,{number}]}}', f'{{"a":{number},}}', f'{{"a":{number}}} {{}}', f'{{"a":{number}}},{{"b":1}}', f'{{"a":0{number}}}']
+    frame = spark.createDataFrame([(t,) for t in [*bad, f'{{"a":-{number}.5e3}}']], "raw string")
+    got = {r.raw: r.status for r in parse_lines(frame).collect()}
+    assert [got[t] for t in bad] == ["parse"] * len(bad) and list(got.values()).count("ok") == 1
 
 
 def test_changed_splits_fail_instead_of_losing_lines(spark, tmp_path):
