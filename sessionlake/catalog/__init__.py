@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("transcripts", "reconcile", "history", "relinking", "presentation", "functions_", "exchange")
+MODULES = ("transcripts", "reconcile", "history", "relinking", "presentation", "functions_", "exchange", "files")
 
 
 def _loaded():

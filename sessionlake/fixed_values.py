@@ -33,6 +33,7 @@ MAX_ROW_BYTES = 128 * 1024 * 1024
 HEAD_ROWS = 40
 TAIL_ROWS = 8
 SAMPLE_ROWS = 250
+DEDUPE_WINDOW_IDS = 64
 ERRORS_KEPT = 200
 AUDIT_ROWS = 200
 MESSAGE_ROWS_SHOWN = 400

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
 from sessionlake.functions import hashing, text as tx
@@ -52,6 +52,20 @@ def session_meta(lines: DataFrame, inventory: DataFrame, sampled: bool = False)
         rows = head.unionByName(tail)
     else:
         rows = header_fields(lines).withColumn("_part", F.lit("both"))
+    return _meta_of(rows, inventory)
+
+
+def sampled_meta(ends: DataFrame, inventory: DataFrame) -> DataFrame:
+    """``session_meta`` with ``sampled`` from ``sources.ends.read_ends``: only the
+    ends of the files have been read."""
+    # Rows of the tail count backwards; those of a head come before any of them.
+    part = lambda name, line_no: header_fields(
+        ends.where(F.col("part") == name).withColumn("line_no", line_no)).withColumn("_part", F.lit(name))
+    rows = part("head", F.col("line_no")).unionByName(part("tail", F.col("line_no") + 2**62))
+    return _meta_of(rows, inventory)
+
+
+def _meta_of(rows: DataFrame, inventory: DataFrame) -> DataFrame:
     early, late = F.col("_part") != "tail", F.col("_part") != "head"
     in_part = lambda part, c: F.when(part, F.col(c))
     real = F.when(F.col("model") != fv.SYNTHETIC_MODEL, F.col("model"))
@@ -158,6 +172,34 @@ def error_entries(inventory: DataFrame, read: DataFrame, tool: str, account_id:
     )
 
 
+def listed_accounts(
+    resolved: DataFrame, described: DataFrame, index: DataFrame, sessions: DataFrame, pairs: DataFrame
+) -> DataFrame:
+    """The account list: every account that an index folder or a session names.
+
+    ``resolved`` and ``described`` as from ``accounts.resolve_history`` and
+    ``describe_accounts``; ``index`` from ``accounts.summarize_index``;
+    ``sessions`` from ``list_sessions`` and ``pairs`` from ``session_claims``.
+    Accounts are numbered in their order (``place``): the one in use, then the
+    ones with most sessions.
+    """
+    held = owner_accounts(pairs).select(
+        "account_uuid", F.col("session_count").alias("transcripts"), F.col("exclusive_count").alias("exclusive"), F.col("bytes"))
+    last = pairs.join(sessions.select("uid", "updated_at"), "uid").groupBy("account_uuid").agg(F.max("updated_at").alias("last_at"))
+    named = described.select("account_uuid", "label", "label_source", "is_current", "is_signed_in")
+    known = resolved.select("account_uuid").union(held.select("account_uuid")).union(index.select("account_uuid")).distinct()
+    out = (known.join(resolved.select("account_uuid", "history_org", "history_dir", "confidence", "ambiguous", "reason"), "account_uuid", "left")
+           .join(index, "account_uuid", "left").join(held, "account_uuid", "left").join(last, "account_uuid", "left")
+           .join(named, "account_uuid", "left")
+           .fillna(0, ["organizations", "session_count", "deleted_count", "archived_count", "with_transcript", "transcripts", "exclusive", "bytes"])
+           .withColumn("label", F.coalesce("label", tx.short_uuid(F.col("account_uuid"))))
+           .withColumn("label_source", F.coalesce("label_source", F.lit("uuid")))
+           .withColumn("is_current", F.coalesce("is_current", F.lit(False))).withColumn("is_signed_in", F.coalesce("is_signed_in", F.lit(False)))
+           .withColumn("ambiguous", F.coalesce("ambiguous", F.lit(True))).withColumn("reason", F.coalesce("reason", F.lit("no-folder"))))
+    order = W.orderBy(F.desc("is_current"), F.desc("session_count"), "account_uuid")
+    return out.withColumn("place", F.row_number().over(order))
+
+
 def scan_totals(sessions: DataFrame, by: str = "root") -> DataFrame:
     """Sessions, bytes and damaged files per root, and over all (null root)."""
     return sessions.rollup(by).agg(

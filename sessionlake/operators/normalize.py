@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
@@ -132,6 +135,39 @@ def drop_repeated_blocks(frame: DataFrame) -> DataFrame:
     return frame.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def drop_repeats_in_window(frame: DataFrame, window: int = fv.DEDUPE_WINDOW_IDS) -> DataFrame:
+    """``drop_repeated_blocks`` as readers do it that remember only the latest
+    ``window`` message ids, first in, first out.
+
+    Which ids are remembered depends on all rows before, so the keys of a file
+    are one ordered stream in one task: ids and fingerprints only, of which at
+    most ``window`` ids are held.  Blocks themselves are joined afterwards.  A
+    row without blocks does not count as a sight of its id.
+    """
+    keys = frame.select("file_path", "line_no", "block_no", "message_id", "fingerprint")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, held = None, {}
+        for batch in batches:
+            fresh = []
+            for path, message, block in zip(batch["file_path"], batch["message_id"], batch["fingerprint"]):
+                if path != file:
+                    file, held = path, {}
+                if message not in held:
+                    held[message] = set()
+                    if len(held) > window:
+                        del held[next(iter(held))]
+                # With room for none, a message is remembered by no one.
+                seen = held.get(message, set())
+                fresh.append(block not in seen)
+                seen.add(block)
+            yield batch.loc[fresh, ["file_path", "line_no", "block_no"]]
+
+    ordered = keys.repartition("file_path").sortWithinPartitions("file_path", "line_no", "block_no")
+    kept = ordered.mapInPandas(run, "file_path string, line_no long, block_no int")
+    return frame.join(kept.withColumn("block_no", F.col("block_no").cast(frame.schema["block_no"].dataType)), ["file_path", "line_no", "block_no"])
+
+
 def repeated_blocks(frame: DataFrame) -> DataFrame:
     """Number of collapsed duplicates per file."""
     groups = frame.groupBy("file_path", "message_id", "fingerprint").agg(F.count("*").alias("_n"))

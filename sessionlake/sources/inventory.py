@@ -6,6 +6,7 @@ finding here, so listings are made by tasks through Arrow file systems.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Iterator
 
 import pandas as pd
@@ -145,14 +146,47 @@ def attach_sidecars(sidecars: DataFrame, sessions: DataFrame) -> DataFrame:
     return prefixed.unionByName(exact).join(ids, ["root", "session_id"])
 
 
-def file_digests(spark: SparkSession, roots: str | list[str], glob: str = "*") -> DataFrame:
-    """``sha256:`` digest of the bytes of each file (files below 2 GB)."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
-    )
-    return files.select(
-        clean_path(F.col("path")).alias("file_path"),
-        F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"),
-        F.col("length").alias("size_bytes"),
-    )
+# Bytes of a range that a task digests, and that it holds at once.
+RANGE_BYTES = 64 * 1024 * 1024
+_BLOCK_BYTES = 4 * 1024 * 1024
+
+
+def _digest_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        digests = []
+        for path, start, end in zip(batch["file_path"], batch["start"], batch["end"]):
+            system, place = fs.FileSystem.from_uri(path)
+            digest, left = hashlib.sha256(), end - start
+            with system.open_input_file(place) as source:
+                source.seek(start)
+                while left:
+                    block = source.read(min(left, _BLOCK_BYTES))
+                    if not block:
+                        raise OSError(f"{path} is shorter than it was listed")
+                    digest.update(block)
+                    left -= len(block)
+            digests.append(digest.hexdigest())
+        yield batch.assign(digest=digests)
+
+
+def file_digests(spark: SparkSession, roots: str | list[str], glob: str = "*", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``file_path, size_bytes, sha256`` of files of any size.
+
+    A file is digested in ranges of ``range_bytes``, spread over tasks that hold
+    a few megabytes each.  The digest of a file of one range is that of its
+    bytes; that of a longer one is the digest of its ranges' digests in order,
+    ``tree:`` instead of ``sha256:``.
+    """
+    files = list_files(spark, roots, glob).select("file_path", "size_bytes")
+    step = F.lit(range_bytes).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size_bytes") - 1, F.lit(0)), step)
+    ranges = files.select("file_path", "size_bytes", F.explode(starts).alias("start"))
+    ranges = ranges.withColumn("end", F.least(F.col("start") + step, F.col("size_bytes"))).repartition("file_path", "start")
+    found = ranges.mapInPandas(_digest_ranges, "file_path string, size_bytes long, start long, end long, digest string")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "digest"))), lambda x: x["digest"])
+    return found.groupBy("file_path", "size_bytes").agg(ordered.alias("_d")).select(
+        "file_path", "size_bytes",
+        F.when(F.size("_d") == 1, F.concat(F.lit("sha256:"), F.col("_d")[0]))
+        .otherwise(F.concat(F.lit("tree:"), F.sha2(F.array_join("_d", ""), 256))).alias("sha256"))
