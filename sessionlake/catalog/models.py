@@ -101,11 +101,12 @@ COPY_SESSIONS = (
 
 # Time of a copy: the longer the conversation, the later it was touched; copy B
 # is touched a second later when it is of odd id.
-def copy_sessions(frame: DataFrame) -> DataFrame:
-    """Session facts of the copies."""
+def copy_sessions(frame: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Session facts of the copies, from the lower level of their digest trees where that is there."""
     from sessionlake.operators import content
 
-    hashed = content.content_hash(frame, ["uid", "account", "conv_id"])
+    keys = ["uid", "account", "conv_id"]
+    hashed = content.content_hash(frame, keys) if runs is None else content.hash_of_runs(runs, keys)
     seconds = F.col("conv_id") * 60 + F.when(F.col("account") == "B", F.col("message_count") - 4).otherwise(0)
     return shared(hashed.withColumn("updated_at", F.timestamp_seconds(F.lit(1_700_000_000) + seconds)), "copy-sessions")
 

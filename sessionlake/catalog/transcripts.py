@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sessionlake.catalog import models as m
 from sessionlake.operators import compare, content, integrity, normalize
 from sessionlake.operators.positions import RUN_LENGTH, dense_position, running_total
+from sessionlake.session import shared
 from sessionlake.sources import jsonl
 
 
@@ -35,13 +36,13 @@ def document_line_gate(spark, sf):
 
 
 def head_rows(spark, sf):
-    """S3: first three parseable rows per transcript."""
-    return jsonl.head_rows(_lines(spark, sf), 3).select("file_path", "line_no", F.col("head_no").cast("long").alias("head_no"))
+    """S3: first 40 parseable rows per transcript."""
+    return jsonl.head_rows(_lines(spark, sf)).select("file_path", "line_no", F.col("head_no").cast("long").alias("head_no"))
 
 
 def tail_rows(spark, sf):
-    """Last two parseable rows per transcript."""
-    return jsonl.tail_rows(_lines(spark, sf), 2).select("file_path", "line_no", F.col("tail_no").cast("long").alias("tail_no"))
+    """Last eight parseable rows per transcript."""
+    return jsonl.tail_rows(_lines(spark, sf)).select("file_path", "line_no", F.col("tail_no").cast("long").alias("tail_no"))
 
 
 def integrity_report(spark, sf):
@@ -51,7 +52,7 @@ def integrity_report(spark, sf):
 
 def error_list(spark, sf):
     """Bounded error listing with clipped samples."""
-    return integrity.error_list(_lines(spark, sf), 2)
+    return integrity.error_list(_lines(spark, sf))
 
 
 def message_table(spark, sf):
@@ -140,7 +141,8 @@ def validation_problems(spark, sf):
 def _compared(spark, sf):
     frame = m.copies(spark, sf)
     pairs = m.copy_pairs(frame)
-    return frame, pairs, compare.compare(pairs, frame, m.copy_sessions(frame))
+    runs = shared(content.run_digests(frame, ["uid", "account", "conv_id"]), "runs")
+    return frame, pairs, compare.compare(pairs, frame, m.copy_sessions(frame, runs), runs)
 
 
 def compare_copies(spark, sf):
@@ -168,8 +170,23 @@ def union_of_copies(spark, sf):
     return content.union_hashes(merged, m.copy_sessions(frame), pairs).select("pair_id", "merge_kind", "message_count", "content_hash")
 
 
+def filled_times(spark, sf):
+    """Created and updated times of users' sessions, from their events where absent."""
+    events = m.table(spark, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"))
+    stamp = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("user_id"))
+    sessions = events.select("user_id").distinct().select(
+        "user_id", F.when(F.col("user_id") % 3 == 0, stamp).alias("created_at"), F.when(F.col("user_id") % 2 == 0, stamp).alias("updated_at"))
+    return content.fill_times(sessions, content.time_bounds(events, ["user_id"]), ["user_id"]).select("user_id", "created_at", "updated_at")
+
+
+def pair_summaries(spark, sf):
+    """D3: messages and characters of both sides of every pair."""
+    frame, _pairs, out = _compared(spark, sf)
+    return compare.pair_summaries(out, frame).select("pair_id", "side", "message_count", "user_count", "text_chars")
+
+
 QUERIES = {f.__name__: f for f in (
-    line_numbers, line_gate, document_line_gate, head_rows, tail_rows, integrity_report, error_list, message_table,
+    filled_times, pair_summaries, line_numbers, line_gate, document_line_gate, head_rows, tail_rows, integrity_report, error_list, message_table,
     unmodelled_rows, row_type_counts, dominant_models, split_turn_dedupe, repeated_blocks, dense_positions,
     message_hashes, session_hashes, document_hashes, session_summaries, time_bounds, duplicate_documents,
     validation_problems, compare_copies, relation_counts, diff_preview, union_of_copies)}
@@ -188,6 +205,10 @@ _PARSED = f"WITH {m.TRANSCRIPT_LINES}"
 _DOCS = f"WITH {m.DOCUMENT_LINES}"
 
 SQL = {
+    "filled_times": """SELECT user_id, CASE WHEN user_id % 3 = 0 THEN make_timestamp((1700000000 + user_id) * 1000000) ELSE date_trunc('millisecond', min(ts)) END AS created_at,
+        CASE WHEN user_id % 2 = 0 THEN make_timestamp((1700000000 + user_id) * 1000000) ELSE date_trunc('millisecond', max(ts)) END AS updated_at FROM events GROUP BY 1""",
+    "pair_summaries": f"""WITH {m.COPIES} SELECT conv_id AS pair_id, lower(account) AS side, count(*) AS message_count, count(*) FILTER (role = 'user') AS user_count,
+        sum(length(text))::BIGINT AS text_chars FROM copies GROUP BY 1, 2""",
     "line_numbers": f"""{_DOCS} SELECT file_path, line_no,
         coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset,
         sha256(raw) AS line_hash FROM doc_lines""",
@@ -195,9 +216,9 @@ SQL = {
     "document_line_gate": f"""{_DOCS} SELECT file_path, CASE WHEN regexp_matches(raw, '^\\s*$') THEN 'blank' WHEN json_valid(raw) THEN 'ok' ELSE 'parse' END AS status,
         count(*) AS n_lines FROM doc_lines GROUP BY 1, 2""",
     "head_rows": f"""{_PARSED} SELECT * FROM (SELECT file_path, line_no, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS head_no
-        FROM gated WHERE status = 'ok') WHERE head_no <= 3""",
+        FROM gated WHERE status = 'ok') WHERE head_no <= 40""",
     "tail_rows": f"""{_PARSED} SELECT * FROM (SELECT file_path, line_no, row_number() OVER (PARTITION BY file_path ORDER BY line_no DESC) AS tail_no
-        FROM gated WHERE status = 'ok') WHERE tail_no <= 2""",
+        FROM gated WHERE status = 'ok') WHERE tail_no <= 8""",
     "integrity_report": f"""{_PARSED} SELECT file_path, count(*) AS total_lines, count(*) FILTER (status = 'ok') AS parsed_rows,
         0::BIGINT AS blank_lines, count(*) FILTER (status <> 'ok') AS error_count,
         CASE WHEN count(*) FILTER (status <> 'ok') = 0 THEN 'ok'
@@ -205,7 +226,7 @@ SQL = {
         FROM gated GROUP BY file_path""",
     "error_list": f"""{_PARSED} SELECT file_path, line_no, status AS kind,
         CASE WHEN length(raw) > 160 THEN left(raw, 80) || ' ... ' || right(raw, 40) ELSE raw END AS sample FROM (
-          SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS n FROM gated WHERE status <> 'ok') WHERE n <= 2""",
+          SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS n FROM gated WHERE status <> 'ok') WHERE n <= 200""",
     "message_table": f"""{_PARSED} SELECT file_path, line_no, row_number() OVER (PARTITION BY file_path ORDER BY line_no) - 1 AS pos,
         'u' || conv_id || '-' || turn AS message_id, 'u' || conv_id || '-' || turn AS row_uuid, role, 'text' AS type, text,
         left(sha256({m.sql_message_json('role', 'text')}), 16) AS msg_hash FROM gated WHERE status = 'ok' AND role <> 'system'""",

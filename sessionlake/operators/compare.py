@@ -6,42 +6,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionlake import fixed_values as fv
 from sessionlake.functions.text import pick_newer
-from sessionlake.operators.content import summarize
-
-
-def _side(pairs: DataFrame, messages: DataFrame, uid: str, out: str) -> DataFrame:
-    return pairs.select("pair_id", F.col(uid).alias("uid")).join(
-        messages.select("uid", "pos", F.substring("msg_digest", 1, 16).alias(out)), "uid"
-    ).drop("uid")
+from sessionlake.operators.content import run_digests, summarize
+from sessionlake.operators.positions import RUN_LENGTH
+
+
+def _sided(pairs: DataFrame, frame: DataFrame, on: list[str], columns: dict[str, str]) -> DataFrame:
+    """Both sides of every pair at the same place, one of them null where it has none."""
+    def side(p):
+        named = [F.col(c).alias(f"_{p}_{out}") for c, out in columns.items()]
+        keys = pairs.select("pair_id", F.col(f"{p}_uid").alias("uid"), *[c for c in on if c in pairs.columns])
+        return keys.join(frame, ["uid", *[c for c in on if c in pairs.columns]]).select("pair_id", *on, *named)
+    return side("a").join(side("b"), ["pair_id", *on], "full_outer")
+
+
+def first_differing_runs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Lengths of both copies and the first run whose digests differ (null if
+    none does), from the digest tree alone."""
+    joined = _sided(pairs, runs, ["run"], {"run_digest": "d", "run_messages": "n"})
+    differs = ~F.col("_a_d").eqNullSafe(F.col("_b_d"))
+    return joined.groupBy("pair_id").agg(
+        F.coalesce(F.sum("_a_n"), F.lit(0)).alias("a_length"), F.coalesce(F.sum("_b_n"), F.lit(0)).alias("b_length"),
+        F.min(F.when(differs, F.col("run"))).alias("run"),
+    )
 
 
-def common_prefixes(pairs: DataFrame, messages: DataFrame) -> DataFrame:
+def common_prefixes(pairs: DataFrame, messages: DataFrame, runs: DataFrame | None = None, length: int = RUN_LENGTH) -> DataFrame:
     """Length of both copies and of their common beginning.
 
-    Messages meet at (pair, position), so one endless session spreads over all
-    tasks; the first position that differs is a minimum, combined map-side.
+    The digest tree is descended: ``runs`` (``content.run_digests``, of
+    ``length`` messages each) name the first run that differs, and only the
+    messages of that run are opened, so what is read grows with the pairs that
+    differ and not with their messages.
     """
-    joined = _side(pairs, messages, "a_uid", "_a").join(
-        _side(pairs, messages, "b_uid", "_b"), ["pair_id", "pos"], "full_outer"
-    )
-    differs = ~F.col("_a").eqNullSafe(F.col("_b"))
-    found = joined.groupBy("pair_id").agg(
-        F.count("_a").alias("a_length"),
-        F.count("_b").alias("b_length"),
-        F.min(F.when(differs, F.col("pos"))).alias("_first"),
-    )
-    return found.withColumn(
-        "common_prefix", F.coalesce("_first", F.least("a_length", "b_length"))
-    ).drop("_first")
-
-
-def compare(pairs: DataFrame, messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    runs = run_digests(messages, ["uid"], length=length) if runs is None else runs
+    told = first_differing_runs(pairs, runs)
+    wanted = pairs.join(told.where("run IS NOT NULL").select("pair_id", "run"), "pair_id")
+    opened = messages.select("uid", F.floor(F.col("pos") / length).alias("run"), "pos", F.substring("msg_digest", 1, 16).alias("d"))
+    joined = _sided(wanted, opened, ["run", "pos"], {"d": "d"})
+    differs = ~F.col("_a_d").eqNullSafe(F.col("_b_d"))
+    first = joined.groupBy("pair_id").agg(F.min(F.when(differs, F.col("pos"))).alias("_first"))
+    return told.join(first, "pair_id", "left").select(
+        "pair_id", "a_length", "b_length", F.coalesce("_first", F.least("a_length", "b_length")).alias("common_prefix"))
+
+
+def compare(pairs: DataFrame, messages: DataFrame, sessions: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Compares the sessions of each pair.
 
     ``pairs``: ``pair_id, a_uid, b_uid``; ``messages``: ``uid, pos,
     msg_digest``; ``sessions``: ``uid, content_hash, message_count,
     updated_at`` (timestamp).  Pairs with equal digests are settled without
-    looking at messages.
+    looking at messages, the others by their digest tree (``runs``, see
+    ``common_prefixes``).
     """
     facts = lambda p: sessions.select(
         F.col("uid").alias(f"{p}_uid"), F.col("content_hash").alias(f"_{p}_hash"),
@@ -50,7 +65,7 @@ def compare(pairs: DataFrame, messages: DataFrame, sessions: DataFrame) -> DataF
     known = pairs.join(facts("a"), "a_uid", "left").join(facts("b"), "b_uid", "left")
     same = F.coalesce((F.col("_a_hash") == F.col("_b_hash")), F.lit(False))
     open_pairs = known.where(~same).select("pair_id", "a_uid", "b_uid")
-    walked = common_prefixes(open_pairs, messages).select("pair_id", "common_prefix")
+    walked = common_prefixes(open_pairs, messages, runs).select("pair_id", "common_prefix")
     joined = known.withColumn("same_hash", same).join(walked, "pair_id", "left")
     a = F.coalesce("_a_n", F.lit(0)).cast("long")
     b = F.coalesce("_b_n", F.lit(0)).cast("long")

@@ -19,12 +19,27 @@ def content_hash(
     messages is n/64 bytes.  Equal sequences have equal digests, whatever
     their ids, times or paths.
     """
-    runs = messages.groupBy(*keys, F.floor(F.col(position) / RUN_LENGTH).alias("_run")).agg(
-        _ordered_digest(position, digest, "").alias("_digest"), F.count("*").alias("_n")
+    return hash_of_runs(run_digests(messages, keys, position, digest), keys)
+
+
+def run_digests(
+    messages: DataFrame, keys: list[str], position: str = "pos", digest: str = "msg_digest", length: int = RUN_LENGTH
+) -> DataFrame:
+    """Lower level of the digest tree: ``keys, run, run_digest, run_messages``.
+
+    Kept as a table, it hashes sessions and tells where two of them differ
+    without looking at messages.
+    """
+    return messages.groupBy(*keys, F.floor(F.col(position) / length).alias("run")).agg(
+        _ordered_digest(position, digest, "").alias("run_digest"), F.count("*").alias("run_messages")
     )
+
+
+def hash_of_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Upper level of the digest tree."""
     return runs.groupBy(*keys).agg(
-        F.concat(F.lit("sha256:"), _ordered_digest("_run", "_digest", fv.HASH_PREFIX)).alias("content_hash"),
-        F.sum("_n").alias("message_count"),
+        F.concat(F.lit("sha256:"), _ordered_digest("run", "run_digest", fv.HASH_PREFIX)).alias("content_hash"),
+        F.sum("run_messages").alias("message_count"),
     )
 
 
