@@ -11,7 +11,7 @@ from sessionlake.catalog import models as m
 from sessionlake.functions import text as tx
 from sessionlake.functions.jsonvalues import quoted
 from sessionlake.operators import accounts, integrity, listing as ls, normalize
-from sessionlake.plans import importing
+from sessionlake.plans import importing, relink
 from sessionlake.session import shared_dir
 from sessionlake.sinks.files import write_files
 from sessionlake.sources import ends, index_files, inventory, jsonl
@@ -138,7 +138,7 @@ def _index_pieces(spark, sf):
     folder = F.concat(F.lit("index/"), _uuid_of("r_name"), F.lit("/"), _uuid_of("n_name"))
     record = F.concat(
         F.lit('{"sessionId":"local_'), "s_suppkey", F.lit('","cliSessionId":'), quoted(F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey").cast("string"))), F.lit(',"title":'), quoted(F.col("s_name")),
-        F.lit(',"cwd":"/w/'), "s_nationkey", F.lit('","isArchived":'), (F.col("s_suppkey") % 2 == 0).cast("string"), F.lit(',"lastActivityAt":'), F.col("s_suppkey") * 1000, F.lit("}"))
+        F.lit(',"cwd":"/w/'), "s_nationkey", F.lit('","isArchived":'), (F.col("s_suppkey") % 2 == 0).cast("string"), F.lit(',"lastActivityAt":'), F.col("s_suppkey") * 1000, F.lit(',"zz":{"kept":[1,null,"'), "s_name", F.lit('"]}}'))
     debt = F.col("s_acctbal") < 0
     name = F.when(debt, F.concat(F.lit("deleted_"), "s_suppkey")).otherwise(F.concat(F.lit("local_"), "s_suppkey", F.lit(".json")))
     value = F.when(debt, (F.col("s_suppkey") * 1000).cast("string")).when(F.col("s_suppkey") % 7 == 0, F.left(record, F.lit(20))).otherwise(record)
@@ -155,6 +155,22 @@ def index_documents(spark, sf):
     return entries.select(*columns, F.unix_millis(F.coalesce("last_activity_at", "deleted_at")).alias("at_ms")).unionByName(bad, True)
 
 
+def repaired_records(spark, sf):
+    """Records with their pointer filled in, written as files; fields nobody models stay."""
+    base = _written(spark, sf, _index_pieces(spark, sf))
+    records = index_files.read_all_records(spark, f"{base}/index").where("kind = 'session'")
+    broken = relink.broken_records(records)
+    number = F.regexp_extract("desktop_session_id", "[0-9]+", 0)
+    plan = broken.select(
+        F.lit("repair").alias("kind"), "index_path", "title", F.concat(F.lit("found-"), number).alias("set_cli_session_id"),
+        F.concat(F.lit("/new/"), number).alias("set_cwd"), F.concat(F.lit("/t/"), number).alias("transcript"))
+    there = m.table(spark, sf, "supplier").where("s_suppkey % 8 <> 0").select(F.concat(F.lit("/t/"), "s_suppkey").alias("file_path"))
+    after, _outcomes, _backup = relink.apply_repair(plan, records, there)
+    after = after.select(F.concat(F.lit("out/"), F.element_at(F.split("index_path", "/"), -1)).alias("rel_path"), F.lit(1).alias("n"), F.col("record_json").alias("value"))
+    out = _written(spark, sf, after)
+    return index_files.read_documents(spark, f"{out}/out").select(_rel().alias("file"), F.col("raw").alias("record"))
+
+
 def organisation_folders(spark, sf):
     """Organisation folders that hold entries."""
     base = _written(spark, sf, _index_pieces(spark, sf))
@@ -223,7 +239,7 @@ def long_lines(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    file_lines, file_offsets, file_inventory, file_sidecars, file_integrity, file_bytes, file_ends, file_listing, index_documents,
+    file_lines, file_offsets, file_inventory, file_sidecars, file_integrity, file_bytes, file_ends, file_listing, index_documents, repaired_records,
     organisation_folders, block_messages, account_list, migrated_sessions, long_lines)}
 
 _UUID = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12)"
@@ -278,6 +294,9 @@ SQL = {
         CASE WHEN s_acctbal >= 0 AND s_suppkey % 7 > 0 AND s_suppkey % 4 > 0 THEN s_suppkey::VARCHAR END AS cli_session_id, CASE WHEN s_acctbal >= 0 AND s_suppkey % 7 > 0 THEN s_name END AS title,
         CASE WHEN s_acctbal >= 0 AND s_suppkey % 7 > 0 THEN '/w/' || s_nationkey END AS worktree_cwd, s_acctbal >= 0 AND s_suppkey % 7 > 0 AND s_suppkey % 2 = 0 AS is_archived,
         CASE WHEN s_acctbal < 0 OR s_suppkey % 7 > 0 THEN s_suppkey * 1000 END AS at_ms FROM placed""",
+    "repaired_records": f"""{_INDEX} SELECT 'out/local_' || s_suppkey || '.json' AS file, '{{"cliSessionId":' || CASE WHEN s_suppkey % 4 > 0 THEN '"' || s_suppkey || '"' WHEN s_suppkey % 8 > 0 THEN '"found-' || s_suppkey || '"' ELSE 'null' END
+        || ',"cwd":"/w/' || s_nationkey || '","isArchived":' || CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"lastActivityAt":' || s_suppkey * 1000 || ',"sessionId":"local_' || s_suppkey || '","title":' || to_json(s_name)
+        || ',"zz":{{"kept":[1,null,' || to_json(s_name) || ']}}}}' AS record FROM placed WHERE s_acctbal >= 0 AND s_suppkey % 7 > 0""",
     "organisation_folders": f"{_INDEX} SELECT account_uuid, org AS organization_uuid, count(*) FILTER (s_acctbal >= 0) AS session_count, count(*) FILTER (s_acctbal < 0) AS deleted_count FROM placed GROUP BY 1, 2",
     "block_messages": r"""WITH b AS (SELECT conv_id, turn, role, text, turn % 6 AS k, to_json(text) AS q, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS side FROM conversations)
         SELECT 'c' || conv_id AS file_path, turn + 1 AS line_no, 0::BIGINT AS block_no, 'line-' || (turn + 1) AS message_id,

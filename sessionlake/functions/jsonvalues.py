@@ -117,6 +117,16 @@ def canonical_text(json_text: Column) -> Column:
     return canonical(checked_json(js_trim(json_text)))
 
 
+def with_fields(json_text: Column, fields: dict[str, Column]) -> Column:
+    """The object with these string fields set, all others as they were; a null
+    field is left alone, and what is no object comes back as it is."""
+    entries = checked_json(js_trim(json_text)).try_cast("map<string,variant>")
+    new = F.create_map(*[c for name, value in fields.items() for c in (F.lit(name), value.cast("variant"))])
+    new = F.map_filter(new, lambda _, v: v.isNotNull())
+    merged = F.map_concat(F.map_filter(entries, lambda k, _: ~F.map_contains_key(new, k)), new)
+    return F.when(entries.isNotNull(), F.to_json(F.to_variant_object(merged))).otherwise(json_text)
+
+
 def evaluate_once(frame: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are computed exactly once per row.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionlake import fixed_values as fv
 from sessionlake.functions.paths import base_name
+from sessionlake.functions.jsonvalues import with_fields
 from sessionlake.functions.text import bare_id
 from sessionlake.session import shared
 
@@ -246,8 +247,12 @@ def apply_to_index(outcomes: DataFrame, entries: DataFrame, accounts: DataFrame,
         entries.join(moves, "index_path")
         .withColumn("account_uuid", F.col("target_account")).withColumn("organization_uuid", F.col("history_org"))
         .withColumn("desktop_session_id", F.coalesce("_new_id", "desktop_session_id")).withColumn("index_path", F.col("_to"))
-        .select(*entries.columns)
     )
+    if "record_json" in entries.columns:
+        # A record carries the id it is filed under.
+        copies = copies.withColumn("record_json", F.when(
+            F.col("_new_id").isNotNull(), with_fields(F.col("record_json"), {"sessionId": F.col("_new_id")})).otherwise(F.col("record_json")))
+    copies = copies.select(*entries.columns)
     have = entries.where("kind = 'deleted'").select(F.col("index_path").alias("tombstone_path"))
     markers = removed.join(have, "tombstone_path", "left_anti").join(org, "target_account").select(
         F.lit("deleted").alias("kind"), F.col("target_account").alias("account_uuid"),

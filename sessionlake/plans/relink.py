@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
+from sessionlake.functions.jsonvalues import with_fields
 from sessionlake.functions.paths import encode_project_dir
 from sessionlake.functions.text import js_trim, normalize_title, parse_instant
 from sessionlake.operators.listing import first_of, header_fields, last_of
@@ -356,7 +357,8 @@ def apply_repair(plan: DataFrame, records: DataFrame, transcript_paths: DataFram
     """Records after the repair, outcomes, and the rows that changed (backup).
 
     Only fields that are still missing are written, and only while the
-    transcript is still there.
+    transcript is still there.  Of a whole record (``record_json``) all other
+    fields stay as they are.
     """
     there = transcript_paths.select(F.col("file_path").alias("transcript"), F.lit(True).alias("_there")).distinct()
     now = records.select("index_path", F.col("cli_session_id").alias("_cli"), F.col("worktree_cwd").alias("_cwd"))
@@ -374,7 +376,12 @@ def apply_repair(plan: DataFrame, records: DataFrame, transcript_paths: DataFram
                              F.when(applied == "repaired", cli).alias("cli_session_id"), F.when(applied == "repaired", cwd).alias("cwd"))
     changed = outcomes.where("applied = 'repaired'").select("index_path", F.col("cli_session_id").alias("_cli"), F.col("cwd").alias("_cwd"))
     after = records.join(changed, "index_path", "left").withColumn("cli_session_id", F.coalesce("_cli", "cli_session_id")).withColumn(
-        "worktree_cwd", F.coalesce("_cwd", "worktree_cwd")).select(*records.columns)
+        "worktree_cwd", F.coalesce("_cwd", "worktree_cwd"))
+    if "record_json" in records.columns:
+        touched = F.col("_cli").isNotNull() | F.col("_cwd").isNotNull()
+        after = after.withColumn("record_json", F.when(
+            touched, with_fields(F.col("record_json"), {"cliSessionId": F.col("_cli"), "cwd": F.col("_cwd")})).otherwise(F.col("record_json")))
+    after = after.select(*records.columns)
     return after, outcomes, records.join(changed, "index_path", "left_semi")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sessionlake import fixed_values as fv
-from sessionlake.functions.jsonvalues import field, parse_lines, text_field
+from sessionlake.functions.jsonvalues import canonical, field, parse_lines, text_field
 from sessionlake.functions.paths import clean_path
 from sessionlake.functions.text import is_uuid, millis_to_timestamp
 from sessionlake.session import configure
@@ -73,6 +73,8 @@ def parse_records(documents: DataFrame, strict_folders: bool = True) -> DataFram
         field(session, "$.spawnedFrom.sessionId").alias("spawned_from"),
         F.when(tombstone, millis_to_timestamp(F.trim("raw").try_cast("double"))).alias("deleted_at"),
         F.col("file_path").alias("index_path"),
+        # The whole record: copies and repairs keep fields that are not modelled.
+        canonical(session).alias("record_json"),
     )
 
 
