@@ -11,8 +11,9 @@ document a source.
 
 Nothing gathers a source in one task: a source is dealt into slices of about
 ``slice_rows`` rows by digest, slices give prefix sums, and rows are summed
-within their slice. The global sequence is treated alike, with slices of
-virtual time. Only slice totals and one row per source meet in one task.
+within their slice. The global sequence is range-partitioned, so that what
+comes before a partition is a sum over partitions. Only the totals of slices
+and partitions and one row per source meet in one task.
 
 Defined results: null or empty texts have no words, are taken 0 times and do
 not count. A null source is a source, after all others. Repeated ids share a
@@ -28,14 +29,13 @@ from .common import WORD, load, stored, texts
 
 EPOCHS = 3
 SLICE_ROWS = 4096
-FINER = 64
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, shuffle) of every document; ``shuffle`` is its place's digest."""
+    """(row, doc_id, source, size, shuffle) of every document; ``shuffle`` is its place's digest."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     return stored(slim.select(
-        "doc_id", "source",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("shuffle")), "sizes")
 
@@ -71,50 +71,35 @@ def _slices(sized: DataFrame, slice_rows: int) -> DataFrame:
     per_slice = sliced.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(F.col("source").alias("s"), F.col("slice").alias("k"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "slice").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "slice").orderBy("shuffle", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     return (sliced.select("*", F.sum("size").over(within).alias("inside"))
             .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k")))
-            .select("doc_id", "source", "size", "shuffle", (F.col("inside") + F.col("offset")).alias("done")))
+            .select("row", "doc_id", "source", "size", "shuffle", (F.col("inside") + F.col("offset")).alias("done")))
 
 
 def schedule(sized: DataFrame, epochs: int = EPOCHS, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """All copies that the mix takes, in its order: doc_id, source, size, copy,
-    finish (virtual time), words_before."""
+    """All copies that the mix takes: row, doc_id, source, size, copy, finish
+    (virtual time), words_before. Rows come range-sorted by finish time."""
     targets = stored(source_targets(sized, epochs), "targets")
     placed = _slices(sized.where("size > 0"), slice_rows)
     t = targets.select(F.col("source").alias("s"), "weight", "source_size")
     copies = (placed.join(F.broadcast(t) if _few(targets) else t, F.col("source").eqNullSafe(F.col("s")))
-              .select("doc_id", "source", "size", "shuffle", "weight",
+              .select("row", "doc_id", "source", "size", "shuffle", "weight",
                       F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("copy"), "done", "source_size")
-              .select("doc_id", "source", "size", "shuffle", "copy",
+              .select("row", "doc_id", "source", "size", "shuffle", "copy",
                       ((F.col("copy") * F.col("source_size") + F.col("done")) / F.col("weight")).alias("finish")))
-    copies = stored(copies, "copies")
-    found = copies.agg(F.max("finish").alias("last"), F.count("*").alias("n")).first()
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("shuffle"), F.col("doc_id"), F.col("size"), F.col("row"), F.col("copy")]
+    dealt = stored(stored(copies, "copies").repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn("at", F.monotonically_increasing_id()), "sequence").withColumn("part", F.shiftright("at", 33))
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
-    if not found["n"]:
-        return copies.select("doc_id", "source", "size", "copy", "finish", F.lit(0).cast("long").alias("words_before"))
-    # Slices of virtual time: their totals give the words before each, and the
-    # slice in which the budget ends. They are far finer than slice_rows asks
-    # for, because most copies come early, while all sources have documents.
-    n = -(-found["n"] * FINER // slice_rows)
-    dealt = copies.select("*", F.least(F.lit(n - 1), (F.col("finish") / found["last"] * n).cast("long")).alias("slice"))
-    offsets = _words_before(dealt.groupBy("slice").agg(F.sum("size").alias("words"))).where(F.col("offset") < budget)
-    within = Window.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "shuffle", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    taken = (dealt.join(offsets, "slice")
-             .select("*", (F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("offset")).alias("words_before"))
-             .where(F.col("words_before") + F.col("size") <= budget))
-    return taken.select("doc_id", "source", "size", "copy", "finish", "words_before")
-
-
-def _words_before(totals: DataFrame) -> DataFrame:
-    """(slice, offset) from (slice, words): sums within runs of slices, then over runs."""
-    run = F.floor(F.col("slice") / SLICE_ROWS)
-    inside = Window.partitionBy("run").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    runs = totals.groupBy(run.alias("r")).agg(F.sum("words").alias("words"))
-    runs = runs.select("r", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("start"))
-    return (totals.withColumn("run", run).select("slice", "run", F.coalesce(F.sum("words").over(inside), F.lit(0)).alias("inside"))
-            .join(runs, F.col("run") == F.col("r")).select("slice", (F.col("inside") + F.col("start")).alias("offset")))
+    # The words before each partition; those beyond the budget are not read again.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("part").agg(F.sum("size").alias("words")).select("part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.join(offsets.where(F.col("offset") < budget), "part")
+            .select("*", (F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("offset")).alias("words_before"))
+            .where(F.col("words_before") + F.col("size") <= budget)
+            .select("row", "doc_id", "source", "size", "copy", "finish", "words_before"))
 
 
 def _few(targets: DataFrame, most: int = 10_000) -> bool:
@@ -145,8 +130,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op9_mix_sources(spark, sf_dir):
     sized = sizes(load(spark, sf_dir, "documents"))
     targets = source_targets(sized).select(F.col("source").alias("s"), "source_size", "target")
-    taken = schedule(sized).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z")).agg(F.sum("size").alias("taken"))
-    rows = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").drop("s")
+    taken = schedule(sized).groupBy("row").agg(F.sum("size").alias("taken"))
+    rows = sized.join(taken, "row", "left")
     few = F.broadcast(targets) if _few(targets) else targets
     return rows.join(few, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -154,7 +139,7 @@ def op9_mix_sources(spark, sf_dir):
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  SELECT row_number() OVER () AS row, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
   FROM documents
 ), w AS (
@@ -172,18 +157,18 @@ WITH d AS (
          least(lim, weight * coalesce(max(CASE WHEN level <= lim / weight THEN level END) OVER (), 'infinity'::DOUBLE)) AS target
   FROM l
 ), c AS (
-  SELECT d.doc_id, d.source, d.size, d.shuffle, e.copy,
+  SELECT d.row, d.doc_id, d.source, d.size, d.shuffle, e.copy,
          (e.copy * t.source_size
-          + sum(d.size) OVER (PARTITION BY d.source, e.copy ORDER BY d.shuffle, d.doc_id ROWS UNBOUNDED PRECEDING)) / t.weight AS finish
+          + sum(d.size) OVER (PARTITION BY d.source, e.copy ORDER BY d.shuffle, d.doc_id, d.size, d.row ROWS UNBOUNDED PRECEDING)) / t.weight AS finish
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (SELECT unnest([0, 1, 2]) AS copy) e
   WHERE d.size > 0
 ), g AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, shuffle, doc_id, copy ROWS UNBOUNDED PRECEDING) AS words FROM c
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, shuffle, doc_id, size, row, copy ROWS UNBOUNDED PRECEDING) AS words FROM c
 ), k AS (
-  SELECT doc_id, sum(size) AS taken FROM g WHERE words <= (SELECT sum(source_size) FROM t) GROUP BY doc_id
+  SELECT row, sum(size) AS taken FROM g WHERE words <= (SELECT sum(source_size) FROM t) GROUP BY row
 )
 SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k USING (row)
 """
 QUERIES = {"op9_mix_sources": op9_mix_sources}
 ORACLES = {"op9_mix_sources": SQL}

@@ -2,6 +2,8 @@
 
 import math
 
+import duckdb
+
 import brute
 from sessionlake.llm import mixing
 
@@ -38,3 +40,20 @@ def test_targets_and_words_taken(spark):
             taken.setdefault(r.source, []).append(r["size"])
         assert all(abs(sum(taken[s]) - want[s]) <= 14 for s in want), (want, {s: sum(v) for s, v in taken.items()})
         assert [tuple(r) for r in mixing.mix(docs).collect()] == [tuple(r) for r in mixing.mix(docs).collect()]
+
+
+def test_the_query_on_repeated_rows(spark, monkeypatch):
+    rows = [(1, "a b c d e f g h i j", "s")] * 2 + [(1, "a b", "s"), (None, "x y z", None), (None, "x y z", None), (2, None, "s"), (3, "q " * 40, "t"), (3, "q " * 40, "t")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, row long, part long")
+    monkeypatch.setattr(mixing, "load", lambda *_: docs)
+    got = mixing.op9_mix_sources(spark, "").collect()
+    assert sorted((r.doc_id or 0, r["size"]) for r in got) == sorted((i or 0, len((t or "").split())) for i, t, _ in rows)
+    assert all(r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0) for r in got)
+    total = sum(r["size"] for r in got)
+    assert total - 2 * 40 <= sum(r.taken for r in got) <= total
+    con = duckdb.connect()
+    frame = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    con.execute("CREATE VIEW documents AS SELECT * FROM frame")
+    want = con.execute(mixing.SQL).df()
+    assert sorted(zip(*[want[c].fillna(-1).astype(int).tolist() for c in ("doc_id", "size", "source_size", "taken")])) == sorted(
+        (-1 if r.doc_id is None else r.doc_id, r["size"], r.source_size, r.taken) for r in got)
