@@ -68,18 +68,35 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def changed(left: Column, right: Column) -> Column:
-    """Where two texts differ: (section, paragraphs) by number from 0, for each
-    section of either whose branches differ. Equal branches are not looked into."""
+    """Where two texts differ: (section, paragraphs) by number from 0.
+
+    Sections are aligned by their branches: those that agree from the start and
+    from the end are passed over, so a section put in moves none of the others.
+    What lies between is compared in turn; equal branches are not looked into.
+    """
+    branch = lambda s: F.substring(s, 1, 8)
+    # Without a difference the place is 0, and all of the shorter one agree.
+    agree = lambda x, y, most: F.least(most, F.coalesce(F.nullif(F.array_position(
+        F.transform(F.arrays_zip(x.alias("a"), y.alias("b")), lambda z: branch(z["a"]).eqNullSafe(branch(z["b"]))), F.lit(False)), F.lit(0)) - 1, most)).cast("int")
+
     def leaf_diff(pair: Column) -> Column:
         cut = lambda s: F.regexp_extract_all(F.substring(F.coalesce(s, F.lit("")), 9, 2**31 - 1), F.lit(".{8}"), F.lit(0))
         both = F.arrays_zip(cut(pair["a"]).alias("a"), cut(pair["b"]).alias("b"))
         numbered = F.transform(both, lambda x, i: F.when(~x["a"].eqNullSafe(x["b"]), i))
         return F.filter(numbered, lambda i: i.isNotNull())
-    zipped = F.arrays_zip(_sections(left).alias("a"), _sections(right).alias("b"))
-    marked = F.transform(zipped, lambda x, i: F.when(
-        ~F.substring(x["a"], 1, 8).eqNullSafe(F.substring(x["b"], 1, 8)),
-        F.struct(i.alias("section"), leaf_diff(x).alias("paragraphs"))))
-    return F.filter(marked, lambda x: x.isNotNull())
+
+    def between(x: Column) -> Column:
+        inside = lambda c: F.slice(x[c], x["start"] + 1, F.size(x[c]) - x["start"] - x["end"])
+        marked = F.transform(F.arrays_zip(inside("a").alias("a"), inside("b").alias("b")), lambda z, i: F.when(
+            ~branch(z["a"]).eqNullSafe(branch(z["b"])), F.struct((i + x["start"]).alias("section"), leaf_diff(z).alias("paragraphs"))))
+        return F.filter(marked, lambda z: z.isNotNull())
+
+    # One-element arrays bind what is used several times to names.
+    both = F.array(F.struct(_sections(left).alias("a"), _sections(right).alias("b")))
+    started = F.transform(both, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), agree(x["a"], x["b"], F.least(F.size(x["a"]), F.size(x["b"]))).alias("start")))
+    ended = F.transform(started, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["start"].alias("start"), agree(
+        F.reverse(x["a"]), F.reverse(x["b"]), F.least(F.size(x["a"]), F.size(x["b"])) - x["start"]).alias("end")))
+    return F.element_at(F.transform(ended, between), 1)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,6 +96,17 @@ def test_fingerprints_locate_edits(spark):
     assert [(x.section, list(x.paragraphs)) for x in r.c] == [(5, [0])] and 0.7 < r.l < 1 and r.s == 1 and not r.same
 
 
+@pytest.mark.parametrize("change, want", [
+    (lambda t: "New first.\n" + t, [(0, [0])]), (lambda t: t, []), (lambda t: t + "End.\n", [(8, [0])]),
+    (lambda t: t.replace("Line 3. It has a second sentence!\n", ""), [(3, [0, 1])]),
+    (lambda t: t.replace("Line 2.", "Line two.").replace("Line 6. It has", "Line 6. It had"), [(2, [0]), (6, [1])])])
+def test_sections_put_in_or_left_out_move_no_others(spark, change, want):
+    text = "".join(f"Line {i}. It has a second sentence!\n" for i in range(8))
+    c = spark.createDataFrame([(text, change(text))], "a string, b string").select(
+        merkle.changed(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("c")).first().c
+    assert [(x.section, list(x.paragraphs)) for x in c] == want
+
+
 def test_near(spark, docs):
     got = bagminhash.near_classes(docs).collect()
     assert ids(got) == ALL
