@@ -59,9 +59,10 @@ def sampled_meta(ends: DataFrame, inventory: DataFrame) -> DataFrame:
     """``session_meta`` with ``sampled`` from ``sources.ends.read_ends``: only the
     ends of the files have been read."""
     # Rows of the tail count backwards; those of a head come before any of them.
-    part = lambda name, line_no: header_fields(
-        ends.where(F.col("part") == name).withColumn("line_no", line_no)).withColumn("_part", F.lit(name))
-    rows = part("head", F.col("line_no")).unionByName(part("tail", F.col("line_no") + 2**62))
+    rows = header_fields(ends.where("part <> 'error'"))
+    late = F.col("line_no") < 0
+    rows = rows.withColumn("_part", F.when(late, "tail").otherwise("head")).withColumn(
+        "line_no", F.col("line_no") + F.when(late, 2**62).otherwise(0))
     return _meta_of(rows, inventory)
 
 
