@@ -14,8 +14,14 @@ unary paths, found by pointer doubling. Inner nodes are no phrases of their own,
 and their count is the flow of their path.
 
 Grams are strings, so counts are exact; scores are decimals of 38 digits. Texts
-are not shuffled, only grams pre-aggregated in their tasks. Ranking goes by a
-tree of tasks, none of which holds a language.
+are not shuffled. A task sums up the grams of some millions of words in numbers
+of its own for the words, then rows (first two words, third word, count) are
+dealt by the first two, so that a node and its edges meet and nothing but
+frequent grams and words moves again. A task holds the grams of one partition,
+whose size is the session's. Pairs of words that a sample of documents
+shows to be very frequent (at most ``1 / HOT`` of them) are spread over
+``SALTS`` tasks; the sample decides about places only, never about counts.
+Ranking goes by a tree of tasks, none of which holds a language.
 
 Defined results: a null text is empty, a null language is ``und``. Repeated rows
 count each. Documents without words give no phrases, nor does an empty table.
@@ -23,6 +29,13 @@ count each. Documents without words give no phrases, nor does an empty table.
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +48,135 @@ WORDS = r"[^\x20\x09]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: So many parts of a language are ranked by themselves, then so many at a time together.
 PARTS, FAN_IN = 256, 16
+#: A pair of words is hot if it starts this share of the grams in a sample of so many documents.
+HOT, SAMPLE, SALTS = 1 / 1024, 2_000, 64
+#: Words that a task numbers and sums up at once; three numbers fit one of 64 bits.
+WINDOW, SLICE, NAMES = 3_000_000, 1_000_000, 1 << 21
+#: A-Z in lower case, all ends of pieces as one.
+TABLE = bytes.maketrans(UPPER.encode() + b",;:!?\x0A\x0B\x0C\x0D", LOWER.encode() + b"." * 9)
+
+
+class _Stream:
+    """The words of one language in a task, numbered window by window; 0 ends a piece."""
+
+    def __init__(self, lang: str):
+        self.lang, self.kept = lang, [b".", b"."]
+        self._restart()
+
+    def _restart(self):
+        self.number = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.parts = []
+        self.add([b".", *self.kept])
+
+    def add(self, words: list[bytes]):
+        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+        self.kept = (self.kept + words[-2:])[-2:]
+
+    def grams(self, hot: pa.Array, last: bool) -> Iterator[pa.RecordBatch]:
+        """The grams from all words of the window, but the last two, which start the next one."""
+        if last:
+            self.add([b".", b"."])
+        w = np.concatenate(self.parts)
+        names, v = pa.array(list(self.number), pa.binary()).cast(pa.string()), len(self.number)
+        self._restart()
+        one, two, three = w[:-2], w[1:-1], np.where(w[1:-1] == 0, 0, w[2:])
+        code, n = np.unique(((one * v + two) * v + three)[one > 0], return_counts=True)
+        for at in range(0, len(code), 500_000):
+            pair, third = np.divmod(code[at:at + 500_000], v)
+            nodes, place = np.unique(pair, return_inverse=True)
+            first, second = names.take(pa.array(nodes // v)), names.take(pa.array(nodes % v))
+            phrase = pc.if_else(pa.array(nodes % v == 0), first, pc.binary_join_element_wise(first, second, " "))
+            head = pc.binary_join_element_wise(phrase, pa.scalar(self.lang), "\n")
+            salted = pc.is_in(head, value_set=hot).to_numpy(zero_copy_only=False)[place]
+            word, salt = pc.if_else(pa.array(third == 0), "", names.take(pa.array(third))), np.zeros(len(third), np.int32)
+            salt[salted] = [zlib.crc32(x.encode()) % SALTS + 1 for x in word.filter(pa.array(salted)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([head.take(pa.array(place)), word, pa.array(salt), pa.array(n[at:at + 500_000])], names=["head", "word", "salt", "n"])
+
+
+def grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", hot: tuple[str, ...] = ()) -> DataFrame:
+    """(head, word, salt, n): the longest gram from every word, as its first two
+    words (then a line feed and the language) and the third; summed up in part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams: dict[str, _Stream] = {}
+        known, held = pa.array(list(hot), pa.string()), 0
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"]):
+                lang = lang.as_py()
+                if lang not in streams:
+                    streams[lang] = _Stream(lang)
+                stream = streams[lang]
+                words = text.as_py().encode("utf-8", "surrogatepass").translate(TABLE).replace(b".", b" . ").split()
+                for at in range(0, len(words), SLICE):
+                    stream.add(words[at:at + SLICE])
+                    if len(stream.number) > NAMES - SLICE - 8:
+                        yield from stream.grams(known, False)
+                stream.add([b"."])
+                held += len(words)
+                if held > WINDOW:
+                    for stream in streams.values():
+                        yield from stream.grams(known, False)
+                    held = 0
+        for stream in streams.values():
+            yield from stream.grams(known, True)
+
+    slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return slim.mapInArrow(run, "head string, word string, salt int, n long")
 
 
-def _lowered(text: Column) -> Column:
-    """A-Z in lower case; texts of ASCII alone need no look at each character."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def hot_pairs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[str, ...]:
+    """Heads that start many grams, by a sample; at most 1 / HOT of them."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    found = grams(docs.sample(share, seed=7), text_col, lang_col).groupBy("head").agg(F.sum("n").alias("n"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return tuple(r["head"] for r in found.where(F.col("n") >= F.lit(total * HOT)).collect()) if total else ()
 
 
 def edges(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, n): longest grams from every word, one to three words, with their counts."""
-    slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    grams = F.flatten(F.transform(F.split(_lowered(F.col("text")), PIECE_END), lambda piece: F.flatten(F.transform(
-        F.array(F.regexp_extract_all(piece, F.lit(WORDS), F.lit(0))), lambda w: F.transform(w, lambda _, i: F.array_join(F.slice(w, i + 1, F.lit(3)), " "))))))
-    return slim.select("lang", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    """``grams`` dealt so that all of a node (and salt) are in one partition."""
+    return grams(docs, text_col, lang_col, hot_pairs(docs, text_col, lang_col)).repartition("head", "salt")
+
+
+def _flows(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of a partition: frequent edges, the flow out of nodes, of words and of all."""
+    keys, held, rows, limit = ["head", "salt", "word"], [], 0, 4_000_000
+
+    def summed(tables: list[pa.Table], by: list[str]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])
+
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]).select([*keys, "n"]))
+        rows += batch.num_rows
+        if rows > limit:
+            held = [summed(held, keys)]
+            rows = held[0].num_rows
+            limit = max(limit, 2 * rows)
+    if not held:
+        return
+    edge = summed(held, keys)
+    held.clear()
+    often = edge.filter(pc.and_(pc.not_equal(edge["word"], ""), pc.greater_equal(edge["n"], min_count)))
+    node = summed([edge], ["head", "salt"])
+    del edge
+
+    def parts(head: pa.ChunkedArray) -> tuple:
+        both = pc.split_pattern(head, "\n", max_splits=1)
+        return pc.list_element(both, 0), pc.list_element(both, 1)
+
+    def out(lang, phrase, n) -> Iterator[pa.RecordBatch]:
+        yield from pa.table({"lang": lang, "phrase": phrase, "f": n}).combine_chunks().to_batches(max_chunksize=500_000)
+
+    phrase, lang = parts(often["head"])
+    yield from out(lang, pc.binary_join_element_wise(phrase, often["word"], " "), often["n"])
+    phrase, lang = parts(node["head"])
+    first = pc.list_element(pc.split_pattern(phrase, " ", max_splits=1), 0)
+    # Of a salted node each part counts, of others only whole ones.
+    pair = pc.and_(pc.not_equal(first, phrase), pc.or_(pc.greater_equal(node["n"], min_count), pc.greater(node["salt"], 0)))
+    yield from out(lang.filter(pair), phrase.filter(pair), node["n"].filter(pair))
+    words = summed([pa.table({"lang": lang, "phrase": first, "n": node["n"]})], ["lang", "phrase"])
+    yield from out(words["lang"], words["phrase"], words["n"])
+    every = summed([words.select(["lang", "n"])], ["lang"])
+    yield from out(every["lang"], pa.chunked_array([pa.array([""] * len(every), pa.string())]), every["n"])
 
 
 def _first(phrase: str | Column, words: int) -> Column:
@@ -58,13 +187,11 @@ def _last(phrase: str | Column, words: int) -> Column:
     return F.substring_index(phrase, " ", -words)
 
 
-def counts(found: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def counts(dealt: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of 1 to 3 words with f >= min_count,
     and of the empty phrase, whose count is that of all words."""
-    one, two = _first("gram", 1), _first("gram", 2)
-    flows = found.select("lang", "n", F.explode(F.array_distinct(F.array(
-        F.lit(""), one, two, F.when(F.col("n") >= min_count, F.col("gram")).otherwise(two)))).alias("phrase"))
-    summed = flows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    parts = dealt.mapInArrow(lambda batches: _flows(batches, min_count), "lang string, phrase string, f long")
+    summed = parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
     return stored(summed.select("lang", "phrase", F.regexp_count("phrase", F.lit(WORDS)).alias("words"), "f"), "phrases")
 
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sessionlake.llm import phrases
@@ -75,4 +76,35 @@ def test_shorter_counts_come_from_flow(spark):
     docs = spark.createDataFrame([("en", "a b c. a b. a")] * 10, "lang string, text string")
     got = {r.phrase: r.f for r in phrases.counts(phrases.edges(docs)).collect()}
     assert got == {"": 60, "a": 30, "b": 20, "c": 10, "a b": 20, "b c": 10, "a b c": 10}
-    assert phrases.edges(docs).where(F.col("gram") == "a b").first().n == 10
+    found = {(r["head"], r["word"]): r["n"] for r in phrases.edges(docs).groupBy("head", "word").agg(F.sum("n").alias("n")).collect()}
+    assert found == {("a b\nen", "c"): 10, ("a b\nen", ""): 10, ("b c\nen", ""): 10, ("a\nen", ""): 10, ("b\nen", ""): 10, ("c\nen", ""): 10}
+
+
+def test_salts_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.choice(["en", "de", None]), " ".join(rng.choice("abcdefgh") + rng.choice(["", "", "."]) for _ in range(rng.randint(0, 80)))) for _ in range(200)]
+    monkeypatch.setattr(phrases, "HOT", 1 / 300)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert len(phrases.hot_pairs(docs)) > 3
+    check(spark, rows, min_count=5)
+
+
+def test_windows_change_nothing():
+    rng = random.Random(9)
+    words = [rng.choice([b"a", b"b", "ß".encode(), b"."]) for _ in range(500)]
+    want, got, stream = Counter(), Counter(), phrases._Stream("en")
+    piece = []
+    for w in [*words, b"."]:
+        if w == b".":
+            want.update(tuple(piece[i:i + 3]) for i in range(len(piece)))
+            piece = []
+        else:
+            piece.append(w.decode())
+    for at in range(0, len(words), 3):
+        stream.add(words[at:at + 3])
+        batches = list(stream.grams(pa.array(["a b\nen"]), at + 3 >= len(words))) if rng.random() < 0.3 or at + 3 >= len(words) else []
+        for b in batches:
+            for r in b.to_pylist():
+                assert (r["salt"] > 0) == (r["head"] == "a b\nen")
+                got[tuple((r["head"].removesuffix("\nen") + " " + r["word"]).split())] += r["n"]
+    assert got == want
