@@ -129,8 +129,3 @@ def learn_identities(known: DataFrame, seen: DataFrame) -> DataFrame:
     return joined.select(
         "account_uuid", *[F.when(keep, F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c) for c in fields]
     )
-
-
-def order_accounts(described: DataFrame) -> DataFrame:
-    """The account in use first, then the ones with most history."""
-    return described.orderBy(F.desc("is_current"), F.desc("session_count"), "account_uuid")
