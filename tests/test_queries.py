@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "line_numbers", "integrity_report", "message_table", "session_summaries", "compare_copies", "sync_plan", "import_plan",
     "session_listing", "sync_all_plan", "migrate_plan", "unlink_plan", "account_histories", "newest_sessions", "relink_scan", "title_candidates", "sessions_by_title", "project_dirs", "snapshot_manifest", "native_rows",
+    "file_lines", "file_listing", "block_messages", "account_list", "repaired_records",
 )
 NAMES = sorted(catalog.oracle_sql()) if os.environ.get("SESSIONLAKE_ALL") else SAMPLE
 
