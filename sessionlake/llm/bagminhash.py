@@ -17,9 +17,15 @@ Equal texts are first collapsed. Within a bucket nobody is paired with
 everybody: all members meet the bucket's leader, the member that shares most
 buckets with others, and those that are not connected with it by any bucket
 meet a second one. What is left are pairs
-across different classes of one bucket. Of these the sizes and the triangle
+across different classes of one bucket. Two texts can be similar without a rare
+shingle in common (one that at most ``RARE`` of the texts left have) only if the
+common shingles of both are enough for it; a text with many shingles of its own
+is let go before any pair is made. Of the rest the sizes and the triangle
 inequality of the distance exclude most (distances to the leader that differ by
-more than 0.2); all others are verified. So no link between classes is lost.
+more than 0.2). Pairs that do have a rare shingle in common meet by that
+shingle, at most ``RARE`` texts at each, and stay if what they share of rare
+shingles and the common ones are enough. All these bounds are exact and all
+pairs left are verified, so no link between classes is lost.
 
 Defined results: null texts are empty. A text of fewer than five words is one
 shingle; texts without words are equal to each other. White space is no part
@@ -44,6 +50,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 40, 7
 #: So many leaders of a bucket meet all members that are still open.
 LEADERS = 2
+#: A shingle is rare if at most so many of the texts in question have it.
+RARE = 12
 U64 = np.uint64
 
 
@@ -150,7 +158,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
                 part = b.iloc[first:first + n]
                 yield pd.DataFrame({"doc_id": part.doc_id, "content": part.content, "size": size, "bands": list(found)})
 
-    keyed = texts(docs, id_col, text_col).withColumn("content", F.unhex(F.md5("text")))
+    keyed = texts(docs, id_col, text_col).withColumn("content", F.unhex(F.sha2("text", 256)))
     return stored(null_ids(plain_ids(keyed).mapInPandas(run, "doc_id long, content binary, size long, bands array<long>")), "signed")
 
 
@@ -162,10 +170,10 @@ def contents(marked: DataFrame) -> DataFrame:
 
 
 def buckets(different: DataFrame) -> DataFrame:
-    """(bucket, cid, size, central) for all buckets with several members;
+    """(bucket, band, cid, size, central) for all buckets with several members;
     ``central`` counts the places beside the text in all its buckets."""
     rows = different.select("cid", "size", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("bucket"), "cid", "size")
+        F.xxhash64("band", "value").alias("bucket"), "band", "cid", "size")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     found = stored(rows.join(shared, "bucket"), "buckets")
     central = found.groupBy("cid").agg(F.sum("n").alias("central"))
@@ -195,6 +203,50 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return stored(joined.mapInPandas(run, "a long, b long, similarity double"), "verified")
 
 
+def rare_shingles(held: DataFrame, most: int = RARE) -> DataFrame:
+    """(cid, shingle, weight, n) of all shingles that at most ``most`` texts of ``held`` have (n)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for first, chunk, ends in kernel.chunks(b.text.tolist()):
+                text, shingle, weight = shingles(chunk, ends)
+                yield pd.DataFrame({"cid": b.cid.to_numpy()[first + text], "shingle": shingle.view(np.int64), "weight": weight})
+
+    rows = stored(held.select("cid", "text").mapInPandas(run, "cid long, shingle long, weight long"), "shingles")
+    rare = rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    return stored(rows.join(rare, "shingle"), "rare")
+
+
+def _by_rare(rare: DataFrame, members: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of different classes that share a rare shingle, and enough of all."""
+    rows = rare.where("n > 1").join(members, "cid").select("shingle", "cid", "weight", "size", "label", "common")
+    x, y = rows.alias("x"), rows.alias("y")
+    met = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(
+        (F.col("x.cid") > F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & _fits("x.size", "y.size", similar))
+    shared = met.select(
+        F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.least("x.weight", "y.weight").alias("w"),
+        F.least("x.common", "y.common").alias("common"), (F.col("x.size") + F.col("y.size")).alias("sizes")).groupBy("a", "b").agg(
+            F.sum("w").alias("w"), F.first("common").alias("common"), F.first("sizes").alias("sizes"))
+    return shared.where(F.col("w") + F.col("common") >= F.col("sizes") * (similar / (1 + similar)) - 1e-6).select("a", "b")
+
+
+def _hopeful(inner: DataFrame, similar: float) -> DataFrame:
+    """The members of buckets that may be similar to a member of another class by common shingles.
+
+    ``reach`` is the greatest size that such a text can have: what two similar
+    texts have in common is at least ``similar / (1 + similar)`` of both sizes.
+    """
+    while True:
+        per_bucket = inner.groupBy("bucket").agg(
+            F.min("label").alias("x"), F.max("label").alias("y"), F.min("size").alias("least"), F.max("reach").alias("most"), F.count("*").alias("n"))
+        fewer = stored(inner.join(per_bucket.where("x < y"), "bucket").where(
+            (F.col("reach") >= F.greatest(F.col("least"), F.col("size") * similar) - 1e-6) & (F.col("most") >= F.col("size") - 1e-6)), "inner")
+        left = fewer.groupBy("bucket").agg(F.count("*").alias("m"), F.first("n").alias("n")).agg(F.sum("m"), F.sum("n")).first()
+        inner = fewer.select(*inner.columns)
+        # Another round pays where buckets have lost a good part of their members.
+        if not left[0] or left[0] > 0.9 * left[1]:
+            return inner
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) for all nodes of ``links`` (a, b); the label is the least cid."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -249,18 +301,28 @@ def linked(different: DataFrame, held_by, similar: float = SIMILAR) -> DataFrame
                        .where(F.col("label") != F.col("led")).select("bucket", "cid", "size", "central"), "open")
     if labels is None:
         return different.select("cid", F.col("cid").alias("label")).limit(0)
-    # Pairs across the classes of a bucket that the triangle inequality leaves.
-    classed = rows.join(labels, "cid", "left").select("bucket", "cid", "size", "central", F.coalesce("label", "cid").alias("label"))
+    # Pairs across the classes of a bucket that the bounds leave; each pair in the first of its buckets.
+    classed = rows.join(labels, "cid", "left").select("bucket", "band", "cid", "size", "central", F.coalesce("label", "cid").alias("label"))
     mixed_ = classed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("central", "cid"))["cid"].alias("lead")).where("x < y")
     known = checked.select(F.col("a").alias("cid"), F.col("b").alias("lead"), (1 - F.col("similarity")).alias("far"))
     inner = (classed.join(mixed_.select("bucket", "lead"), "bucket").join(known, ["cid", "lead"], "left")
              .withColumn("far", F.when(F.col("cid") == F.col("lead"), F.lit(0.0)).otherwise(F.col("far"))))
-    inner = stored(inner.select("bucket", "cid", "size", "label", "far"), "inner")
+    inner = stored(inner.select("bucket", "band", "cid", "size", "label", "far"), "inner")
+    members = inner.select("cid", "size", "label").distinct()
+    rare = rare_shingles(held.join(members, "cid", "left_semi"))
+    own = rare.groupBy("cid").agg(F.sum("weight").alias("own"))
+    members = stored(members.join(own, "cid", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))), "members")
+    reach = F.col("common") * ((1 + similar) / similar) - F.col("size")
+    inner = _hopeful(inner.join(members.drop("size", "label"), "cid").select("bucket", "band", "cid", "size", "label", "far", reach.alias("reach")), similar)
+    inner = inner.join(different.select("cid", "bands"), "cid")
     x, y = inner.alias("x"), inner.alias("y")
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(True)) == F.col("x.band") + 1
+    within = (F.col("x.size") <= F.col("y.reach") + 1e-6) & (F.col("y.size") <= F.col("x.reach") + 1e-6)
     near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - similar + 1e-9, F.lit(True))
-    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
-        (F.col("x.cid") > F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & near & _fits("x.size", "y.size", similar))
-    pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    by_common = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
+        (F.col("x.cid") > F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & near & within & _fits("x.size", "y.size", similar) & first)
+    by_common = by_common.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    pairs = by_common.union(_by_rare(rare, members, similar)).distinct()
     pairs = stored(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
     if pairs.isEmpty():
         return labels
@@ -273,7 +335,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class_size, kept (one row of each class), content."""
     marked = signed(docs, id_col, text_col)
     different = contents(marked)
-    every = texts(docs, id_col, text_col).select(F.unhex(F.md5("text")).alias("content"), "doc_id", "text")
+    every = texts(docs, id_col, text_col).select(F.unhex(F.sha2("text", 256)).alias("content"), "doc_id", "text")
 
     def held_by(cids: DataFrame) -> DataFrame:
         wanted = different.join(cids, "cid").select("cid", "content", "doc_id")
@@ -295,7 +357,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = near_classes(docs, id_col, text_col).where("kept").select(F.struct("content", "doc_id").alias("key"))
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.struct(F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("content"), F.col(id_col).cast("long").alias("doc_id")).alias("key"))
+        F.struct(F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).alias("content"), F.col(id_col).cast("long").alias("doc_id")).alias("key"))
     return keyed.join(kept.distinct(), "key").dropDuplicates(["key"]).select("doc.*")
 
 
