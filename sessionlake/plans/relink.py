@@ -126,15 +126,12 @@ def assign(keys: DataFrame, entries: DataFrame, claims: DataFrame, one_pass: int
     ``keys``: ``account_uuid, r_ord, n, list``; ``entries``: ``list,
     session_id, file_path, pos``; ``claims``: ``account_uuid, session_id``.
 
-    An account of bounded size is one small group.  In a larger one all
-    records standing at one list are paired with its free transcripts rank by
-    rank, so a title shared by a million records is one join on ranks.  A
-    record whose rank exceeds what is free moves to its next list.  Everything
-    before the first record that moved, or met an earlier record at the same
-    transcript, is what one-by-one choosing gives and is final; the rest goes
-    into another round.  Each round costs in proportion to the open records.
+    An account of bounded size is one small group.  A larger one, and what a
+    bounded pass could not settle, goes through ``accept``.
     """
-    existing = keys.join(entries.select("list").distinct(), "list", "left_semi")
+    names = _same_lists(entries)
+    entries = entries.join(names.where("list = same").select("list"), "list", "left_semi")
+    existing = keys.join(names, "list").select("account_uuid", "r_ord", "n", F.col("same").alias("list"))
     order = existing.groupBy("account_uuid", "r_ord").agg(F.array_sort(F.collect_list(F.struct("n", "list"))).alias("lists"))
     order = materialize(order.withColumn("level", F.lit(0)), "pending")
     taken = claims.select("account_uuid", "session_id").distinct()
@@ -146,13 +143,85 @@ def assign(keys: DataFrame, entries: DataFrame, claims: DataFrame, one_pass: int
     final = final.where("n >= 0")
     left = order.join(small, "account_uuid", "left_anti").unionByName(
         order.join(stuck, "account_uuid").where("r_ord >= _from").drop("_from"))
-    pending, rounds = materialize(left, "pending"), 0
-    taken = taken.unionByName(final.select("account_uuid", "session_id"))
+    accepted, _rounds = accept(left, entries, taken.unionByName(final.select("account_uuid", "session_id")))
+    return final.unionByName(accepted)
+
+
+def _same_lists(entries: DataFrame) -> DataFrame:
+    """One name (``same``) for all lists with the same places.
+
+    Records that ask for a transcript by different titles, say the typed and the
+    derived one, then stand in one queue.  Lists are equal if their lengths and
+    three 64-bit sums over all places are."""
+    place = [F.col("session_id"), F.col("file_path"), F.col("pos")]
+    hashed = [F.xxhash64(*place, F.lit(n)) for n in range(3)]
+    marks = entries.groupBy("list").agg(
+        F.count("*").alias("_n"), *[F.bit_xor(h).alias(f"_h{n}") for n, h in enumerate(hashed)])
+    mark = ["_n", "_h0", "_h1", "_h2"]
+    return materialize(
+        marks.join(marks.groupBy(*mark).agg(F.min("list").alias("same")), mark).select("list", "same"), "same-lists")
+
+
+def accept(pending: DataFrame, entries: DataFrame, taken: DataFrame):
+    """Deferred acceptance: what one-by-one choosing gives, and the rounds it took.
+
+    ``pending``: ``account_uuid, r_ord, lists, level`` (``lists``: the record's
+    lists, best first; ``level``: the one it stands at).  A transcript holds the
+    earliest record that ever asked for it, tentatively: an earlier one may
+    still come and send its holder on.  All transcripts agree which record comes
+    first, so the outcome is that of choosing in order, whatever the order of
+    the asking.
+
+    The open records of a list ask at once, the k-th for the k-th transcript
+    that no record before the first of them holds.  Whatever the k-th passes
+    over is then held by an earlier record for good.  One whose rank exceeds
+    what there is moves to its next list.  A title shared by a million records
+    is one join on ranks; clashes anywhere in an account are settled at the same
+    time.  Rounds grow with the longest chain of records that send each other
+    on, not with the number of clashes.  An account without open records is
+    finished and leaves.
+    """
+    here, whose = ["account_uuid", "list"], ["account_uuid", "session_id"]
+    pending, held, finished, rounds = materialize(pending, "pending"), None, [], 0
     while not pending.isEmpty():
-        done, pending, taken = _round(pending, entries, taken, rounds)
-        final = final.unionByName(done)
+        at = F.get("lists", F.col("level"))
+        asking = pending.select("*", at["list"].alias("list"), at["n"].alias("n"))
+        free = _unheld(asking, entries, taken, held)
+        ranked = dense_position(asking, here, ["r_ord"], F.shiftright("r_ord", 12), "rank")
+        asked = ranked.join(free, [*here, "rank"], "left").drop("rank")
+        met = asked if held is None else asked.unionByName(held)
+        first = met.where("session_id IS NOT NULL").groupBy(*whose).agg(F.min("r_ord").alias("_first"))
+        judged = materialize(met.join(first, whose, "left"), "judged")
         rounds += 1
-    return final
+        sent_on = judged.where("session_id IS NULL OR r_ord > _first").withColumn(
+            "level", F.col("level") + F.when(F.col("session_id").isNull(), 1).otherwise(0))
+        pending = sent_on.where(F.col("level") < F.size("lists")).select("account_uuid", "r_ord", "lists", "level")
+        holders = judged.where("r_ord = _first").drop("_first")
+        going_on = pending.select("account_uuid").distinct()
+        finished.append(holders.join(going_on, "account_uuid", "left_anti"))
+        held = holders.join(going_on, "account_uuid", "left_semi")
+    done = pending.sparkSession.createDataFrame([], _DONE)
+    for part in finished:
+        done = done.unionByName(part.select(*_DONE_COLUMNS))
+    return done, rounds
+
+
+def _unheld(asking: DataFrame, entries: DataFrame, taken: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Of each list in use the first transcripts, one per record asking, that
+    neither a claim nor a record before the first one asking has."""
+    here = ["account_uuid", "list"]
+    standing = asking.groupBy(*here).agg(F.count("*").alias("_n"), F.min("r_ord").alias("_from"))
+    gone = taken.select("account_uuid", "session_id", F.lit(-1).cast("long").alias("_by"))
+    if held is not None:
+        gone = gone.unionByName(held.select("account_uuid", "session_id", F.col("r_ord").alias("_by")))
+    gone = gone.join(standing.select("account_uuid").distinct(), "account_uuid", "left_semi")
+    gone = gone.join(entries.select("list", "session_id"), "session_id").join(standing, here).where("_by < _from").select(
+        *here, "session_id").distinct()
+    spent = gone.groupBy(*here).agg(F.count("*").alias("_c"))
+    end = F.col("_n") + F.coalesce("_c", F.lit(0)) - 1
+    places = standing.join(spent, here, "left").select(*here, F.explode(F.sequence(F.lit(0).cast("long"), end)).alias("pos"))
+    free = places.join(entries, ["list", "pos"]).join(gone, [*here, "session_id"], "left_anti")
+    return dense_position(free.select(*here, "pos", "session_id", "file_path"), here, ["pos"], F.shiftright("pos", 12), "rank").drop("pos")
 
 
 def _reach(current: DataFrame, entries: DataFrame, taken: DataFrame, slack: int = 0) -> DataFrame:
@@ -161,21 +230,26 @@ def _reach(current: DataFrame, entries: DataFrame, taken: DataFrame, slack: int
     per session that is taken already."""
     here = ["account_uuid", "list"]
     standing = current.groupBy(*here).agg(F.count("*").alias("_n"))
-    claimed = entries.select("list", "session_id").join(taken, "session_id").join(standing.select(*here), here, "left_semi")
+    asked = taken.join(standing.select("account_uuid").distinct(), "account_uuid", "left_semi")
+    claimed = entries.select("list", "session_id").join(asked, "session_id").join(standing.select(*here), here, "left_semi")
     spent = claimed.groupBy(*here).agg(F.count("*").alias("_c"))
     reach = standing.join(spent, here, "left").withColumn("_end", F.col("_n") + F.coalesce("_c", F.lit(0)) + slack)
-    places = reach.select(*here, "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_end") - 1)).alias("pos"))
+    places = reach.select(*here, "_n", "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_end") - 1)).alias("pos"))
     free = places.join(entries, ["list", "pos"]).join(taken, ["account_uuid", "session_id"], "left_anti")
-    return free.select(*here, "_end", "pos", "session_id", "file_path")
+    return free.select(*here, "_n", "_end", "pos", "session_id", "file_path")
 
 
 def _one_pass(order: DataFrame, entries: DataFrame, taken: DataFrame) -> DataFrame:
     wishes = order.select("account_uuid", "r_ord", F.inline("lists"))
     free = _reach(wishes, entries, taken, ONE_PASS_SLACK)
+    # What claims leave of the places fetched is cut to what the group can need.
+    free = dense_position(free, ["account_uuid", "list"], ["pos"], F.shiftright("pos", 12), "_rank")
+    most = F.col("_n") + ONE_PASS_SLACK
+    free = free.where(F.col("_rank") < most)
     sizes = entries.groupBy("list").agg(F.count("*").alias("_size"))
     offers = free.join(sizes, "list").select(
         "account_uuid", F.lit(None).cast("long").alias("r_ord"), F.lit(None).cast("int").alias("n"), "list", "pos",
-        "session_id", "file_path", (F.col("_end") < F.col("_size")).alias("more"))
+        "session_id", "file_path", ((F.col("_end") < F.col("_size")) | (F.col("_rank") == most - 1)).alias("more"))
     # A list whose fetched part is all taken still has to say that it goes on.
     ends = _ends(wishes, entries, taken, sizes)
     return wishes.unionByName(offers, True).unionByName(ends, True).groupBy("account_uuid").applyInPandas(_choose, _DONE)
@@ -220,29 +294,6 @@ def _choose(group: pd.DataFrame) -> pd.DataFrame:
 _DONE_COLUMNS = [part.split()[0] for part in _DONE.split(", ")]
 
 
-def _round(pending: DataFrame, entries: DataFrame, taken: DataFrame, number: int):
-    here = ["account_uuid", "list"]
-    current = pending.withColumn("_at", F.get("lists", F.col("level"))).select(
-        *pending.columns, F.col("_at.list").alias("list"), F.col("_at.n").alias("n"))
-    free = _reach(current, entries, taken)
-    free = dense_position(free.select(*here, "pos", "session_id", "file_path"), here, ["pos"], F.shiftright("pos", 12), "rank")
-    ranked = dense_position(current, here, ["r_ord"], F.shiftright("r_ord", 12), "rank")
-    proposed = ranked.join(free.select(*here, "rank", "session_id", "file_path"), [*here, "rank"], "left")
-    proposed = materialize(proposed.drop("rank"), f"proposed-{number}")
-    winners = proposed.where("session_id IS NOT NULL").groupBy("account_uuid", "session_id").agg(F.min("r_ord").alias("_first"))
-    judged = proposed.join(winners, ["account_uuid", "session_id"], "left").withColumn(
-        "_open", F.col("session_id").isNull() | (F.col("r_ord") > F.col("_first")))
-    stops = judged.where("_open").groupBy("account_uuid").agg(F.min("r_ord").alias("_stop"))
-    settled = judged.join(stops, "account_uuid", "left").withColumn(
-        "_done", F.col("_stop").isNull() | (F.col("r_ord") < F.col("_stop")))
-    settled = materialize(settled, f"settled-{number}")
-    done = settled.where("_done").select("account_uuid", "r_ord", "n", "list", "session_id", "file_path")
-    rest = settled.where("NOT _done").withColumn(
-        "level", F.col("level") + F.when(F.col("session_id").isNull(), 1).otherwise(0))
-    pending = rest.where(F.col("level") < F.size("lists")).select("account_uuid", "r_ord", "lists", "level")
-    return done, pending, taken.unionByName(done.select("account_uuid", "session_id"))
-
-
 def _left_at_turn(chosen: DataFrame, entries: DataFrame, claims: DataFrame, list_column: str, out: str) -> DataFrame:
     """How many transcripts of a list were free when each record chose."""
     asked = chosen.select("account_uuid", F.col(list_column).alias("list"), "r_ord").where("list IS NOT NULL")
@@ -325,7 +376,7 @@ def title_candidates(records: DataFrame, transcripts: DataFrame, titles: DataFra
     here = ["account_uuid", "list"]
     free = _reach(keys.select(*here).distinct(), entries, _claims(records), 2 * limit)
     first = W.partitionBy(*here).orderBy("pos")
-    free = shared(free.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= 2 * limit).drop("_k", "_end"), "free")
+    free = shared(free.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= 2 * limit).drop("_k", "_n", "_end"), "free")
     alive = keys.join(free.select(*here).distinct(), here, "left_semi")
     best = alive.groupBy("r_ord").agg(F.floor(F.min("n") / 2).alias("_tier"))
     wanted = alive.join(best, "r_ord").where(F.floor(F.col("n") / 2) == F.col("_tier"))

@@ -92,9 +92,9 @@ def frames(spark, records, transcripts, every):
     return r, t, titles
 
 
-@pytest.mark.parametrize("one_pass, accounts", [(2_000, 25), (12, 3)])
+@pytest.mark.parametrize("one_pass, accounts", [(2_000, 25), (12, 3), (0, 6)])
 def test_assignment_equals_one_by_one_choosing(spark, one_pass, accounts):
-    """Small accounts in one pass; accounts beyond the limit in rounds."""
+    """Small accounts in one pass; accounts beyond the limit by deferred acceptance."""
     records, transcripts, every = world(7, accounts)
     want = sequential(records, transcripts, every)
     r, t, titles = frames(spark, records, transcripts, every)
@@ -106,6 +106,69 @@ def test_assignment_equals_one_by_one_choosing(spark, one_pass, accounts):
     assert sum(row.match is not None for row in got) > 8 * accounts
 
 
+def wishes_of(spark, wishes, lists):
+    """Frames of ``{(account, r): [list, …]}`` and ``{list: [session, …]}``."""
+    keys = spark.createDataFrame([(a, r, n, name) for (a, r), names in wishes.items() for n, name in enumerate(names)],
+                                 "account_uuid string, r_ord long, n int, list string")
+    entries = spark.createDataFrame([(name, s, f"/p/{s}", k) for name, found in lists.items() for k, s in enumerate(found)],
+                                    "list string, session_id string, file_path string, pos long")
+    return keys, entries
+
+
+def in_order(wishes, lists, claims=()):
+    used, out = set(claims), {}
+    for (a, r), names in sorted(wishes.items()):
+        for n, name in enumerate(names):
+            free = [s for s in lists.get(name, []) if (a, s) not in used]
+            if free:
+                used.add((a, free[0]))
+                out[a, r] = (n, free[0])
+                break
+    return out
+
+
+def accepted(spark, wishes, lists, claims=()):
+    """What deferred acceptance gives, and its rounds; lists are merged as in ``assign``."""
+    keys, entries = wishes_of(spark, wishes, lists)
+    names = relink._same_lists(entries)
+    order = keys.join(names, "list").groupBy("account_uuid", "r_ord").agg(
+        F.array_sort(F.collect_list(F.struct("n", F.col("same").alias("list")))).alias("lists")).withColumn("level", F.lit(0))
+    taken = spark.createDataFrame(list(claims), "account_uuid string, session_id string")
+    done, rounds = relink.accept(order, entries, taken)
+    return {(x.account_uuid, x.r_ord): (x.n, x.session_id) for x in done.collect()}, rounds
+
+
+def test_alternating_records_take_a_handful_of_rounds(spark):
+    """200 records ask in turn by the typed and by the derived title of the same
+    transcripts; a second account clashes in 30 places that have nothing to do
+    with each other."""
+    shared = [f"s{k:03d}" for k in range(190)]
+    lists = {"typed": shared, "derived": shared, "rest": [f"x{k}" for k in range(6)]}
+    wishes = {("a", r): [("typed", "derived")[r % 2], "rest"] for r in range(200)}
+    for k in range(30):
+        lists[f"in{k}"], lists[f"any{k}"] = [f"c{k}"], [f"c{k}", f"d{k}"]
+        wishes["b", 3 * k], wishes["b", 3 * k + 1], wishes["b", 3 * k + 2] = [f"any{k}"], [f"in{k}", f"any{k}"], [f"any{k}"]
+    got, rounds = accepted(spark, wishes, lists, [("a", "s005"), ("b", "c7")])
+    assert got == in_order(wishes, lists, [("a", "s005"), ("b", "c7")])
+    assert len([1 for a, _r in got if a == "a"]) == 195
+    assert rounds <= 6
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_acceptance_of_random_wishes_is_choosing_in_order(spark, seed):
+    rng = random.Random(seed)
+    lists = {f"l{k}": [s for s in (f"s{i:02d}" for i in range(25)) if rng.random() < 0.4] for k in range(7)}
+    wishes = {(f"a{a}", r): rng.sample(sorted(lists), rng.randrange(1, 4)) for a in range(4) for r in range(18)}
+    claims = {(f"a{rng.randrange(4)}", f"s{rng.randrange(25):02d}") for _ in range(12)}
+    got, _rounds = accepted(spark, wishes, lists, claims)
+    assert got == in_order(wishes, lists, claims)
+
+
+def test_nobody_asks(spark):
+    got, rounds = accepted(spark, {}, {"l": ["s"]})
+    assert (got, rounds) == ({}, 0)
+
+
 def test_repair_writes_only_what_is_missing(spark):
     start = datetime(2026, 1, 1, tzinfo=timezone.utc)
     transcripts = [dict(file_path="/p/1.jsonl", session_id="s1", folder="-w-a", size_bytes=1, mtime=start, custom_title="T", ai_title=None,
