@@ -267,7 +267,7 @@ def _ends(wishes: DataFrame, entries: DataFrame, taken: DataFrame, sizes: DataFr
 def _choose(group: pd.DataFrame) -> pd.DataFrame:
     """Records of one account choose in order; the first that would need more
     of a list than is here is reported with ``n = -1`` and ends the pass."""
-    endless = set(group.loc[group["more"].fillna(False).astype(bool), "list"])
+    endless = set(group.loc[group["more"].eq(True), "list"])
     offers: dict = {}
     found = group[group["session_id"].notna()].sort_values("pos")
     for name, session, path in zip(found["list"], found["session_id"], found["file_path"]):
