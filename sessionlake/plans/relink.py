@@ -82,32 +82,54 @@ def _list_keys(broken: DataFrame) -> DataFrame:
     wishes = []
     for n, (_name, kind, exact) in enumerate(fv.TITLE_TIERS):
         key = _title_key(kind, exact, F.col("title"))
-        inside = F.when(F.size("_folders") > 0, F.struct(F.lit(2 * n).alias("n"), F.concat(key, F.lit("\x00"), F.array_join("_folders", "\x00")).alias("list"), key.alias("key"), F.col("_folders").alias("folders")))
-        anywhere = F.struct(F.lit(2 * n + 1).alias("n"), key.alias("list"), key.alias("key"), F.array().cast("array<string>").alias("folders"))
+        inside = F.when(F.size("_folders") > 0, F.struct(F.lit(2 * n).alias("n"), key.alias("key"), F.col("_folders").alias("folders")))
+        anywhere = F.struct(F.lit(2 * n + 1).alias("n"), key.alias("key"), F.array().cast("array<string>").alias("folders"))
         wishes += [inside, anywhere]
     return titled.select("account_uuid", "r_ord", F.inline(F.array_compact(F.array(*wishes))))
 
 
-def _entries(keys: DataFrame, transcripts: DataFrame, titles: DataFrame) -> DataFrame:
+def _lists(keys: DataFrame, transcripts: DataFrame, titles: DataFrame, claims: DataFrame):
     """Transcripts of every list in order: latest edit, then size, then path.
 
-    A list holds a session once, through its best file."""
+    A list holds a session once, through its best file.  Places are many, so
+    they hold numbers only, and titles that name the same transcripts (the typed
+    one exact and loose, say) share their lists.  Returns ``keys`` with their
+    lists, the places (``file_path``: number of the transcript), ``claims`` on
+    numbered sessions, and path and session id behind a number."""
+    number = F.monotonically_increasing_id()
+    sessions = materialize(
+        transcripts.select("session_id").where("session_id IS NOT NULL").distinct().withColumn("session", number), "sessions")
     ordered = _numbered(
-        transcripts.select("file_path", "session_id", "folder", "mtime", "size_bytes", "custom_title", "ai_title"),
+        transcripts.select("file_path", "session_id", "folder", "mtime", "size_bytes", "custom_title", "ai_title").join(
+            sessions, "session_id", "left"),
         [F.desc("mtime"), F.desc("size_bytes"), "file_path"], "t_ord")
-    every = titles.join(ordered.select("file_path", "session_id", "folder", "t_ord"), "file_path")
-    keyed = None
+    asked = materialize(keys.select("key").distinct().withColumn("title_no", number), "title-keys")
+    # All titles of a transcript meet in its row: there a title counts once.
+    every = ordered.join(titles.groupBy("file_path").agg(F.collect_set("title").alias("former")), "file_path", "left")
+    found = []
     for _name, kind, exact in fv.TITLE_TIERS:
-        source = every if kind == "former" else ordered.withColumn("title", F.col(f"{kind}_title")).where("title <> ''")
-        part = source.select(_title_key(kind, exact, F.col("title")).alias("key"), "folder", "session_id", "file_path", "t_ord")
-        keyed = part if keyed is None else keyed.unionByName(part)
-    lists = keys.select("list", "key", "folders").distinct()
-    anywhere = lists.where(F.size("folders") == 0).join(keyed, "key").select("list", "session_id", "file_path", "t_ord")
-    inside = lists.select("list", "key", F.explode("folders").alias("folder")).join(keyed, ["key", "folder"]).select(
-        "list", "session_id", "file_path", "t_ord")
-    once = anywhere.unionByName(inside).groupBy("list", "session_id").agg(
-        F.min(F.struct("t_ord", "file_path")).alias("b")).select("list", "session_id", "b.*")
-    return dense_position(shared(once, "title-lists"), ["list"], ["t_ord"], F.shiftright("t_ord", 12))
+        if kind == "former":
+            found.append(F.transform(F.coalesce("former", F.array().cast("array<string>")), lambda t: _title_key(kind, exact, t)))
+        else:
+            title = F.col(f"{kind}_title")
+            found.append(F.array(F.when(title != "", _title_key(kind, exact, title))))
+    keyed = every.select("t_ord", "session", "folder", F.explode(F.array_distinct(F.array_compact(F.concat(*found)))).alias("key"))
+    keyed = materialize(keyed.join(asked, "key").drop("key"), "keyed")
+    same = _same(keyed, "title_no", ["t_ord"])
+    named = keys.join(asked, "key").join(same, "title_no").select("account_uuid", "r_ord", "n", F.col("same").alias("title_no"), "folders")
+    # A list is a title's, or (negative) a title's within folders.
+    within = materialize(named.where(F.size("folders") > 0).select("title_no", "folders").distinct().withColumn("list", -1 - number), "lists")
+    keys = materialize(named.join(within, ["title_no", "folders"], "left").select(
+        "account_uuid", "r_ord", "n", F.coalesce("list", "title_no").alias("list")), "list-keys")
+    anywhere = keyed.join(same.where("title_no = same").select("title_no"), "title_no", "left_semi").select(
+        F.col("title_no").alias("list"), "session", "t_ord")
+    inside = within.select("list", "title_no", F.explode("folders").alias("folder")).join(keyed, ["title_no", "folder"]).select(
+        "list", "session", "t_ord")
+    once = anywhere.unionByName(inside).groupBy("list", "session").agg(F.min("t_ord").alias("t_ord"))
+    placed = dense_position(shared(once, "title-lists"), ["list"], ["t_ord"], F.shiftright("t_ord", 12))
+    entries = materialize(placed.select("list", F.col("session").alias("session_id"), F.col("t_ord").alias("file_path"), "pos"), "entries")
+    claims = claims.join(sessions, "session_id").select("account_uuid", F.col("session").alias("session_id"))
+    return keys, entries, shared(claims, "claims"), ordered.select(F.col("t_ord").alias("place_no"), "file_path", "session_id")
 
 
 # Accounts with at most this many searching records are settled in one pass
@@ -117,7 +139,12 @@ ONE_PASS_RECORDS = 2_000
 # may also go to records that reach them through another title.
 ONE_PASS_SLACK = 100
 
-_DONE = "account_uuid string, r_ord bigint, n int, list string, session_id string, file_path string"
+_DONE = ["account_uuid", "r_ord", "n", "list", "session_id", "file_path"]
+
+
+def _done_schema(entries: DataFrame) -> str:
+    types = dict(entries.dtypes)
+    return "account_uuid string, r_ord bigint, n int, " + ", ".join(f"{c} {types[c]}" for c in _DONE[3:])
 
 
 def assign(keys: DataFrame, entries: DataFrame, claims: DataFrame, one_pass: int = ONE_PASS_RECORDS) -> DataFrame:
@@ -125,6 +152,7 @@ def assign(keys: DataFrame, entries: DataFrame, claims: DataFrame, one_pass: int
 
     ``keys``: ``account_uuid, r_ord, n, list``; ``entries``: ``list,
     session_id, file_path, pos``; ``claims``: ``account_uuid, session_id``.
+    Lists, sessions and files may be names or numbers.
 
     An account of bounded size is one small group.  A larger one, and what a
     bounded pass could not settle, goes through ``accept``.
@@ -137,7 +165,9 @@ def assign(keys: DataFrame, entries: DataFrame, claims: DataFrame, one_pass: int
     taken = claims.select("account_uuid", "session_id").distinct()
     sizes = order.groupBy("account_uuid").agg(F.count("*").alias("_n"))
     small = sizes.where(F.col("_n") <= one_pass).select("account_uuid")
-    final = materialize(_one_pass(order.join(small, "account_uuid", "left_semi"), entries, taken), "one-pass")
+    bounded = order.join(small, "account_uuid", "left_semi")
+    held = materialize(_held(bounded.select("account_uuid", F.inline("lists")), entries, taken), "held")
+    final = materialize(_one_pass(bounded, entries, taken, held), "one-pass")
     # A pass stops where a list would have to be read further than was fetched.
     stuck = final.where("n < 0").select("account_uuid", F.col("r_ord").alias("_from"))
     final = final.where("n >= 0")
@@ -153,13 +183,17 @@ def _same_lists(entries: DataFrame) -> DataFrame:
     Records that ask for a transcript by different titles, say the typed and the
     derived one, then stand in one queue.  Lists are equal if their lengths and
     three 64-bit sums over all places are."""
-    place = [F.col("session_id"), F.col("file_path"), F.col("pos")]
+    return _same(entries, "list", ["session_id", "file_path", "pos"])
+
+
+def _same(places: DataFrame, name: str, place: list[str]) -> DataFrame:
+    """The smallest ``name`` (``same``) of those with the same places."""
     hashed = [F.xxhash64(*place, F.lit(n)) for n in range(3)]
-    marks = entries.groupBy("list").agg(
+    marks = places.groupBy(name).agg(
         F.count("*").alias("_n"), *[F.bit_xor(h).alias(f"_h{n}") for n, h in enumerate(hashed)])
     mark = ["_n", "_h0", "_h1", "_h2"]
     return materialize(
-        marks.join(marks.groupBy(*mark).agg(F.min("list").alias("same")), mark).select("list", "same"), "same-lists")
+        marks.join(marks.groupBy(*mark).agg(F.min(name).alias("same")), mark).select(name, "same"), "same")
 
 
 def accept(pending: DataFrame, entries: DataFrame, taken: DataFrame):
@@ -200,9 +234,9 @@ def accept(pending: DataFrame, entries: DataFrame, taken: DataFrame):
         going_on = pending.select("account_uuid").distinct()
         finished.append(holders.join(going_on, "account_uuid", "left_anti"))
         held = holders.join(going_on, "account_uuid", "left_semi")
-    done = pending.sparkSession.createDataFrame([], _DONE)
+    done = pending.sparkSession.createDataFrame([], _done_schema(entries))
     for part in finished:
-        done = done.unionByName(part.select(*_DONE_COLUMNS))
+        done = done.unionByName(part.select(*_DONE))
     return done, rounds
 
 
@@ -224,24 +258,30 @@ def _unheld(asking: DataFrame, entries: DataFrame, taken: DataFrame, held: DataF
     return dense_position(free.select(*here, "pos", "session_id", "file_path"), here, ["pos"], F.shiftright("pos", 12), "rank").drop("pos")
 
 
-def _reach(current: DataFrame, entries: DataFrame, taken: DataFrame, slack: int = 0) -> DataFrame:
+def _held(current: DataFrame, entries: DataFrame, taken: DataFrame) -> DataFrame:
+    """Sessions that are taken already, by the lists in use they stand in
+    (``account_uuid, list`` per record)."""
+    here = ["account_uuid", "list"]
+    asked = taken.join(current.select("account_uuid").distinct(), "account_uuid", "left_semi")
+    return entries.select("list", "session_id").join(asked, "session_id").join(current.select(*here).distinct(), here, "left_semi")
+
+
+def _reach(current: DataFrame, entries: DataFrame, taken: DataFrame, held: DataFrame, slack: int = 0) -> DataFrame:
     """Free entries of the lists in use (``account_uuid, list`` per record), as
     far into each list as its records can need: one place per record and one
-    per session that is taken already."""
+    per session that is taken already (``held``)."""
     here = ["account_uuid", "list"]
     standing = current.groupBy(*here).agg(F.count("*").alias("_n"))
-    asked = taken.join(standing.select("account_uuid").distinct(), "account_uuid", "left_semi")
-    claimed = entries.select("list", "session_id").join(asked, "session_id").join(standing.select(*here), here, "left_semi")
-    spent = claimed.groupBy(*here).agg(F.count("*").alias("_c"))
+    spent = held.groupBy(*here).agg(F.count("*").alias("_c"))
     reach = standing.join(spent, here, "left").withColumn("_end", F.col("_n") + F.coalesce("_c", F.lit(0)) + slack)
     places = reach.select(*here, "_n", "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_end") - 1)).alias("pos"))
     free = places.join(entries, ["list", "pos"]).join(taken, ["account_uuid", "session_id"], "left_anti")
     return free.select(*here, "_n", "_end", "pos", "session_id", "file_path")
 
 
-def _one_pass(order: DataFrame, entries: DataFrame, taken: DataFrame) -> DataFrame:
+def _one_pass(order: DataFrame, entries: DataFrame, taken: DataFrame, held: DataFrame) -> DataFrame:
     wishes = order.select("account_uuid", "r_ord", F.inline("lists"))
-    free = _reach(wishes, entries, taken, ONE_PASS_SLACK)
+    free = _reach(wishes, entries, taken, held, ONE_PASS_SLACK)
     # What claims leave of the places fetched is cut to what the group can need.
     free = dense_position(free, ["account_uuid", "list"], ["pos"], F.shiftright("pos", 12), "_rank")
     most = F.col("_n") + ONE_PASS_SLACK
@@ -251,15 +291,14 @@ def _one_pass(order: DataFrame, entries: DataFrame, taken: DataFrame) -> DataFra
         "account_uuid", F.lit(None).cast("long").alias("r_ord"), F.lit(None).cast("int").alias("n"), "list", "pos",
         "session_id", "file_path", ((F.col("_end") < F.col("_size")) | (F.col("_rank") == most - 1)).alias("more"))
     # A list whose fetched part is all taken still has to say that it goes on.
-    ends = _ends(wishes, entries, taken, sizes)
-    return wishes.unionByName(offers, True).unionByName(ends, True).groupBy("account_uuid").applyInPandas(_choose, _DONE)
+    ends = _ends(wishes, held, sizes)
+    return wishes.unionByName(offers, True).unionByName(ends, True).groupBy("account_uuid").applyInPandas(_choose, _done_schema(entries))
 
 
-def _ends(wishes: DataFrame, entries: DataFrame, taken: DataFrame, sizes: DataFrame) -> DataFrame:
+def _ends(wishes: DataFrame, held: DataFrame, sizes: DataFrame) -> DataFrame:
     here = ["account_uuid", "list"]
     standing = wishes.groupBy(*here).agg(F.count("*").alias("_n"))
-    spent = entries.select("list", "session_id").join(taken, "session_id").join(standing.select(*here), here, "left_semi").groupBy(
-        *here).agg(F.count("*").alias("_c"))
+    spent = held.groupBy(*here).agg(F.count("*").alias("_c"))
     reach = standing.join(spent, here, "left").join(sizes, "list")
     return reach.where(F.col("_n") + F.coalesce("_c", F.lit(0)) + ONE_PASS_SLACK < F.col("_size")).select(*here, F.lit(True).alias("more"))
 
@@ -270,6 +309,8 @@ def _choose(group: pd.DataFrame) -> pd.DataFrame:
     endless = set(group.loc[group["more"].eq(True), "list"])
     offers: dict = {}
     found = group[group["session_id"].notna()].sort_values("pos")
+    # Numbers beside nulls come as floats; these are below 2 ** 53.
+    found = found.astype({c: "int64" for c in ("session_id", "file_path") if found[c].dtype.kind == "f"})
     for name, session, path in zip(found["list"], found["session_id"], found["file_path"]):
         offers.setdefault(name, []).append((session, path))
     used, at, out = set(), {}, []
@@ -287,16 +328,14 @@ def _choose(group: pd.DataFrame) -> pd.DataFrame:
                 break
             if name in endless:
                 out.append((account, int(record), -1, name, None, None))
-                return pd.DataFrame(out, columns=_DONE_COLUMNS)
-    return pd.DataFrame(out, columns=_DONE_COLUMNS)
-
-
-_DONE_COLUMNS = [part.split()[0] for part in _DONE.split(", ")]
+                return pd.DataFrame(out, columns=_DONE)
+    return pd.DataFrame(out, columns=_DONE)
 
 
-def _left_at_turn(chosen: DataFrame, entries: DataFrame, claims: DataFrame, list_column: str, out: str) -> DataFrame:
-    """How many transcripts of a list were free when each record chose."""
-    asked = chosen.select("account_uuid", F.col(list_column).alias("list"), "r_ord").where("list IS NOT NULL")
+def _left_at_turn(chosen: DataFrame, entries: DataFrame, claims: DataFrame, counts: dict[str, str]) -> DataFrame:
+    """How many transcripts of a list were free when each record chose, for the
+    list in each column of ``counts``."""
+    asked = chosen.select("account_uuid", "r_ord", F.explode(F.array(*counts)).alias("list")).where("list IS NOT NULL")
     used = asked.select("account_uuid", "list").distinct()
     events = entries.select("list", "session_id").join(
         chosen.select("account_uuid", "session_id", "r_ord"), "session_id").join(used, ["account_uuid", "list"], "left_semi")
@@ -305,12 +344,14 @@ def _left_at_turn(chosen: DataFrame, entries: DataFrame, claims: DataFrame, list
     placed = dense_position(timeline, ["account_uuid", "list"], ["r_ord", "_taken"], F.shiftright("r_ord", 12))
     summed = running_total(placed, ["account_uuid", "list"], "pos", "_taken", "_spent").where("_taken = 0")
     total = entries.groupBy("list").agg(F.count("*").alias("_total"))
-    held = entries.join(claims.distinct(), "session_id").join(used, ["account_uuid", "list"], "left_semi").groupBy(
-        "account_uuid", "list").agg(F.count("*").alias("_held"))
+    held = _held(used, entries, claims).groupBy("account_uuid", "list").agg(F.count("*").alias("_held"))
     free = F.col("_total") - F.coalesce("_held", F.lit(0)) - F.col("_spent")
-    counted = summed.join(total, "list").join(held, ["account_uuid", "list"], "left").select(
-        "account_uuid", "r_ord", free.alias(out))
-    return chosen.join(counted, ["account_uuid", "r_ord"], "left")
+    counted = shared(summed.join(total, "list").join(held, ["account_uuid", "list"], "left").select(
+        "account_uuid", "r_ord", "list", free.alias("_free")), "counted")
+    for column, out in counts.items():
+        part = counted.withColumnsRenamed({"list": column, "_free": out})
+        chosen = chosen.join(part, ["account_uuid", "r_ord", column], "left")
+    return chosen
 
 
 def _claims(records: DataFrame) -> DataFrame:
@@ -334,9 +375,8 @@ def scan_broken(
         best_file.select(F.col("session_id").alias("cli_session_id"), F.col("b.file_path").alias("file_path")), "cli_session_id"
     ).select("account_uuid", "r_ord", F.col("cli_session_id").alias("session_id"), "file_path")
     searching = numbered.join(own.select("r_ord"), "r_ord", "left_anti")
-    claims = _claims(records)
     keys = shared(_list_keys(searching), "list-keys")
-    entries = materialize(_entries(keys, transcripts, titles), "entries")
+    keys, entries, claims, files = _lists(keys, transcripts, titles, _claims(records))
     chosen = assign(keys, entries, claims, one_pass)
     # The lists behind the choice: all matches of its tier, and those in the
     # record's folders.
@@ -344,8 +384,8 @@ def scan_broken(
                        F.when(F.col("n") % 2 == 1, F.col("list")).alias("_any"), F.when(F.col("n") % 2 == 0, F.col("list")).alias("_in"))
     tier = tier.groupBy("account_uuid", "r_ord", "_tier").agg(F.max("_any").alias("_any"), F.max("_in").alias("_in"))
     chosen = shared(chosen.withColumn("_tier", F.floor(F.col("n") / 2)).join(tier, ["account_uuid", "r_ord", "_tier"]), "chosen")
-    counted = _left_at_turn(chosen, entries, claims, "_any", "n_matches")
-    counted = _left_at_turn(counted, entries, claims, "_in", "n_in_folder")
+    counted = _left_at_turn(chosen, entries, claims, {"_any": "n_matches", "_in": "n_in_folder"})
+    counted = counted.drop("session_id").withColumnRenamed("file_path", "place_no").join(files, "place_no")
     in_folder = F.col("n") % 2 == 0
     kinds = F.array(*[F.lit(name) for name, _k, _e in fv.TITLE_TIERS])
     found = counted.select(
@@ -372,11 +412,14 @@ def title_candidates(records: DataFrame, transcripts: DataFrame, titles: DataFra
     linked record of the account holds already is no candidate."""
     numbered = _numbered(broken_records(records), ["account_uuid", "index_path"], "r_ord")
     keys = shared(_list_keys(numbered), "list-keys")
-    entries = materialize(_entries(keys, transcripts, titles), "entries")
+    keys, entries, claims, files = _lists(keys, transcripts, titles, _claims(records))
     here = ["account_uuid", "list"]
-    free = _reach(keys.select(*here).distinct(), entries, _claims(records), 2 * limit)
+    used = keys.select(*here).distinct()
+    free = _reach(used, entries, claims, materialize(_held(used, entries, claims), "held"), 2 * limit)
     first = W.partitionBy(*here).orderBy("pos")
-    free = shared(free.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= 2 * limit).drop("_k", "_n", "_end"), "free")
+    free = free.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= 2 * limit).select(
+        *here, "pos", F.col("file_path").alias("place_no"))
+    free = shared(free.join(files, "place_no").drop("place_no"), "free")
     alive = keys.join(free.select(*here).distinct(), here, "left_semi")
     best = alive.groupBy("r_ord").agg(F.floor(F.min("n") / 2).alias("_tier"))
     wanted = alive.join(best, "r_ord").where(F.floor(F.col("n") / 2) == F.col("_tier"))

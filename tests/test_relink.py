@@ -204,3 +204,19 @@ def test_orphans_and_records_for_them(spark):
     got = {x.session_id: (x.kind, x.reason) for x in plan.collect()}
     assert got == {"s2": ("create", None), "s3": ("blocked", "no working directory"), "s4": ("blocked", "no title"),
                    "s5": ("blocked", "transcript is damaged")}
+
+
+def test_titles_of_the_same_transcripts_share_a_list(spark):
+    """A place is numbers, and there once for the typed title exact, loose and former."""
+    start = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    transcripts = [dict(file_path=f"/p/{k}.jsonl", session_id=f"s{k}", folder="-w-a", size_bytes=k, mtime=start, custom_title="T", ai_title=None,
+                        cwd="/w/a", model="m", integrity="ok") for k in range(5)]
+    records = [dict(index_path=f"/i/{k}", account_uuid="a", kind="session", cli_session_id=None, worktree_cwd="/w/a", origin_cwd=None, title="T")
+               for k in range(3)]
+    r, t, titles = frames(spark, records, transcripts, {f"/p/{k}.jsonl": {"T", " t"} for k in range(5)})
+    keys = relink._list_keys(relink.broken_records(r).withColumn("r_ord", F.monotonically_increasing_id()))
+    claims = spark.createDataFrame([("a", "s2")], "account_uuid string, session_id string")
+    named, entries, held, files = relink._lists(keys, t, titles, claims)
+    assert entries.count() == 10 and {d for _c, d in entries.dtypes} == {"bigint"}
+    assert named.select("list").distinct().count() == 2
+    assert entries.join(held, "session_id").count() == 2 and files.count() == 5
