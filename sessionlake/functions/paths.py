@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 from sessionlake import fixed_values as fv
 
@@ -18,34 +21,37 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+@F.pandas_udf(LongType())
+def _polynomial(paths: pd.Series) -> pd.Series:
+    """Absolute values of the hash; the powers of 31 wrap like its sums do."""
+    units = [None if p is None else np.frombuffer(p.encode("utf-16-be"), ">u2").astype("uint32") for p in paths]
+    powers = np.ones(max((len(u) for u in units if u is not None), default=0) + 1, "uint32")
+    powers[1:] = 31
+    powers = np.multiply.accumulate(powers, dtype="uint32")
+    hashes = [None if u is None else abs(int((u * powers[:len(u)][::-1]).sum(dtype="uint32").astype("int32"))) for u in units]
+    return pd.Series(hashes, dtype="Int64")
+
+
 def path_hash(path: Column) -> Column:
     """Base-36 of the absolute value of a signed 32-bit polynomial hash.
 
     Runs over UTF-16 units of the original path; multiplier 31, wrapping.
     """
-    units = F.regexp_extract_all(F.hex(F.encode(path, "UTF-16BE")), F.lit("(....)"), F.lit(1))
-    codes = F.transform(units, lambda unit: F.conv(unit, 16, 10).cast("long"))
-    wrapped = F.aggregate(
-        codes,
-        F.lit(0).cast("long"),
-        lambda h, c: (h * 31 + c + F.lit(2147483648)).bitwiseAND(F.lit(4294967295))
-        - F.lit(2147483648),
-    )
-    return F.when(F.length(path) == 0, "0").otherwise(
-        F.lower(F.conv(F.abs(wrapped).cast("string"), 10, 36))
-    )
+    return F.lower(F.conv(_polynomial(path).cast("string"), 10, 36))
 
 
 def encode_project_dir(path: Column, missing: str = "") -> Column:
     """Folder name of a working directory: everything but letters and digits
     becomes a dash, long names are cut and completed by a hash."""
     raw = F.coalesce(path, F.lit(""))
+    # A character gives one dash at least: these tell whether the name is long.
+    head = F.substring(raw, 1, fv.PROJECT_DIR_MAX + 1)
     # One dash per UTF-16 unit: characters beyond the basic plane count twice.
     dashed = F.regexp_replace(
-        F.regexp_replace(raw, "[\\x{10000}-\\x{10FFFF}]", "--"), "[^A-Za-z0-9]", "-"
+        F.regexp_replace(head, "[\\x{10000}-\\x{10FFFF}]", "--"), "[^A-Za-z0-9]", "-"
     )
     long_form = F.concat(
-        F.substring(dashed, 1, fv.PROJECT_DIR_MAX), F.lit("-"), path_hash(raw)
+        F.substring(dashed, 1, fv.PROJECT_DIR_MAX), F.lit("-"), path_hash(F.when(F.length(dashed) > fv.PROJECT_DIR_MAX, raw))
     )
     encoded = F.when(F.length(dashed) <= fv.PROJECT_DIR_MAX, dashed).otherwise(long_form)
     return F.when(raw == "", F.lit(missing)).otherwise(encoded)
