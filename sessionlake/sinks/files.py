@@ -17,6 +17,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 
 _PARTIAL = "_partial"
+# Finished files reported at a time.
+_BATCH = 10_000
 _WRITTEN = "rel_path string, size_bytes long, sha256 string"
 
 
@@ -54,6 +56,9 @@ def write_files(pieces: DataFrame, order: list[str], target: str) -> DataFrame:
             for rel_path, value in zip(batch["rel_path"], batch["value"]):
                 if rel_path != name:
                     finished()
+                    if len(done) >= _BATCH:
+                        yield pd.DataFrame(done, columns=["rel_path", "size_bytes", "sha256"])
+                        done.clear()
                     name, digest, size = rel_path, hashlib.sha256(), 0
                     _safe(rel_path)
                     stream = system.open_output_stream(f"{own}/file")
