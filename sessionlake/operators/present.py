@@ -9,6 +9,8 @@ from sessionlake.functions import text as tx
 from sessionlake.functions.jsonvalues import field, parse_lines
 from sessionlake.functions.text import js_trim
 
+#: Rows of a task where a selection meets the listing, and tasks that share the repeats of one uid.
+ROWS_PER_TASK, SALTS = 400_000, 8
 SEARCHED = ("session_id", "project_path", "model", "title", "project_dir")
 
 
@@ -121,10 +123,24 @@ def load_session(messages: DataFrame, limit: int = fv.MESSAGE_ROWS_SHOWN) -> Dat
     return shown.join(totals, "uid").withColumn("truncated", F.col("total_messages") > limit)
 
 
-def select_entries(sessions: DataFrame, uids: DataFrame):
-    """Selected sessions, and selected uids that no longer exist."""
-    wanted = uids.select("uid").distinct()
-    return sessions.join(wanted, "uid", "left_semi"), wanted.join(sessions.select("uid"), "uid", "left_anti")
+def select_entries(sessions: DataFrame, uids: DataFrame, rows_per_task: int = ROWS_PER_TASK):
+    """Selected sessions, and selected uids that no longer exist.
+
+    Uids compress well, so partitions of an even number of bytes would hold
+    more rows the larger the tables are. Beyond ``rows_per_task`` the number of
+    partitions follows the rows. Repeats go in ``SALTS`` different tasks first,
+    so that a uid chosen very often doesn't end up whole in one.
+    """
+    rows = max(uids.count(), sessions.count())
+    wanted = uids.select("uid")
+    if rows <= rows_per_task:
+        wanted = wanted.distinct()
+        return sessions.join(wanted, "uid", "left_semi"), wanted.join(sessions.select("uid"), "uid", "left_anti")
+    parts = max(rows // rows_per_task + 1, int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = wanted.withColumn("_salt", F.monotonically_increasing_id() % SALTS).repartition(parts, "uid", "_salt").distinct()
+    wanted = salted.select("uid").repartition(parts, "uid").distinct()
+    placed = sessions.repartition(parts, "uid")
+    return placed.join(wanted, "uid", "left_semi"), wanted.join(placed.select("uid"), "uid", "left_anti")
 
 
 def read_audit(lines: DataFrame, limit: int = fv.AUDIT_ROWS, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
