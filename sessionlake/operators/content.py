@@ -25,13 +25,14 @@ def content_hash(
 def run_digests(
     messages: DataFrame, keys: list[str], position: str = "pos", digest: str = "msg_digest", length: int = RUN_LENGTH
 ) -> DataFrame:
-    """Lower level of the digest tree: ``keys, run, run_digest, run_messages``.
+    """Lower level of the digest tree: ``keys, run, run_digest, run_messages, run_first`` (least position).
 
     Kept as a table, it hashes sessions and tells where two of them differ
     without looking at messages.
     """
     return messages.groupBy(*keys, F.floor(F.col(position) / length).alias("run")).agg(
-        _ordered_digest(position, digest, "").alias("run_digest"), F.count("*").alias("run_messages")
+        _ordered_digest(position, digest, "").alias("run_digest"), F.count("*").alias("run_messages"),
+        F.min(position).alias("run_first"),
     )
 
 

@@ -71,47 +71,55 @@ def plan_sync(
     contents = held.groupBy("content_hash").agg(
         F.min("s").alias("s"), F.collect_list("root").alias("_holders")
     )
-    lacking = F.array_except(roots, "_holders")
-    spread = contents.select("content_hash", "s", F.explode_outer(lacking).alias("dest_root"))
-
-    everywhere = spread.where("dest_root is null").select(
-        F.lit(fv.ALREADY_EVERYWHERE).alias("kind"), "content_hash", F.col("s.session_id").alias("session_id"),
-        F.col("s.title").alias("title"), F.lit("every account has it").alias("reason"),
-    )
-
     # The session an account already keeps under an id.  Any of them differs
     # from a content the account lacks, so the first one decides.
-    kept = loaded.groupBy(F.col("root").alias("dest_root"), "session_id").agg(
-        F.min(F.struct(_load_order().alias("o"), "uid", "rel_path")).alias("e")
-    )
-    missing = (
-        spread.where("dest_root is not null").withColumn("session_id", F.col("s.session_id"))
-        .join(kept, ["dest_root", "session_id"], "left")
+    kept = loaded.where("session_id is not null").groupBy("root", "session_id").agg(
+        F.min(F.struct(_load_order().alias("o"), "uid", "rel_path")).alias("e"))
+    kept = kept.groupBy("session_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("root", F.struct("e.uid", "e.rel_path").alias("e")))).alias("_kept"))
+    # A content stays one row with the accounts it lacks, and what they keep
+    # under its id, until the plan is spelled out: only uids travel per account.
+    target = lambda d: F.struct(d.alias("root"), F.try_element_at("_kept", d).alias("e"))
+    base = shared(
+        contents.select("content_hash", "s.*", F.array_except(roots, "_holders").alias("_lacking"))
+        .join(kept, "session_id", "left")
+        .select(
+            "content_hash", "session_id", "title", "message_count", "size_bytes", F.col("uid").alias("source_uid"),
+            F.col("root").alias("source_root"), F.col("rel_path").alias("_rel"), F.transform("_lacking", target).alias("_targets"),
+        ), "sync-actions")
+    everywhere = base.where(F.size("_targets") == 0).select(
+        F.lit(fv.ALREADY_EVERYWHERE).alias("kind"), "content_hash", "session_id", "title",
+        F.lit("every account has it").alias("reason"),
     )
-    path = lambda root, rel: F.concat_ws("/", root, rel)
-    base = shared(missing.select(
-        F.when(F.col("e").isNull(), fv.COPY).otherwise(fv.CONFLICT).alias("kind"),
-        "content_hash", "session_id", F.col("s.title").alias("title"),
-        F.col("s.message_count").alias("message_count"), F.col("s.size_bytes").alias("size_bytes"),
-        F.col("s.uid").alias("source_uid"), F.col("s.root").alias("source_root"),
-        path(F.col("s.root"), F.col("s.rel_path")).alias("source_path"), "dest_root",
-        F.when(F.col("e").isNull(), path(F.col("dest_root"), F.col("s.rel_path")))
-        .otherwise(path(F.col("dest_root"), F.col("e.rel_path"))).alias("dest_path"),
-        F.col("e.uid").alias("existing_uid"),
-    ), "sync-actions")
+
     # Distinct pairs: one content in conflict with one session in many places
     # is compared once.
     pairs = (
-        base.where("existing_uid is not null")
-        .select(F.col("existing_uid").alias("a_uid"), F.col("source_uid").alias("b_uid")).distinct()
+        base.select("source_uid", F.explode("_targets").alias("t")).where("t.e.uid is not null")
+        .select(F.col("t.e.uid").alias("a_uid"), F.col("source_uid").alias("b_uid")).distinct()
         .withColumn("pair_id", F.struct("a_uid", "b_uid"))
     )
-    compared = compare.with_recommendation(compare.compare(pairs, messages, sessions)).select(
-        F.col("a_uid").alias("existing_uid"), F.col("b_uid").alias("source_uid"), "relation", "common_prefix",
-        "diverge_index", "a_only", "b_only", "newer", "recommendation",
-        F.col("recommendation_reason").alias("reason"),
+    result = F.struct(
+        F.col("a_uid").alias("existing_uid"), "relation", "common_prefix", "diverge_index", "a_only", "b_only", "newer", "longer")
+    compared = compare.compare(pairs, messages, sessions).groupBy(F.col("b_uid").alias("source_uid")).agg(
+        F.collect_list(result).alias("_compared"))
+    path = lambda root, rel: F.concat_ws("/", root, rel)
+    there = F.col("t.e").isNotNull()
+    spelled = (
+        base.where(F.size("_targets") > 0).join(compared, "source_uid", "left").withColumn("t", F.explode("_targets"))
+        .withColumn("c", F.explode_outer(F.filter("_compared", lambda x: x["existing_uid"] == F.col("t.e.uid"))))
+        .select(
+            F.when(there, fv.CONFLICT).otherwise(fv.COPY).alias("kind"), "content_hash", "session_id", "title", "message_count",
+            "size_bytes", "source_uid", "source_root", path(F.col("source_root"), F.col("_rel")).alias("source_path"),
+            F.col("t.root").alias("dest_root"), path(F.col("t.root"), F.when(there, F.col("t.e.rel_path")).otherwise(F.col("_rel"))).alias("dest_path"),
+            F.col("t.e.uid").alias("existing_uid"), F.col("c.relation").alias("relation"), "c.common_prefix", "c.diverge_index",
+            "c.a_only", "c.b_only", "c.newer", "c.longer",
+        )
     )
-    planned = base.join(compared, ["existing_uid", "source_uid"], "left")
+    told = F.col("relation").isNotNull()
+    advised = compare.with_recommendation(spelled)
+    planned = advised.withColumn("recommendation", F.when(told, F.col("recommendation"))).withColumn(
+        "reason", F.when(told, F.col("recommendation_reason"))).drop("recommendation_reason", "longer")
 
     blocked = mine.where(unusable & F.lit(not include_damaged)).select(
         F.lit(fv.BLOCKED).alias("kind"), "session_id", F.col("uid").alias("source_uid"),
