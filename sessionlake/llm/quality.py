@@ -74,17 +74,22 @@ def contexts(chunk_tokens: np.ndarray, text: np.ndarray, index: np.ndarray, tota
     """Adds to ``total`` the index vectors around every token."""
     if not len(chunk_tokens):
         return
-    order = np.argsort(chunk_tokens, kind="stable")
+    # Tokens in a row with empty places between texts; sums of neighbours are
+    # sums of shifted rows. Index vectors are whole numbers of at most SPARSE.
+    turn = np.concatenate([[0], np.cumsum(text[1:] != text[:-1])])
+    place = np.arange(len(text)) + AROUND * (turn + 1)
+    padded = np.full(place[-1] + AROUND + 1, BUCKETS)
+    padded[place] = chunk_tokens
+    rows = np.vstack([index, np.zeros((1, DIM))]).astype(np.int8)[padded]
+    n = len(rows) - 2 * AROUND
+    near = np.zeros((n, DIM), np.int8)
+    for k in (*range(-AROUND, 0), *range(1, AROUND + 1)):
+        near += rows[AROUND + k:AROUND + k + n]
+    del rows, padded
+    order = np.argsort(chunk_tokens.astype(np.uint16), kind="stable")
     bucket = chunk_tokens[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    padded = np.concatenate([np.full(AROUND, BUCKETS), chunk_tokens, np.full(AROUND, BUCKETS)])
-    whose = np.concatenate([np.full(AROUND, -1), text, np.full(AROUND, -1)])
-    table = np.vstack([index, np.zeros((1, DIM), f32)])
-    near = np.zeros((len(order), DIM), f32)
-    for k in (*range(-AROUND, 0), *range(1, AROUND + 1)):
-        at = order + AROUND + k
-        near += table[np.where(whose[at] == text[order], padded[at], BUCKETS)]
-    total[bucket[first]] += np.add.reduceat(near, first, axis=0)
+    total[bucket[first]] += np.add.reduceat(near[place[order] - AROUND].astype(f32), first, axis=0)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -119,7 +124,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(table: np.ndarray, batch: list[str]) -> np.ndarray:
     """The mean word vector of each text."""
     out = np.zeros((len(batch), DIM), f32)
-    for first, chunk, ends in kernel.chunks(batch, 1_000_000):
+    for first, chunk, ends in kernel.chunks(batch, 100_000):
         token, text = tokens(chunk, ends)
         if len(token):
             at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
