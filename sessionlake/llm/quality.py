@@ -97,7 +97,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, total = index_vectors(), np.zeros((BUCKETS, DIM), f32)
         for b in batches:
-            for _, chunk, ends in kernel.chunks(b.text.tolist(), 1_000_000):
+            for _, chunk, ends in kernel.chunks(b.text.tolist(), 200_000):
                 contexts(*tokens(chunk, ends), index, total)
         if total.any():
             blocks = range(0, BUCKETS, BLOCK)
