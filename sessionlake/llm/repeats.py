@@ -12,7 +12,9 @@ else. To find those strings without sorting all suffixes of the corpus:
 * Different pieces of one anchor meet in a bucket. Each half of a bucket, a
   shard, has the Burrows-Wheeler transform of its pieces. The transforms are
   merged by refining their interleave: LENGTH stable passes by the next symbol
-  to the left, each of which sorts the merged order by one more symbol. What is
+  to the left, each of which sorts the merged order by one more symbol; STEP of
+  them are made at once. A pass holds the suffixes that starts depend on, those as
+  many symbols right of a start as are still to come. What is
   told apart from all others is dropped, and what is left at the end are repeated
   strings of LENGTH bytes; lengths of common prefixes are not derived (``merged``,
   which gives them, is not used by the query). The suffixes of both shards are not
@@ -45,6 +47,8 @@ from .common import load, stored, texts
 LENGTH, K = 200, 32
 MANY = 4096
 BUCKET_BYTES = 100_000
+#: Passes of the merge that are made at once, a power of two of at most 4.
+STEP = 4
 _PLACE = 21
 _SEGMENT = 1 << 20
 U64 = np.uint64
@@ -109,18 +113,19 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     symbols[np.delete(np.arange(len(symbols)), stops)] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
     n, rank = len(symbols), symbols + len(strings) - 1
     rank[stops] = np.arange(len(strings))
-    h = 1
+    # Ranks by as many symbols as fit a number, then by twice as many each time.
+    span, h = 256 + len(strings), 1
+    while span**2 < 2**62:
+        rank = rank * span + np.append(rank[h:], np.zeros(min(h, n), np.int64))
+        span, h = span**2, 2 * h
     while True:
-        beyond = np.zeros(n, np.int64)
-        beyond[:n - h] = rank[h:] + 1
-        key = rank * (int(rank.max()) + 2 if h > 1 else 300 + len(strings)) + beyond
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
+        order = np.argsort(rank)
+        sorted_ = rank[order]
         fresh = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
         if fresh[-1] == n - 1:
             break
+        rank[order] = fresh
+        rank = rank * (n + 1) + np.append(rank[h:] + 1, np.zeros(min(h, n), np.int64))
         h *= 2
     before = symbols[order - 1]  # the first string is preceded by the last one's end
     return before.astype(np.uint16), order
@@ -151,62 +156,65 @@ def merged(left: np.ndarray, right: np.ndarray, strings: tuple[int, int], depth:
     return which, common
 
 
-def alike(left: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def alike(left: np.ndarray, right: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The entries (shard, place in its order) of the suffixes of two transforms
     that share their first ``depth`` symbols with another one.
 
     The same refinement as ``merged``, but what is told apart from all others is
-    dropped: then the suffixes that begin further left are as well.
+    dropped: then the suffixes that begin further left are as well. Up to ``STEP``
+    passes are one: a stable sort by that many symbols to the left. ``wanted``
+    has the entries of both orders that lie ``depth`` symbols right of those asked
+    for; without it all are.
     """
     both, split = np.concatenate([left, right]), len(left)
-    back = np.empty(len(both), np.int32)  # where the suffix that begins one symbol earlier stands
+    back = np.empty(len(both), np.uint32)  # where the suffix that begins one symbol earlier stands
     for at, shard in ((0, left), (split, right)):
         back[at + np.argsort(shard, kind="stable")] = at + np.arange(len(shard))
-    first = both == 0  # the whole strings, which nothing begins to the left of
-    symbols = (both - 1).astype(np.uint8)
-    entry, block = np.arange(len(both), dtype=np.int32), np.zeros(len(both), np.int32)
-    for _ in range(depth):
-        starts = first[entry]
+    # The symbols to the left, the nearest last; not for suffixes that few symbols stand before.
+    steps = [(1, back, (both - 1).astype(np.uint8).astype(np.uint64), both == 0)]
+    while 2 * steps[-1][0] <= min(STEP, depth):
+        width, back, symbols, short = steps[-1]
+        steps.append((2 * width, back[back], symbols[back] << U64(8 * width) | symbols, short | short[back]))
+    entry = np.arange(len(both)) if wanted is None else np.flatnonzero(wanted)
+    block, left_over = np.zeros(len(entry), np.int32), depth
+    while left_over and len(entry):
+        # The widest step that divides what is left.
+        width, back, symbols, short = steps[min((left_over & -left_over).bit_length(), len(steps)) - 1]
+        left_over -= width
+        starts = short[entry]
         if starts.any():
             entry, block = entry[~starts], block[~starts]
-        symbol = symbols[entry]
-        order = np.argsort(symbol, kind="stable").astype(np.int32)
-        by, was = symbol[order], block[order]
+        ranked = np.sort(symbols[entry] << U64(32) | np.arange(len(entry), dtype=np.uint64))
+        order, by = (ranked & U64(0xFFFFFFFF)).astype(np.int64), ranked >> U64(32)
+        was = block[order]
         new = np.ones(len(order) + 1, bool)
         new[1:-1] = (by[1:] != by[:-1]) | (was[1:] != was[:-1])
-        block = np.cumsum(new[:-1], dtype=np.int32)
-        entry = back[entry[order]]
-        alone = new[:-1] & new[1:]
-        if alone.any():
-            many = ~alone
-            entry, block = entry[many], block[many]
-        if not len(entry):
-            break
-    return entry >= split, np.where(entry >= split, entry - split, entry)
+        many = ~(new[:-1] & new[1:])
+        block = np.cumsum(new[:-1], dtype=np.int32)[many]
+        entry = back[entry[order[many]]]
+    return entry >= split, np.where(entry >= split, entry - split, entry).astype(np.int64)
 
 
 def repeated_starts(strings: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each string a mask of its first ``counts`` starts: whether the
-    ``length`` bytes from there also start elsewhere in the collection."""
+    ``length`` bytes from there also start elsewhere in the collection. A string
+    ends with the bytes of its last start."""
     half = -(-len(strings) // 2)
-    shards = [strings[:half], strings[half:]]
-    masks = [np.zeros(c, bool) for c in counts]
-    if not shards[1]:
-        shards = [strings, []]
-        transforms, arrays = [transform(strings)[0], np.zeros(0, np.uint16)], [transform(strings)[1], np.zeros(0, np.int64)]
-    else:
-        transforms, arrays = zip(*map(transform, shards))
-    which, at = alike(transforms[0], transforms[1], length)
-    place = np.zeros(len(which), np.int64)
-    for k, array in enumerate(arrays):
-        own = which == bool(k)
-        place[own] = array[at[own]] + k * len(arrays[0])
+    transforms, arrays = [np.zeros(0, np.uint16)] * 2, [np.zeros(0, np.int64)] * 2
+    for k, shard in enumerate((strings[:half], strings[half:])):
+        if shard:
+            transforms[k], arrays[k] = transform(shard)
+    counts = np.asarray(counts, np.int64)
     begins = np.cumsum([0, *(len(s) + 1 for s in strings[:-1])])
-    found = np.sort(place)
-    owner = np.searchsorted(begins, found, side="right") - 1
-    for i in np.unique(owner):
-        masks[i][found[owner == i] - begins[i]] = True
-    return masks
+    places = np.concatenate([arrays[0], arrays[1] + len(arrays[0])])
+    # Of all suffixes those ``length`` bytes right of a start, on which the starts depend.
+    each = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins, counts)
+    wanted = np.zeros(len(places), bool)
+    wanted[each + length] = True
+    which, at = alike(transforms[0], transforms[1], length, wanted[places])
+    found = np.zeros(len(places), bool)
+    found[places[at + which * len(arrays[0])]] = True
+    return [found[b:b + c] for b, c in zip(begins.tolist(), counts.tolist())]
 
 
 def _spans(mask: np.ndarray) -> list[int]:

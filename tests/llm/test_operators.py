@@ -156,6 +156,21 @@ def test_merged_transforms_are_those_of_all():
             assert ours == sorted((bool(which[i]), int(rank[i])) for i in range(len(which)) if near[i])
 
 
+def test_merge_follows_only_what_starts_depend_on(monkeypatch):
+    asked, whole = [], repeats.alike
+    monkeypatch.setattr(repeats, "alike", lambda a, b, depth, wanted: asked.append(int(wanted.sum())) or whole(a, b, depth, wanted))
+    rng = random.Random(8)
+    for length in (1, 2, 3, 4, 6, 7, 12):
+        for n in (1, 2, 5, 9):
+            counts = [rng.randrange(1, 12) for _ in range(n)]
+            base = bytes(rng.choice(b"ab\x00\xff") for _ in range(40))
+            strings = [(base[rng.randrange(20):] + base)[:c + length - 1] for c in counts]
+            seen = Counter(s[i:i + length] for s, c in zip(strings, counts) for i in range(c))
+            got = repeats.repeated_starts(strings, np.array(counts), length)
+            assert [m.tolist() for m in got] == [[seen[s[i:i + length]] > 1 for i in range(c)] for s, c in zip(strings, counts)]
+            assert asked.pop() == sum(counts)
+
+
 @pytest.mark.parametrize("many", [4096, 2])
 def test_repeats_of_a_table(spark, monkeypatch, many):
     monkeypatch.setattr(repeats, "MANY", many)
