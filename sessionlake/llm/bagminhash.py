@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -52,6 +52,8 @@ BANDS, ROWS = 40, 7
 LEADERS = 2
 #: A shingle is rare if at most so many of the texts in question have it.
 RARE = 12
+#: So many pairs are verified together.
+TOGETHER = 512
 U64 = np.uint64
 
 
@@ -170,14 +172,12 @@ def contents(marked: DataFrame) -> DataFrame:
 
 
 def buckets(different: DataFrame) -> DataFrame:
-    """(bucket, band, cid, size, central) for all buckets with several members;
+    """(bucket, cid, size, central) for all buckets with several members;
     ``central`` counts the places beside the text in all its buckets."""
     rows = different.select("cid", "size", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("bucket"), "band", "cid", "size")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    found = stored(rows.join(shared, "bucket"), "buckets")
-    central = found.groupBy("cid").agg(F.sum("n").alias("central"))
-    return stored(found.drop("n").join(central, "cid"), "buckets")
+        F.xxhash64("band", "value").alias("bucket"), "cid", "size")
+    found = rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    return stored(found.withColumn("central", F.sum("n").over(Window.partitionBy("cid"))).drop("n"), "buckets")
 
 
 def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -185,19 +185,19 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
     left, right = held.select(F.col("cid").alias("a"), F.col("text").alias("ta")), held.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {}
-
-        def parts(key, text):
-            if key not in last:
-                if len(last) > 64:
-                    last.clear()
-                _, chunk, ends = next(kernel.chunks([text], 0))
-                last[key] = shingles(chunk, ends)[1:]
-            return last[key]
-
-        for b in batches:
-            found = [similarity(parts(x, t), parts(y, u)) for x, y, t, u in zip(b.a, b.b, b.ta, b.tb)]
-            yield pd.DataFrame({"a": b.a, "b": b.b, "similarity": np.asarray(found, float)})
+        for batch in batches:
+            for first in range(0, len(batch), TOGETHER):
+                b = batch.iloc[first:first + TOGETHER]
+                # Each text of these pairs is shingled once.
+                cids, at, which = np.unique(np.concatenate([b.a, b.b]), return_index=True, return_inverse=True)
+                both = [*b.ta, *b.tb]
+                parts = []
+                for _, chunk, ends in kernel.chunks([both[k] for k in at]):
+                    text, shingle, weight = shingles(chunk, ends)
+                    begin = np.searchsorted(text, np.arange(len(ends) + 1))
+                    parts += [(shingle[x:y], weight[x:y]) for x, y in zip(begin, begin[1:])]
+                found = [similarity(parts[x], parts[y]) for x, y in which.reshape(2, -1).T]
+                yield pd.DataFrame({"a": b.a, "b": b.b, "similarity": np.asarray(found, float)})
 
     joined = pairs.join(left, "a").join(right, "b")
     return stored(joined.mapInPandas(run, "a long, b long, similarity double"), "verified")
@@ -247,17 +247,22 @@ def _hopeful(inner: DataFrame, similar: float) -> DataFrame:
             return inner
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cid, label) for all nodes of ``links`` (a, b); the label is the least cid."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while not _stars(edges):
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(cid, label) for all nodes of ``links`` (a, b) but the least one of each
+    component, which is the label. ``known`` has the same of links that count as well."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if known is not None:
+        edges = edges.union(known.select("cid", "label"))
+    node = Window.partitionBy("u")
+    while True:
+        # Every greater neighbour of a node moves to the least of all it is next to, then every lesser one.
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
+        large = both.withColumn("m", F.least(F.min("v").over(node), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(node)).select(F.explode(F.array(
+            F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-    return edges.select(F.col("u").alias("cid"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
+        if _stars(edges):
+            return edges.select(F.col("u").alias("cid"), F.col("v").alias("label"))
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -265,7 +270,7 @@ def _stars(edges: DataFrame) -> bool:
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(
         edges.select(F.col("v"), F.lit(0), F.lit(1)))
     nodes = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return nodes.where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+    return not nodes.agg(F.bool_or(F.expr("down > 1 OR (down = 1 AND up = 1)"))).first()[0]
 
 
 def _fits(a: str, b: str, similar: float):
@@ -274,17 +279,18 @@ def _fits(a: str, b: str, similar: float):
 
 
 def linked(different: DataFrame, held_by, similar: float = SIMILAR) -> DataFrame:
-    """(cid, label) of all texts that are connected with another one.
+    """(cid, label) of all texts that are connected with a lesser one.
 
     ``held_by(cids)`` gives (cid, text) of the cids in its argument.
     """
     rows = buckets(different)
     held = stored(held_by(rows.select("cid").distinct()), "held")
     checked, labels, open_ = None, None, rows
+    bucket = Window.partitionBy("bucket")
     for _ in range(LEADERS):
         # Every open member of a bucket meets the one that has most in common with others.
-        leads = open_.groupBy("bucket").agg(F.max(F.struct("central", "cid", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-        met = open_.join(leads, "bucket").where((F.col("cid") != F.col("lead.cid")) & _fits("size", "lead.size", similar))
+        led = open_.withColumn("lead", F.max(F.struct("central", "cid", "size")).over(bucket))
+        met = led.where((F.col("cid") != F.col("lead.cid")) & _fits("size", "lead.size", similar))
         pairs = met.select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
@@ -293,33 +299,34 @@ def linked(different: DataFrame, held_by, similar: float = SIMILAR) -> DataFrame
             break
         more = verify(pairs, held)
         checked = more if checked is None else checked.union(more)
-        labels = stored(components(checked.where(F.col("similarity") >= similar).select("a", "b")), "labels")
+        labels = components(more.where(F.col("similarity") >= similar).select("a", "b"), labels)
         # Those that are not connected with the leader stay open, without it.
         classed = open_.join(labels, "cid", "left").select("bucket", "cid", "size", "central", F.coalesce("label", "cid").alias("label"))
-        led = classed.groupBy("bucket").agg(F.max(F.struct("central", "cid", "label")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-        open_ = stored(classed.join(led.select("bucket", F.col("lead.label").alias("led")), "bucket")
-                       .where(F.col("label") != F.col("led")).select("bucket", "cid", "size", "central"), "open")
+        led = classed.withColumn("led", F.max(F.struct("central", "cid", "label")).over(bucket)["label"])
+        open_ = stored(led.where(F.col("label") != F.col("led")).select("bucket", "cid", "size", "central"), "open")
     if labels is None:
         return different.select("cid", F.col("cid").alias("label")).limit(0)
-    # Pairs across the classes of a bucket that the bounds leave; each pair in the first of its buckets.
-    classed = rows.join(labels, "cid", "left").select("bucket", "band", "cid", "size", "central", F.coalesce("label", "cid").alias("label"))
-    mixed_ = classed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("central", "cid"))["cid"].alias("lead")).where("x < y")
+    # Pairs across the classes of a bucket that the bounds leave; each pair in one of its buckets.
+    classed = rows.join(labels, "cid", "left").select("bucket", "cid", "size", "central", F.coalesce("label", "cid").alias("label"))
+    mixed_ = classed.withColumns({"x": F.min("label").over(bucket), "y": F.max("label").over(bucket), "lead": F.max(F.struct("central", "cid")).over(bucket)["cid"]}).where("x < y")
     known = checked.select(F.col("a").alias("cid"), F.col("b").alias("lead"), (1 - F.col("similarity")).alias("far"))
-    inner = (classed.join(mixed_.select("bucket", "lead"), "bucket").join(known, ["cid", "lead"], "left")
+    inner = (mixed_.join(known, ["cid", "lead"], "left")
              .withColumn("far", F.when(F.col("cid") == F.col("lead"), F.lit(0.0)).otherwise(F.col("far"))))
-    inner = stored(inner.select("bucket", "band", "cid", "size", "label", "far"), "inner")
+    inner = stored(inner.select("bucket", "cid", "size", "label", "far"), "inner")
     members = inner.select("cid", "size", "label").distinct()
     rare = rare_shingles(held.join(members, "cid", "left_semi"))
     own = rare.groupBy("cid").agg(F.sum("weight").alias("own"))
     members = stored(members.join(own, "cid", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))), "members")
     reach = F.col("common") * ((1 + similar) / similar) - F.col("size")
-    inner = _hopeful(inner.join(members.drop("size", "label"), "cid").select("bucket", "band", "cid", "size", "label", "far", reach.alias("reach")), similar)
-    inner = inner.join(different.select("cid", "bands"), "cid")
+    inner = _hopeful(inner.join(members.drop("size", "label"), "cid").select("bucket", "cid", "size", "label", "far", reach.alias("reach")), similar)
+    # Of all its buckets a text brings those that are left; mostly that is a few of BANDS.
+    inner = inner.withColumn("buckets", F.collect_list("bucket").over(Window.partitionBy("cid")))
     x, y = inner.alias("x"), inner.alias("y")
-    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(True)) == F.col("x.band") + 1
+    first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
     within = (F.col("x.size") <= F.col("y.reach") + 1e-6) & (F.col("y.size") <= F.col("x.reach") + 1e-6)
     near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - similar + 1e-9, F.lit(True))
-    by_common = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
+    # Files of arrays are small beside their rows, so Spark would broadcast too much.
+    by_common = x.join(y.hint("merge"), F.col("x.bucket") == F.col("y.bucket")).where(
         (F.col("x.cid") > F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & near & within & _fits("x.size", "y.size", similar) & first)
     by_common = by_common.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     pairs = by_common.union(_by_rare(rare, members, similar)).distinct()
@@ -327,7 +334,7 @@ def linked(different: DataFrame, held_by, similar: float = SIMILAR) -> DataFrame
     if pairs.isEmpty():
         return labels
     more = verify(pairs, held)
-    return stored(components(checked.union(more).where(F.col("similarity") >= similar).select("a", "b")), "labels")
+    return components(more.where(F.col("similarity") >= similar).select("a", "b"), labels)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:

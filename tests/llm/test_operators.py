@@ -131,6 +131,27 @@ def test_near_classes_of_a_table(spark):
     assert sum(r.kept for r in got) == len(set(want.values()))
 
 
+def test_components_go_on_from_labels(spark, monkeypatch):
+    rng, rounds, stored = random.Random(9), [], bagminhash.stored
+    monkeypatch.setattr(bagminhash, "stored", lambda frame, name: rounds.append(name) or stored(frame, name))
+    links = [(rng.randrange(60), rng.randrange(60, 120)) for _ in range(50)] + [(k + 1, k) for k in range(200, 230)] + [(k, 300) for k in range(301, 400)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    label = {x: x for pair in links for x in pair}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {x: y for x, y in label.items() if x != y}
+    first = bagminhash.components(frame(links[::2]))
+    got = bagminhash.components(frame(links[1::2]), first).collect()
+    assert len(got) == len(want) and {r.cid: r.label for r in got} == want
+    again = bagminhash.components(frame(links[:3]), bagminhash.components(frame(links))).collect()
+    assert {r.cid: r.label for r in again} == want
+    rounds.clear()
+    assert bagminhash.components(frame([])).collect() == []
+    bagminhash.components(frame(links[-99:]))
+    assert len(rounds) == 2  # what is a star already takes one round
+
+
 # Repeated passages.
 
 
